@@ -64,6 +64,7 @@ def items_to_articles(items: DataFrame, as_of: Column, *keep: str) -> DataFrame:
     title = clean_text(c("title"))
     content = clean_text(first_filled(c("content"), c("description"), c("summary")))
     tags = F.filter(F.coalesce(c("category"), F.array().cast("array<string>")), lambda t: t != "")
+    writer = first_filled(c("author"), c("author_detail.name"))
     tag_words = F.array_distinct(F.transform(tags, F.lower))
     return (
         items.where((title != "") & (or_empty(c("link")) != ""))
@@ -76,7 +77,7 @@ def items_to_articles(items: DataFrame, as_of: Column, *keep: str) -> DataFrame:
                 parse_date(c("pubDate")), parse_date(c("updated")), as_of
             ).alias("published_date"),
             as_of.alias("scraped_date"),
-            clean_text(first_filled(c("author"), c("author_detail.name"))).alias("author"),
+            F.when(writer.isNotNull(), clean_text(writer)).alias("author"),
             clean_text(first_filled(c("summary"), c("description"))).alias("summary"),
             tag_words.alias("keywords"),
             F.get(c("category"), F.lit(0)).alias("category"),
@@ -89,12 +90,10 @@ def items_to_articles(items: DataFrame, as_of: Column, *keep: str) -> DataFrame:
             ).alias("metadata"),
             *keep,
         )
-        .withColumns(
-            {
-                "keywords": F.when(F.size("keywords") > 0, c("keywords")).otherwise(
-                    frequent_keywords(c("content"), 5)
-                ),
-                "author": F.nullif(c("author"), F.lit("")),
-            }
+        .withColumn(
+            "keywords",
+            F.when(F.size("keywords") > 0, c("keywords")).otherwise(
+                frequent_keywords(c("content"), 5)
+            ),
         )
     )
