@@ -110,11 +110,16 @@ def get_analyzer(name: str) -> Analyzer:
 def column_analyzer(expr: Callable[[Column], Column]) -> Analyzer:
     """An analyzer from a function of the analysis text (title, then content).
 
-    A pandas UDF that returns the sentiment struct fits as well.
+    A pandas UDF that returns the sentiment struct fits as well. The expression is
+    large and always the same, so it is built once per application.
     """
+    built: dict[str, Column] = {}
 
     def run(df: DataFrame) -> DataFrame:
-        return df.withColumn("sentiment", expr(analysis_text(F.col("title"), F.col("content"))))
+        app = df.sparkSession.sparkContext.applicationId
+        if app not in built:
+            built[app] = expr(analysis_text(F.col("title"), F.col("content")))
+        return df.withColumn("sentiment", built[app])
 
     return run
 

@@ -179,7 +179,7 @@ def read_csv(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
         .csv(path)
     )
     c = F.col
-    keywords = F.filter(F.transform(F.split(or_empty(c("keywords")), ","), F.trim), lambda k: k != "")
+    keywords = F.filter(F.transform(F.split(or_empty(c("keywords")), ","), lambda k: F.trim(k)), lambda k: k != "")
     sentiment = F.struct(
         c("sentiment_label").alias("label"),
         F.expr("try_cast(sentiment_confidence AS double)").alias("confidence"),

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.functions.dates import parse_date
-from newsmood.functions.html import by_class, by_tag, unescape, visible_text
-from newsmood.functions.text import blank_to_null, clean_text, let
+from newsmood.functions.html import by_class, by_tag, strip_tags, unescape, visible_text
+from newsmood.functions.text import clean_text, first_filled, let
 from newsmood.functions.urls import is_article_url, resolve, source_name
 from newsmood.operators.textjobs import frequent_keywords
 from newsmood.schema import ARTICLE
@@ -61,10 +61,20 @@ def _open(tag: str | None, css: str | None, attr: str | None, op: str | None, va
     return out + "[^>]*>"
 
 
+def _mentioned(html: Column, steps: list[tuple]) -> Column:
+    """Cheap test that a selector can match at all: its class and attribute names occur."""
+    names = [n for step in steps for n in (step[1], step[2]) if n]
+    out = F.lit(True)
+    for n in names:
+        out = out & F.contains(html, F.lit(n))
+    return out
+
+
 def element(html: Column, selector: str) -> Column:
     """Inner HTML of the first element a selector of one or two steps picks; '' if none."""
+    steps = _parse(selector)
     body = html
-    for step in _parse(selector):
+    for step in steps:
         tag, css = step[0], step[1]
         if tag and not css and not step[2]:
             body = F.regexp_extract(body, by_tag(tag), 1)
@@ -72,22 +82,22 @@ def element(html: Column, selector: str) -> Column:
             body = F.regexp_extract(body, by_class(css), 2)
         else:
             body = F.regexp_extract(body, f"(?is){_open(*step)}(.*?)</\\k<tag>\\s*>", 2)
-    return body
+    return F.when(_mentioned(html, steps), body).otherwise("")
 
 
 def attribute(html: Column, selector: str, name: str) -> Column:
     """An attribute of the first element of a one-step selector; '' if none."""
-    open_tag = F.regexp_extract(html, f"(?is){_open(*_parse(selector)[0])}", 0)
-    return unescape(F.regexp_extract(open_tag, rf"""(?is)\s{name}\s*=\s*["']?([^"'>]*)""", 1))
-
-
-def _first(candidates: Sequence[Column], usable) -> Column:
-    picked = [let(c, lambda v: F.when(usable(v), v)) for c in candidates]
-    return F.coalesce(*picked)
+    steps = _parse(selector)
+    open_tag = F.regexp_extract(html, f"(?is){_open(*steps[0])}", 0)
+    value = F.regexp_extract(open_tag, rf"""(?is)\s{name}\s*=\s*["']?([^"'>]*)""", 1)
+    return F.when(_mentioned(html, steps) & F.contains(html, F.lit(name)), value).otherwise("")
 
 
-def _text(html: Column, selector: str) -> Column:
-    return clean_text(visible_text(element(html, selector)))
+def first_text(html: Column, selectors: Sequence[str], usable) -> Column:
+    """Cleaned text of the first selected element whose text is usable; NULL if none."""
+    found = F.filter(F.array(*[element(html, s) for s in selectors]), lambda e: e != "")
+    texts = F.transform(found, lambda e: clean_text(visible_text(e)))
+    return F.get(F.filter(texts, usable), F.lit(0))
 
 
 def _meta(html: Column, key: str, value: str) -> Column:
@@ -95,7 +105,35 @@ def _meta(html: Column, key: str, value: str) -> Column:
         html, rf"""(?is)<meta\b(?=[^>]*\s{key}\s*=\s*["']?{re.escape(value)}["'\s])[^>]*>""", 0
     )
     content = F.regexp_extract(open_tag, r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 0)
-    return unescape(F.regexp_replace(content, r"""(?is)^\scontent\s*=\s*["']|["']$""", ""))
+    bare = F.regexp_replace(content, r"""(?is)^\scontent\s*=\s*["']|["']$""", "")
+    return F.when(F.contains(html, F.lit(value)), bare).otherwise("")
+
+
+def _page_fields(html: Column, titles: Sequence[str], contents: Sequence[str]) -> Column:
+    stamps = F.array(
+        *[
+            first_filled(
+                attribute(html, s, "datetime"),
+                attribute(html, s, "pubdate"),
+                strip_tags(element(html, s)),
+            )
+            for s in DATE
+        ]
+    )
+    dates = F.filter(
+        F.transform(F.array_compact(stamps), lambda v: parse_date(unescape(v))), lambda v: v.isNotNull()
+    )
+    about = F.filter(
+        F.transform(F.array(*[_meta(html, k, v) for k, v in SUMMARY]), lambda v: clean_text(unescape(v))),
+        lambda v: v != "",
+    )
+    return F.struct(
+        first_text(html, titles, lambda v: F.length(v) > MIN_TITLE).alias("title"),
+        first_text(html, contents, lambda v: F.length(v) > MIN_CONTENT).alias("content"),
+        first_text(html, AUTHOR, lambda v: (v != "") & (F.length(v) < MAX_AUTHOR)).alias("author"),
+        F.get(dates, F.lit(0)).alias("published"),
+        F.get(about, F.lit(0)).alias("summary"),
+    )
 
 
 def extract_articles(
@@ -110,42 +148,22 @@ def extract_articles(
     """ARTICLE rows of landed pages; pages without a usable title or content are dropped.
 
     ``title`` and ``content`` are site-specific selectors tried before the usual ones.
+    All fields come out of one struct that is unpacked as a zero- or one-row table,
+    so the drop test does not compute title and content a second time.
     """
-    page = F.col(html)
-    bare = F.regexp_replace(page, r"(?s)<!--.*?-->", "")
-    found = pages.withColumn("_html", bare).withColumns(
-        {
-            "_title": _first(
-                [_text(F.col("_html"), s) for s in (*title, *TITLE)],
-                lambda v: F.length(v) > MIN_TITLE,
-            ),
-            "_content": _first(
-                [_text(F.col("_html"), s) for s in (*content, *CONTENT)],
-                lambda v: F.length(v) > MIN_CONTENT,
-            ),
-        }
-    )
-    h = F.col("_html")
-    dates = []
-    for s in DATE:
-        stamp = F.coalesce(
-            blank_to_null(attribute(h, s, "datetime")),
-            blank_to_null(attribute(h, s, "pubdate")),
-            blank_to_null(_text(h, s)),
-        )
-        dates.append(parse_date(stamp))
-    return found.where(F.col("_title").isNotNull() & F.col("_content").isNotNull()).select(
-        F.col("_title").alias("title"),
-        F.col("_content").alias("content"),
-        F.col(url).alias("url"),
-        source_name(F.col(url)).alias("source"),
-        F.coalesce(*dates, as_of).alias("published_date"),
+    bare = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
+    fields = let(bare, lambda h: _page_fields(h, (*title, *TITLE), (*content, *CONTENT)))
+    usable = F.filter(F.array(fields), lambda x: x["title"].isNotNull() & x["content"].isNotNull())
+    return pages.select(*keep, F.col(url).alias("url"), F.inline(usable)).select(
+        "title",
+        "content",
+        "url",
+        source_name(F.col("url")).alias("source"),
+        F.coalesce("published", as_of).alias("published_date"),
         as_of.alias("scraped_date"),
-        _first(
-            [_text(h, s) for s in AUTHOR], lambda v: (v != "") & (F.length(v) < MAX_AUTHOR)
-        ).alias("author"),
-        F.coalesce(*[blank_to_null(clean_text(_meta(h, k, v))) for k, v in SUMMARY]).alias("summary"),
-        frequent_keywords(F.col("_content"), N_KEYWORDS).alias("keywords"),
+        "author",
+        "summary",
+        frequent_keywords(F.col("content"), N_KEYWORDS).alias("keywords"),
         F.lit(None).cast("string").alias("category"),
         F.lit("website").alias("source_type"),
         F.lit(None).cast(ARTICLE["sentiment"].dataType).alias("sentiment"),
@@ -154,7 +172,6 @@ def extract_articles(
     )
 
 
-
 def _hrefs(html: Column, selector: str) -> Column:
     steps = _parse(selector)
     scope = html
