@@ -114,9 +114,11 @@ def _valence(text: Column, low: Column, lexicon: Lexicon) -> Column:
     degree words and negation, and a "but" halves what precedes it and raises
     what follows.
     """
-    hits = F.filter(
-        F.transform(low, lambda w, i: F.when(w.isin(list(lexicon.valence)), i)),
-        lambda i: i.isNotNull(),
+    terms = list(lexicon.valence)
+    # Most texts hold no listed word at all; they are done after one look at each word.
+    hits = F.when(
+        F.exists(low, lambda w: w.isin(terms)),
+        F.array_compact(F.transform(low, lambda w, i: F.when(w.isin(terms), i))),
     )
     cased = F.split(text, " ")
     # Shouting only says something when the rest of the text does not shout.
@@ -142,7 +144,7 @@ def _valence(text: Column, low: Column, lexicon: Lexicon) -> Column:
     nothing = F.array().cast("array<bigint>")
     return let(
         hits,
-        lambda h: F.when(F.size(h) == 0, nothing).otherwise(
+        lambda h: F.when(h.isNull(), nothing).otherwise(
             let(context, lambda ctx: F.transform(h, lambda i: score(i, ctx)))
         ),
     )

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsmood.functions.text import first_filled, or_empty, reading_minutes, strip, word_count
+from newsmood.functions.text import (
+    NOT_WS,
+    WS_CHARS,
+    first_filled,
+    or_empty,
+    reading_minutes,
+    strip,
+    word_count,
+)
 from newsmood.schema import LENGTH_LIMITS, SOURCE_TYPES
 
 SALTS = 32
@@ -72,16 +80,30 @@ def check_lengths(df: DataFrame) -> DataFrame:
 
 def has_keywords(keywords: Sequence[str], title: str = "title", content: str = "content") -> Column:
     """Any keyword occurs, ignoring case, in ``title content`` (a literal substring)."""
-    text = F.lower(F.concat(or_empty(F.col(title)), F.lit(" "), or_empty(F.col(content))))
     wanted = list(dict.fromkeys(k.lower() for k in keywords))
-    found = F.lit(False)
+    text = F.lower(F.concat(or_empty(F.col(title)), F.lit(" "), or_empty(F.col(content))))
     if len(wanted) > MANY_KEYWORDS:
         short = [k for k in wanted if len(k) <= MAX_PATTERN_TERM]
-        found = text.rlike(prefix_pattern(short)) if short else found
-        wanted = [k for k in wanted if len(k) > MAX_PATTERN_TERM]
-    for k in wanted:
-        found = found | F.contains(text, F.lit(k))
-    return found
+        rest = [k for k in wanted if len(k) > MAX_PATTERN_TERM]
+    else:
+        short, rest = [], wanted
+
+    def found(t: Column) -> Column:
+        hit = F.lit(False)
+        for k in rest:
+            hit = hit | F.contains(t, F.lit(k))
+        return hit | _long_words(t, short).rlike(prefix_pattern(short)) if short else hit
+
+    # Through a one-element array the lower-cased text is made once, not per keyword.
+    return F.exists(F.array(text), found)
+
+
+def _long_words(text: Column, terms: Sequence[str]) -> Column:
+    """The text without tokens too short to hold any of the (blank-free) terms."""
+    shortest = min(map(len, terms))
+    if shortest < 3 or any(ch in WS_CHARS for k in terms for ch in k):
+        return text
+    return F.regexp_replace(text, f"(?<!{NOT_WS}){NOT_WS}{{1,{shortest - 1}}}(?!{NOT_WS})", "")
 
 
 MANY_KEYWORDS = 50

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsmood.schema import LABELS
@@ -39,13 +40,13 @@ def analysis_summary(
             F.sum(F.col(confidence).cast("decimal(20,12)")).alias("s"),
         )
     )
-    # Three rows at most: joining them with their own total needs no window over articles.
-    total = by_label.agg(F.sum("n").alias("articles_processed"), F.sum("s").alias("total"))
-    return by_label.join(F.broadcast(total)).select(
+    # The window runs over the counts, one row per label.
+    every = W.partitionBy()
+    return by_label.select(
         "label",
         "n",
-        "articles_processed",
-        (F.col("total").cast("double") / F.col("articles_processed")).alias("average_confidence"),
+        F.sum("n").over(every).alias("articles_processed"),
+        (F.sum("s").over(every).cast("double") / F.sum("n").over(every)).alias("average_confidence"),
     )
 
 
@@ -68,9 +69,9 @@ def sentiment_by_source(df: DataFrame, label: str = "sentiment_label") -> DataFr
 def sentiment_share(df: DataFrame, label: str = "sentiment_label") -> DataFrame:
     """Count and percentage of each label present."""
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).count()
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.join(F.broadcast(total)).select(
-        "label", F.col("count").alias("n"), (F.col("count") / F.col("total") * 100).alias("pct")
+    total = F.sum("count").over(W.partitionBy())  # over the counts, one row per label
+    return counts.select(
+        "label", F.col("count").alias("n"), (F.col("count") / total * 100).alias("pct")
     )
 
 

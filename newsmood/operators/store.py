@@ -46,14 +46,16 @@ def upsert(store: DataFrame, incoming: DataFrame, *order: str) -> DataFrame:
 
 
 def upsert_counts(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One row: saved records, distinct URLs saved, of which new and updated."""
+    """One row: saved records, their distinct URLs, new and known ones, store size after."""
     urls = incoming.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
     known = store.select("url", F.lit(True).alias("known"))
-    return urls.join(known, "url", "left").agg(
+    is_new, is_known = F.col("n").isNotNull(), F.col("known").isNotNull()
+    return urls.join(known, "url", "full_outer").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("saved"),
-        F.count(F.lit(1)).alias("urls"),
-        F.count_if(F.col("known").isNull()).alias("inserted"),
-        F.count("known").alias("updated"),
+        F.count_if(is_new).alias("urls"),
+        F.count_if(is_new & ~is_known).alias("inserted"),
+        F.count_if(is_new & is_known).alias("updated"),
+        F.count(F.lit(1)).alias("total"),
     )
 
 

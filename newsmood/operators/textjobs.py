@@ -177,11 +177,20 @@ def _find(c: Column, pattern: str) -> Column:
 
 
 def _named(c: Column, suffixes: str, inside: str) -> Column:
-    # Each capital letter would scan to the end of its run; no suffix, no scan. Text
-    # behind the last suffix cannot match either, so it is cut off first.
-    head = F.regexp_extract(c, rf"(?s)^.*(?:{suffixes}).?", 0)
-    pattern = rf"(?U)\b[A-Z][{inside}{WS[1:-1]}]+(?:{suffixes})\b"
-    return F.when(head == "", F.array().cast("array<string>")).otherwise(_find(head, pattern))
+    """Capitalised runs that end in one of the suffixes.
+
+    A match lies within one run of ``inside`` characters and blanks. The text is
+    cut at every other character, which stays on both sides as context for the
+    word borders, and only pieces that hold a suffix are searched: over the whole
+    text each capital letter would scan to the end of its run and back.
+    """
+    run = f"{inside}{WS[1:-1]}"
+    pieces = F.split(F.regexp_replace(c, f"[^{run}]", "$0\x01$0"), "\x01")
+    pattern = rf"(?U)\b[A-Z][{run}]+(?:{suffixes})\b"
+    hits = F.transform(
+        F.filter(pieces, lambda p: p.rlike(suffixes)), lambda p: _find(p, pattern)
+    )
+    return F.when(c.rlike(suffixes), F.flatten(hits)).otherwise(F.array().cast("array<string>"))
 
 
 def entities(c: Column, kinds: tuple[str, ...] = ENTITY_KINDS) -> Column:

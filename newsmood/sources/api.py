@@ -44,11 +44,10 @@ def _no_sentiment() -> Column:
 
 def parse_responses(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds ``response`` (parsed), ``ok`` and ``error_message`` to landed API responses."""
-    response = F.from_json(F.col(payload), API_RESPONSE)
+    response = F.explode(F.array(F.from_json(F.col(payload), API_RESPONSE))).alias("response")
     status = F.col("response.status")
     return (
-        payloads.withColumn("response", response)
-        .drop(payload)
+        payloads.select(*[c for c in payloads.columns if c != payload], response)
         .withColumn("ok", F.coalesce(status == "ok", F.lit(False)))
         .withColumn(
             "error_message",
@@ -146,7 +145,7 @@ def source_catalog(
     payload: str = "payload",
 ) -> DataFrame:
     """Sources listed by successful catalog responses, filtered by what is given."""
-    r = F.from_json(F.col(payload), CATALOG_RESPONSE)
+    r = F.explode(F.array(F.from_json(F.col(payload), CATALOG_RESPONSE)))
     rows = (
         payloads.select(r.alias("r"))
         .where("r.status = 'ok'")
