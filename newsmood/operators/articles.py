@@ -16,6 +16,7 @@ from newsmood.functions.text import (
     reading_minutes,
     strip,
     word_count,
+    words,
 )
 from newsmood.schema import LENGTH_LIMITS, SOURCE_TYPES
 
@@ -146,9 +147,7 @@ def keyword_semi_join(
     """Articles that contain any keyword of a table (case ignored).
 
     A table of at most ``limit`` keywords becomes one pattern, and the articles
-    are only filtered. A larger one is matched by equal words: each text is
-    reduced to its distinct substrings that have the length of a keyword and
-    start where one may start, which are then equi-joined with the keywords.
+    are only filtered. A larger one stays distributed, see ``_match_large``.
     """
     terms = keywords.select(F.lower(F.col(column)).alias("_kw")).where("_kw <> ''").distinct()
     known = [r[0] for r in terms.limit(limit + 1).collect()]
@@ -156,27 +155,53 @@ def keyword_semi_join(
         return df.where(F.lit(False))
     if len(known) <= limit:
         return df.where(has_keywords(known))
-    lengths = [r[0] for r in terms.select(F.length("_kw")).distinct().collect()]
+    return _match_large(df, terms, limit)
+
+
+def _match_large(df: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """Keyword matching by equality joins.
+
+    The first blank-free run of a keyword, its anchor, lies inside one token of any
+    text that holds the keyword. Distinct tokens are cut into all substrings of
+    anchor length and joined with the anchors. A keyword without blanks is its own
+    anchor and needs no more; the others are looked up in the texts that hold theirs.
+    """
+    terms = terms.withColumn("_gram", F.regexp_extract("_kw", f"{NOT_WS}+", 0))
+    blank = [r[0] for r in terms.where("_gram = ''").select("_kw").limit(limit + 1).collect()]
+    if len(blank) > limit:
+        raise ValueError(f"more than {limit} keywords consist of blanks only")
+    anchored = terms.where("_gram <> ''")
+    sizes = [r[0] for r in anchored.select(F.length("_gram")).distinct().collect()]
+
+    def cuts(token: Column) -> Column:
+        def of_size(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.length(token) - n + 1)
+            parts = F.transform(starts, lambda i: F.substring(token, i, F.lit(n)))
+            return F.when(F.length(token) >= n, parts).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[of_size(n) for n in sorted(sizes)]))
+
     text = F.lower(F.concat(or_empty(F.col("title")), F.lit(" "), or_empty(F.col("content"))))
-    grams = F.flatten(
-        F.array(*[
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)),
-                lambda i, n=n: F.substring(text, i, F.lit(n)),
-            )
-            for n in sorted(lengths)
-        ])
-    )
-    # The key of a match is the row's own, so equal URLs stay separate rows.
     row = [or_empty(F.col(c)) for c in ("url", "title", "content")]
     keyed = df.withColumn("_row", F.sha2(F.concat_ws("\n", *row), 256))
-    hits = (
-        keyed.select("_row", F.explode(F.array_distinct(grams)).alias("_kw"))
-        .join(terms, "_kw", "left_semi")
-        .select("_row")
-        .distinct()
+    # Copies of one article are alike for this purpose: one of each is cut up.
+    tokens = keyed.select("_row", F.explode(F.array_distinct(words(text))).alias("_token")).distinct()
+    grams = tokens.select("_row", F.explode(F.array_distinct(cuts(F.col("_token")))).alias("_gram"))
+    whole = anchored.where("_gram = _kw").select("_gram")
+    hits = grams.join(whole, "_gram", "left_semi").select("_row")
+    spaced = anchored.where("_gram <> _kw")
+    maybe = grams.distinct().join(spaced, "_gram").select("_row", "_kw")
+    texts = keyed.select("_row", text.alias("_text")).groupBy("_row").agg(F.first("_text").alias("_text"))
+    checked = maybe.join(texts, "_row").where("contains(_text, _kw)").select("_row")
+    found = hits.union(checked).distinct()
+    # Copies of one article may be many: they are spread by salt, the hits repeated per salt.
+    salt = (F.spark_partition_id() % SALTS).cast("int").alias("_salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    matched = keyed.select("*", salt).join(found.select("_row", every), ["_row", "_salt"], "left_semi")
+    matched = matched.drop("_row", "_salt")
+    return matched if not blank else df.where(has_keywords(blank)).unionByName(
+        matched.where(~has_keywords(blank))
     )
-    return keyed.join(hits, "_row", "left_semi").drop("_row")
 
 
 def query_articles(

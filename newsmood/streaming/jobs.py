@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from newsmood.operators.articles import top_n_per_group
+from newsmood.operators.articles import SALTS, top_n_per_group
 from newsmood.operators.store import last_by_url
 from newsmood.sources.registry import parse
 
@@ -49,13 +49,17 @@ def ingest(payloads: DataFrame, kind: str, as_of: Column) -> DataFrame:
     return parse(kind, payloads, as_of)
 
 
-def dedup(df: DataFrame, delay: str, time: str = "scraped_date") -> DataFrame:
+def dedup(df: DataFrame, delay: str, time: str = "scraped_date", salts: int = SALTS) -> DataFrame:
     """First sight of each URL; a URL is remembered for ``delay`` of event time.
 
-    The delay bounds the state. Rows later than it are dropped; the batch dedup
-    and the store stay exact for any distance.
+    A first round per (URL, salt) lets a URL that fills the stream be handled by
+    ``salts`` tasks; the second sees at most one row per salt. The delay bounds the
+    state. Rows later than it are dropped; the batch dedup and the store stay exact
+    for any distance.
     """
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"])
+    salted = df.withColumn("_salt", F.spark_partition_id() % salts)
+    first = salted.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url", "_salt"])
+    return first.dropDuplicatesWithinWatermark(["url"]).drop("_salt")
 
 
 def log_batches(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

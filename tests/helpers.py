@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsmood.schema import ARTICLE
@@ -44,3 +45,7 @@ def texts(spark, values):
 
 def column(df, name="v"):
     return [r[name] for r in df.orderBy("seq").collect()]
+
+
+def as_of():
+    return F.lit("2024-03-01 00:00:00").cast("timestamp")
