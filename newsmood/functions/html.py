@@ -35,12 +35,12 @@ def unescape(c: Column, full: bool = False) -> Column:
     """Decode character references.
 
     The native form knows ``NAMED`` and the numeric references of printable
-    characters. ``full`` decodes the whole HTML 5 table in an Arrow-batched UDF,
-    which only rows that hold an ampersand pay for.
+    characters. ``full`` decodes the whole HTML 5 table in an Arrow-batched UDF;
+    rows without an ampersand are sent as NULL.
     """
     text = or_empty(c)
     if full:
-        return F.when(F.contains(text, F.lit("&")), _unescape(text)).otherwise(text)
+        return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
     pieces = F.split(text, f"(?={_NUMERIC})|(?<={_NUMERIC})")
     digits = lambda p: F.regexp_extract(p, r"&#([xX]?)([0-9a-fA-F]+);", 2)
     code = lambda p: F.when(
@@ -65,32 +65,3 @@ def strip_tags(c: Column) -> Column:
 def clean_html(c: Column, full: bool = False) -> Column:
     """Tags to nothing (words join up, script bodies stay), references decoded, blanks collapsed."""
     return collapse(unescape(strip_tags(or_empty(c)), full))
-
-
-_CLASS_ATTR = r"""<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?\bclass\s*=\s*["']?[^"'>]*?(?<![\w-])%s(?![\w-])[^>]*>"""
-
-
-def by_tag(tag: str) -> str:
-    """Pattern whose group 1 is the body of the first ``<tag>`` element."""
-    return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
-
-
-def by_class(css_class: str) -> str:
-    """Pattern whose group 1 is the body of the first element of that class.
-
-    The body ends at the first closing tag of the same name, so elements nested
-    in their own kind need the document walk in ``sources.pages`` instead.
-    """
-    open_tag = _CLASS_ATTR % css_class
-    return f"(?is){open_tag}(.*?)</\\1\\s*>".replace("<([a-zA-Z]", "<(?<tag>[a-zA-Z]", 1).replace(
-        "\\1", "\\k<tag>"
-    )
-
-
-def visible_text(c: Column) -> Column:
-    """Text of a fragment without comments, scripts, styles and advertising blocks."""
-    out = F.regexp_replace(or_empty(c), r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    for unwanted in ("advertisement", "ad", "social-share"):
-        out = F.regexp_replace(out, f"(?is){_CLASS_ATTR % unwanted}.*?</\\1\\s*>", "")
-    return unescape(strip_tags(out))

@@ -37,7 +37,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     An expression named twice, or once inside a lambda, is otherwise computed
     again for every use, which makes nested array functions quadratic.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # A lambda of one parameter: a second one, even optional, would receive the index.
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def or_empty(c: Column) -> Column:

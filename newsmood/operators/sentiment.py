@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from newsmood.functions import scores as S
 from newsmood.functions.lexicon import Lexicon
 from newsmood.functions.text import analysis_text, collapse, let, sentences, word_count
+from newsmood.session import built_once
 
 Analyzer = Callable[[DataFrame], DataFrame]
 _ANALYZERS: dict[str, Analyzer] = {}
@@ -110,16 +111,14 @@ def get_analyzer(name: str) -> Analyzer:
 def column_analyzer(expr: Callable[[Column], Column]) -> Analyzer:
     """An analyzer from a function of the analysis text (title, then content).
 
-    A pandas UDF that returns the sentiment struct fits as well. The expression is
-    large and always the same, so it is built once per application.
+    A pandas UDF that returns the sentiment struct fits as well.
     """
-    built: dict[str, Column] = {}
+
+    def make() -> Column:
+        return expr(analysis_text(F.col("title"), F.col("content")))
 
     def run(df: DataFrame) -> DataFrame:
-        app = df.sparkSession.sparkContext.applicationId
-        if app not in built:
-            built[app] = expr(analysis_text(F.col("title"), F.col("content")))
-        return df.withColumn("sentiment", built[app])
+        return df.withColumn("sentiment", built_once(df, ("analyzer", expr), make))
 
     return run
 

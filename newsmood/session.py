@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", app: str = "newsmood", **conf: str) -> SparkSession:
@@ -34,6 +35,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built_once(df: DataFrame, key: tuple, make: Callable[[], Column]) -> Column:
+    """A large expression that is always the same, built once per application.
+
+    Every node of an expression costs a call into the JVM, so building one of a few
+    thousand nodes takes longer than planning it.
+    """
+    full = (df.sparkSession.sparkContext.applicationId, *key)
+    if full not in _BUILT:
+        _BUILT[full] = make()
+    return _BUILT[full]
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for files one job writes and another reads.
 

@@ -151,7 +151,7 @@ def read_json(spark: SparkSession, path: str, as_of: Column, enveloped: bool = F
     if not enveloped:
         lines = spark.read.text(path).withColumnRenamed("value", "json")
         return articles_from_json(lines, as_of)
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     records = F.coalesce(
         F.from_json("value", f"articles array<struct<{_struct_ddl()}>>")["articles"],
         F.from_json("value", f"array<struct<{_struct_ddl()}>>"),

@@ -1,8 +1,9 @@
 """Web pages to articles and article links.
 
 ``extract_articles`` and ``extract_links`` are expressions over the raw HTML.
-``extract_articles_dom`` walks the tags in Arrow batches for pages whose elements
-nest in their own kind; it answers the same selectors.
+``extract_articles_dom`` runs a full HTML tokenizer in Arrow batches for badly
+formed pages (tags inside attribute values, elements closed by their parent); it
+answers the same selectors.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.functions.dates import parse_date
-from newsmood.functions.html import by_class, by_tag, strip_tags, unescape, visible_text
+from newsmood.functions.html import unescape
 from newsmood.functions.text import clean_text, first_filled, let
 from newsmood.functions.urls import is_article_url, resolve, source_name
 from newsmood.operators.textjobs import frequent_keywords
 from newsmood.schema import ARTICLE
+from newsmood.session import built_once
 
 # Selectors by field, in order of preference.
 TITLE = ("h1.article-title", "h1.entry-title", "h1.post-title", ".article-headline h1",
@@ -49,90 +51,188 @@ def _parse(selector: str) -> list[tuple]:
     return steps
 
 
-def _open(tag: str | None, css: str | None, attr: str | None, op: str | None, value: str | None) -> str:
-    """Pattern of an opening tag; the tag name is the named group ``tag``."""
-    out = f"<(?<tag>{tag or '[a-zA-Z][a-zA-Z0-9]*'})\\b"
+def _opening(step: tuple) -> str:
+    """Pattern of a piece that starts with an opening tag of this kind."""
+    tag, css, attr, op, value = step
+    out = rf"(?is)^<{tag or '[a-zA-Z][a-zA-Z0-9]*'}\b"
     if css:
-        out += rf"""(?=[^>]*?\bclass\s*=\s*(?:"[^">]*?(?<![\w-]){css}(?![\w-])|'[^'>]*?(?<![\w-]){css}(?![\w-])|{css}[\s>]))"""
-    if attr:
-        inner = "" if op is None else (f"[^\"'>]*?{re.escape(value)}" if op == "*=" else re.escape(value))
-        tail = "" if op is None else rf"""\s*=\s*["']?{inner}""" + ("" if op == "*=" else r"""(?=["'\s>])""")
-        out += rf"(?=[^>]*?\s{attr}\b{tail})"
-    return out + "[^>]*>"
-
-
-def _mentioned(html: Column, steps: list[tuple]) -> Column:
-    """Cheap test that a selector can match at all: its class and attribute names occur."""
-    names = [n for step in steps for n in (step[1], step[2]) if n]
-    out = F.lit(True)
-    for n in names:
-        out = out & F.contains(html, F.lit(n))
+        inside = rf"(?<![\w-]){css}(?![\w-])"
+        out += rf"""(?=[^>]*?\sclass\s*=\s*(?:"[^">]*?{inside}|'[^'>]*?{inside}|{css}[\s>]))"""
+    if attr and not op:
+        out += rf"(?=[^>]*?\s{attr}\b)"
+    elif attr:
+        gap, end = ("[^\"'>]*?", "") if op == "*=" else ("", r"""(?=["'\s>])""")
+        out += rf"""(?=[^>]*?\s{attr}\s*=\s*["']?{gap}{re.escape(value)}{end})"""
     return out
 
 
-def element(html: Column, selector: str) -> Column:
-    """Inner HTML of the first element a selector of one or two steps picks; '' if none."""
-    steps = _parse(selector)
-    body = html
-    for step in steps:
-        tag, css = step[0], step[1]
-        if tag and not css and not step[2]:
-            body = F.regexp_extract(body, by_tag(tag), 1)
-        elif css and not tag and not step[2]:
-            body = F.regexp_extract(body, by_class(css), 2)
-        else:
-            body = F.regexp_extract(body, f"(?is){_open(*step)}(.*?)</\\k<tag>\\s*>", 2)
-    return F.when(_mentioned(html, steps), body).otherwise("")
-
-
-def attribute(html: Column, selector: str, name: str) -> Column:
-    """An attribute of the first element of a one-step selector; '' if none."""
-    steps = _parse(selector)
-    open_tag = F.regexp_extract(html, f"(?is){_open(*steps[0])}", 0)
-    value = F.regexp_extract(open_tag, rf"""(?is)\s{name}\s*=\s*["']?([^"'>]*)""", 1)
-    return F.when(_mentioned(html, steps) & F.contains(html, F.lit(name)), value).otherwise("")
+_SKIPPED = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+_TAG = r"""(?s)^</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
-def first_text(html: Column, selectors: Sequence[str], usable) -> Column:
-    """Cleaned text of the first selected element whose text is usable; NULL if none."""
-    found = F.filter(F.array(*[element(html, s) for s in selectors]), lambda e: e != "")
-    texts = F.transform(found, lambda e: clean_text(visible_text(e)))
-    return F.get(F.filter(texts, usable), F.lit(0))
+def page(html: Column) -> Column:
+    """A page cut before every tag: ``struct(html, pieces, names)``.
 
-
-def _meta(html: Column, key: str, value: str) -> Column:
-    open_tag = F.regexp_extract(
-        html, rf"""(?is)<meta\b(?=[^>]*\s{key}\s*=\s*["']?{re.escape(value)}["'\s])[^>]*>""", 0
+    ``names`` holds each piece's tag name, with a slash for closing tags. Comments,
+    scripts and styles are gone. Elements are index ranges of pieces, found by
+    counting the tags of their kind, so nested elements come out whole.
+    """
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _SKIPPED, "")
+    pieces = let(bare, lambda h: F.struct(h.alias("html"), F.split(h, "(?=</?[a-zA-Z])").alias("pieces")))
+    name = lambda p: F.lower(F.regexp_extract(p, r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
+    return let(
+        pieces,
+        lambda x: F.struct(
+            x["html"].alias("html"),
+            x["pieces"].alias("pieces"),
+            F.transform(x["pieces"], name).alias("names"),
+        ),
     )
-    content = F.regexp_extract(open_tag, r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 0)
-    bare = F.regexp_replace(content, r"""(?is)^\scontent\s*=\s*["']|["']$""", "")
-    return F.when(F.contains(html, F.lit(value)), bare).otherwise("")
-
-
-def _page_fields(html: Column, titles: Sequence[str], contents: Sequence[str]) -> Column:
-    stamps = F.array(
-        *[
-            first_filled(
-                attribute(html, s, "datetime"),
-                attribute(html, s, "pubdate"),
-                strip_tags(element(html, s)),
+
+
+def _end(doc: Column, start: Column) -> Column:
+    """Index of the piece behind the element that starts at ``start``; unclosed: the page's end."""
+
+    def walk(tag: Column) -> Column:
+        begin = F.struct(F.lit(1).alias("depth"), (start + 1).alias("at"), F.lit(-1).alias("end"))
+
+        def step(acc: Column, name: Column) -> Column:
+            move = F.when(name == tag, 1).when(name == F.concat(F.lit("/"), tag), -1).otherwise(0)
+            depth = acc["depth"] + move
+            return F.when(acc["end"] >= 0, acc).otherwise(
+                F.struct(
+                    depth.alias("depth"),
+                    (acc["at"] + 1).alias("at"),
+                    F.when(depth == 0, acc["at"]).otherwise(-1).alias("end"),
+                )
             )
-            for s in DATE
-        ]
-    )
-    dates = F.filter(
-        F.transform(F.array_compact(stamps), lambda v: parse_date(unescape(v))), lambda v: v.isNotNull()
-    )
-    about = F.filter(
-        F.transform(F.array(*[_meta(html, k, v) for k, v in SUMMARY]), lambda v: clean_text(unescape(v))),
-        lambda v: v != "",
+
+        rest = F.slice(doc["names"], start + 2, F.size(doc["names"]))
+        found = F.aggregate(rest, begin, step, lambda acc: acc["end"])
+        return F.when(tag.isin(*_VOID), start).otherwise(
+            let(found, lambda e: F.when(e >= 0, e).otherwise(F.size(doc["names"])))
+        )
+
+    return let(F.get(doc["names"], start), walk)
+
+
+def _starts(doc: Column, step: tuple) -> Column:
+    """Indexes of all pieces that open an element of this kind."""
+    pattern = _opening(step)
+    return F.array_compact(F.transform(doc["pieces"], lambda p, i: F.when(p.rlike(pattern), i)))
+
+
+def _spans(doc: Column, step: tuple) -> Column:
+    return F.transform(
+        _starts(doc, step), lambda i: F.struct(i.alias("start"), _end(doc, i).alias("end"))
     )
+
+
+def _selected(doc: Column, selector: str) -> Column:
+    """Indexes of the elements a selector of one or two steps picks, in page order.
+
+    The attribute and class names must occur in the page at all before any piece
+    is looked at, which settles most selectors at once.
+    """
+    steps = _parse(selector)
+    if len(steps) > 2:
+        raise ValueError(f"unsupported selector: {selector}")
+    starts = _starts(doc, steps[-1])
+    if len(steps) == 2:
+        starts = let(
+            _spans(doc, steps[0]),
+            lambda outer: F.filter(
+                starts, lambda i: F.exists(outer, lambda s: (s["start"] < i) & (i < s["end"]))
+            ),
+        )
+    possible = F.lit(True)
+    for name in [n for step in steps for n in (step[1], step[2]) if n]:
+        possible = possible & F.contains(F.lower(doc["html"]), F.lit(name.lower()))
+    return F.when(possible, starts).otherwise(F.array().cast("array<int>"))
+
+
+def _firsts(doc: Column, selectors: Sequence[str]) -> Column:
+    """Index of the first element of each selector that picks any."""
+    return F.array_compact(F.array(*[F.get(_selected(doc, s), F.lit(0)) for s in selectors]))
+
+
+def _element_text(doc: Column, start: Column, drop: Column | None = None) -> Column:
+    """Cleaned text of the element, without the elements whose spans are in ``drop``."""
+
+    def inside(end: Column) -> Column:
+        numbered = F.transform(
+            F.slice(doc["pieces"], start + 1, end - start),
+            lambda p, i: F.struct(p.alias("p"), (start + i).alias("i")),
+        )
+        if drop is not None:
+            numbered = F.filter(
+                numbered,
+                lambda x: ~F.exists(drop, lambda s: (s["start"] <= x["i"]) & (x["i"] < s["end"])),
+            )
+        return F.array_join(F.transform(numbered, lambda x: F.regexp_replace(x["p"], _TAG, "")), "")
+
+    return clean_text(unescape(let(_end(doc, start), inside)))
+
+
+# Elements removed from the content.
+UNWANTED = (".advertisement", ".ad", ".social-share")
+
+
+def first_text(doc: Column, selectors: Sequence[str], usable, drop: Column | None = None) -> Column:
+    """Text of the first selected element whose text is usable; NULL if none."""
+    texts = F.transform(_firsts(doc, selectors), lambda i: _element_text(doc, i, drop))
+    return F.get(F.filter(texts, usable), F.lit(0))
+
+
+def _attribute(piece: Column, name: str) -> Column:
+    value = F.regexp_extract(piece, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _content(doc: Column, selectors: Sequence[str]) -> Column:
+    parts = []
+    for s in UNWANTED:
+        css = _parse(s)[0]
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        there = F.contains(F.lower(doc["html"]), F.lit(css[1]))
+        parts.append(F.when(there, _spans(doc, css)).otherwise(none))
+    long_enough = lambda v: F.length(v) > MIN_CONTENT
+    return let(F.concat(*parts), lambda drop: first_text(doc, selectors, long_enough, drop))
+
+
+def _published(doc: Column) -> Column:
+    def stamp(i: Column) -> Column:
+        piece = F.get(doc["pieces"], i)
+        return first_filled(_attribute(piece, "datetime"), _attribute(piece, "pubdate"), _element_text(doc, i))
+
+    dates = F.transform(_firsts(doc, DATE), lambda i: let(stamp(i), parse_date))
+    return F.get(F.filter(dates, lambda v: v.isNotNull()), F.lit(0))
+
+
+def _about(doc: Column) -> Column:
+    metas = F.filter(doc["pieces"], lambda p: p.rlike("(?i)^<meta\\b"))
+
+    def pick(m: Column) -> Column:
+        named = [F.get(F.filter(m, _is_meta(key, value)), F.lit(0)) for key, value in SUMMARY]
+        texts = F.transform(F.array_compact(F.array(*named)), lambda p: clean_text(_attribute(p, "content")))
+        return F.get(F.filter(texts, lambda v: v != ""), F.lit(0))
+
+    return let(metas, pick)
+
+
+def _is_meta(key: str, value: str):
+    pattern = rf"""(?is)\s{key}\s*=\s*["']?{re.escape(value)}["'\s>/]"""
+    return lambda piece: piece.rlike(pattern)
+
+
+def _page_fields(doc: Column, titles: Sequence[str], contents: Sequence[str]) -> Column:
     return F.struct(
-        first_text(html, titles, lambda v: F.length(v) > MIN_TITLE).alias("title"),
-        first_text(html, contents, lambda v: F.length(v) > MIN_CONTENT).alias("content"),
-        first_text(html, AUTHOR, lambda v: (v != "") & (F.length(v) < MAX_AUTHOR)).alias("author"),
-        F.get(dates, F.lit(0)).alias("published"),
-        F.get(about, F.lit(0)).alias("summary"),
+        first_text(doc, titles, lambda v: F.length(v) > MIN_TITLE).alias("title"),
+        _content(doc, contents).alias("content"),
+        first_text(doc, AUTHOR, lambda v: (v != "") & (F.length(v) < MAX_AUTHOR)).alias("author"),
+        _published(doc).alias("published"),
+        _about(doc).alias("summary"),
     )
 
 
@@ -151,9 +251,13 @@ def extract_articles(
     All fields come out of one struct that is unpacked as a zero- or one-row table,
     so the drop test does not compute title and content a second time.
     """
-    bare = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
-    fields = let(bare, lambda h: _page_fields(h, (*title, *TITLE), (*content, *CONTENT)))
-    usable = F.filter(F.array(fields), lambda x: x["title"].isNotNull() & x["content"].isNotNull())
+    titles, contents = (*title, *TITLE), (*content, *CONTENT)
+
+    def make() -> Column:
+        fields = let(page(F.col(html)), lambda d: _page_fields(d, titles, contents))
+        return F.filter(F.array(fields), lambda x: x["title"].isNotNull() & x["content"].isNotNull())
+
+    usable = built_once(pages, ("page", html, titles, contents), make)
     return pages.select(*keep, F.col(url).alias("url"), F.inline(usable)).select(
         "title",
         "content",
@@ -172,45 +276,27 @@ def extract_articles(
     )
 
 
-def _hrefs(html: Column, selector: str) -> Column:
-    steps = _parse(selector)
-    scope = html
-    anchors = lambda h: F.transform(
-        F.regexp_extract_all(
-            h, F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0)
-        ),
-        lambda t: unescape(
-            F.regexp_replace(t, r"""(?is)^<a\b[^>]*?\shref\s*=\s*["']?|["']$""", "")
-        ),
-    )
-    if len(steps) == 1:
-        _, _, _, op, value = steps[0]
-        found = anchors(scope)
-        return F.filter(found, lambda u: F.contains(u, F.lit(value))) if op else found
-    tag, css = steps[0][0], steps[0][1]
-    if css:
-        pattern = f"(?is){_open(tag, css, None, None, None)}.*?</\\k<tag>\\s*>"
-    else:
-        pattern = rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
-    scopes = F.regexp_extract_all(scope, F.lit(pattern), F.lit(0))
-    return F.flatten(F.transform(scopes, anchors))
-
-
 def article_links(html: Column, base: Column, selectors: Sequence[str] = LINKS) -> Column:
     """Absolute article links of the first selector that yields any, first occurrence order."""
-    per_selector = []
-    for s in selectors:
-        urls = F.transform(F.filter(_hrefs(html, s), lambda u: u != ""), lambda u: resolve(base, u))
+
+    def of(doc: Column, selector: str) -> Column:
+        refs = F.transform(_selected(doc, selector), lambda i: _attribute(F.get(doc["pieces"], i), "href"))
+        urls = F.transform(F.filter(refs, lambda u: u != ""), lambda u: resolve(base, u))
         valid = F.filter(urls, is_article_url)
-        per_selector.append(let(valid, lambda v: F.when(F.size(v) > 0, F.array_distinct(v))))
-    return F.coalesce(*per_selector, F.array().cast("array<string>"))
+        return let(valid, lambda v: F.when(F.size(v) > 0, F.array_distinct(v)))
+
+    none = F.array().cast("array<string>")
+    return let(page(html), lambda d: F.coalesce(*[of(d, s) for s in selectors], none))
 
 
 def extract_links(
     pages: DataFrame, *keep: str, selectors: Sequence[str] = (), url: str = "url", html: str = "html"
 ) -> DataFrame:
     """One row per link: ``keep, base_url, pos, link``. Nothing leaves the page's row."""
-    links = article_links(F.col(html), F.col(url), (*selectors, *LINKS))
+    order = (*selectors, *LINKS)
+    links = built_once(
+        pages, ("links", html, url, order), lambda: article_links(F.col(html), F.col(url), order)
+    )
     return pages.select(*keep, F.col(url).alias("base_url"), F.posexplode(links).alias("pos", "link"))
 
 
