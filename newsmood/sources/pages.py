@@ -72,19 +72,22 @@ _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 def page(html: Column) -> Column:
-    """A page cut before every tag: ``struct(html, pieces, names)``.
+    """A page cut before every tag: ``struct(low, pieces, names)``.
 
-    ``names`` holds each piece's tag name, with a slash for closing tags. Comments,
-    scripts and styles are gone. Elements are index ranges of pieces, found by
-    counting the tags of their kind, so nested elements come out whole.
+    ``names`` holds each piece's tag name, with a slash for closing tags; ``low`` is
+    the page in lower case, for cheap tests. Comments, scripts and styles are gone.
+    Elements are index ranges of pieces, found by counting the tags of their kind,
+    so nested elements come out whole.
     """
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), _SKIPPED, "")
-    pieces = let(bare, lambda h: F.struct(h.alias("html"), F.split(h, "(?=</?[a-zA-Z])").alias("pieces")))
+    pieces = let(
+        bare, lambda h: F.struct(F.lower(h).alias("low"), F.split(h, "(?=</?[a-zA-Z])").alias("pieces"))
+    )
     name = lambda p: F.lower(F.regexp_extract(p, r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
     return let(
         pieces,
         lambda x: F.struct(
-            x["html"].alias("html"),
+            x["low"].alias("low"),
             x["pieces"].alias("pieces"),
             F.transform(x["pieces"], name).alias("names"),
         ),
@@ -117,44 +120,62 @@ def _end(doc: Column, start: Column) -> Column:
     return let(F.get(doc["names"], start), walk)
 
 
-def _starts(doc: Column, step: tuple) -> Column:
-    """Indexes of all pieces that open an element of this kind."""
-    pattern = _opening(step)
-    return F.array_compact(F.transform(doc["pieces"], lambda p, i: F.when(p.rlike(pattern), i)))
+def _rule(selector: str) -> Column:
+    """A selector of one or two steps as data: names that must occur, and a rule per step."""
+    steps = _parse(selector)
+    if len(steps) > 2:
+        raise ValueError(f"unsupported selector: {selector}")
+    needs = [n.lower() for step in steps for n in (step[1], step[2]) if n]
 
+    def fields(prefix: str, step: tuple | None) -> list[Column]:
+        tag, pattern = ((step[0] or "").lower(), _opening(step)) if step else ("", "")
+        return [F.lit(tag).alias(f"{prefix}_tag"), F.lit(pattern).alias(f"{prefix}_pattern")]
 
-def _spans(doc: Column, step: tuple) -> Column:
-    return F.transform(
-        _starts(doc, step), lambda i: F.struct(i.alias("start"), _end(doc, i).alias("end"))
+    return F.struct(
+        F.array(*[F.lit(n) for n in needs]).cast("array<string>").alias("needs"),
+        *fields("outer", steps[0] if len(steps) == 2 else None),
+        *fields("inner", steps[-1]),
     )
 
 
-def _selected(doc: Column, selector: str) -> Column:
-    """Indexes of the elements a selector of one or two steps picks, in page order.
+def _starts(doc: Column, tag: Column, pattern: Column) -> Column:
+    """Indexes of all pieces that open an element of this kind."""
 
-    The attribute and class names must occur in the page at all before any piece
-    is looked at, which settles most selectors at once.
-    """
-    steps = _parse(selector)
-    if len(steps) > 2:
-        raise ValueError(f"unsupported selector: {selector}")
-    starts = _starts(doc, steps[-1])
-    if len(steps) == 2:
-        starts = let(
-            _spans(doc, steps[0]),
-            lambda outer: F.filter(
-                starts, lambda i: F.exists(outer, lambda s: (s["start"] < i) & (i < s["end"]))
-            ),
-        )
-    possible = F.lit(True)
-    for name in [n for step in steps for n in (step[1], step[2]) if n]:
-        possible = possible & F.contains(F.lower(doc["html"]), F.lit(name.lower()))
-    return F.when(possible, starts).otherwise(F.array().cast("array<int>"))
+    def opens(p: Column, i: Column) -> Column:
+        name = F.get(doc["names"], i)
+        named = F.when(tag == "", ~name.isin("") & ~name.startswith("/")).otherwise(name == tag)
+        return F.when(named & F.regexp_substr(p, pattern).isNotNull(), i)
+
+    return F.array_compact(F.transform(doc["pieces"], opens))
+
+
+def _spans(doc: Column, starts: Column) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), _end(doc, i).alias("end")))
+
+
+def _possible(doc: Column, rule: Column) -> Column:
+    """The attribute and class names occur at all; this settles most selectors at once."""
+    return F.forall(rule["needs"], lambda n: F.contains(doc["low"], n))
+
+
+def _selected(doc: Column, rule: Column) -> Column:
+    """Indexes of the elements a rule picks, in page order."""
+    inner = _starts(doc, rule["inner_tag"], rule["inner_pattern"])
+    outer = _spans(doc, _starts(doc, rule["outer_tag"], rule["outer_pattern"]))
+    nested = let(
+        outer,
+        lambda spans: F.filter(
+            inner, lambda i: F.exists(spans, lambda s: (s["start"] < i) & (i < s["end"]))
+        ),
+    )
+    picked = F.when(rule["outer_pattern"] == "", inner).otherwise(nested)
+    return F.when(_possible(doc, rule), picked).otherwise(F.array().cast("array<int>"))
 
 
 def _firsts(doc: Column, selectors: Sequence[str]) -> Column:
     """Index of the first element of each selector that picks any."""
-    return F.array_compact(F.array(*[F.get(_selected(doc, s), F.lit(0)) for s in selectors]))
+    rules = F.array(*[_rule(s) for s in selectors])
+    return F.array_compact(F.transform(rules, lambda r: F.get(_selected(doc, r), F.lit(0))))
 
 
 def _element_text(doc: Column, start: Column, drop: Column | None = None) -> Column:
@@ -191,14 +212,10 @@ def _attribute(piece: Column, name: str) -> Column:
 
 
 def _content(doc: Column, selectors: Sequence[str]) -> Column:
-    parts = []
-    for s in UNWANTED:
-        css = _parse(s)[0]
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        there = F.contains(F.lower(doc["html"]), F.lit(css[1]))
-        parts.append(F.when(there, _spans(doc, css)).otherwise(none))
+    rules = F.array(*[_rule(s) for s in UNWANTED])
+    unwanted = F.flatten(F.transform(rules, lambda r: _selected(doc, r)))
     long_enough = lambda v: F.length(v) > MIN_CONTENT
-    return let(F.concat(*parts), lambda drop: first_text(doc, selectors, long_enough, drop))
+    return let(_spans(doc, unwanted), lambda drop: first_text(doc, selectors, long_enough, drop))
 
 
 def _published(doc: Column) -> Column:
@@ -279,14 +296,20 @@ def extract_articles(
 def article_links(html: Column, base: Column, selectors: Sequence[str] = LINKS) -> Column:
     """Absolute article links of the first selector that yields any, first occurrence order."""
 
-    def of(doc: Column, selector: str) -> Column:
-        refs = F.transform(_selected(doc, selector), lambda i: _attribute(F.get(doc["pieces"], i), "href"))
+    def valid(doc: Column, rule: Column) -> Column:
+        refs = F.transform(_selected(doc, rule), lambda i: _attribute(F.get(doc["pieces"], i), "href"))
         urls = F.transform(F.filter(refs, lambda u: u != ""), lambda u: resolve(base, u))
-        valid = F.filter(urls, is_article_url)
-        return let(valid, lambda v: F.when(F.size(v) > 0, F.array_distinct(v)))
+        return F.filter(urls, is_article_url)
+
+    def first(doc: Column) -> Column:
+        # A fold, so that selectors behind the first that yields links are not evaluated.
+        rules = F.array(*[_rule(s) for s in selectors])
+        none = F.array().cast("array<string>")
+        return F.aggregate(
+            rules, none, lambda acc, r: F.when(F.size(acc) > 0, acc).otherwise(valid(doc, r))
+        )
 
-    none = F.array().cast("array<string>")
-    return let(page(html), lambda d: F.coalesce(*[of(d, s) for s in selectors], none))
+    return F.array_distinct(let(page(html), first))
 
 
 def extract_links(
