@@ -23,7 +23,7 @@ from newsmood.operators.model import chunk_scores, ml_scorer, train
 from newsmood.plans import jobs
 from newsmood.session import spread, work_path
 from newsmood.sources import api, feeds, files, pages
-from newsmood.sources.registry import ingest_log
+from newsmood.sources.registry import ingest_log as log_of
 from newsmood.streaming import jobs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,15 +463,15 @@ def source_catalog(spark, d):
 
 
 @query
-def ingest_log_rows(spark, d):
+def ingest_log(spark, d):
     responses = api.parse_responses(A.api_payloads(A.articles(spark, d)))
-    return ingest_log(responses, A.as_of()).drop("scraping_time")
+    return log_of(responses, A.as_of()).drop("scraping_time")
 
 
 @query
 def ingest_run_totals(spark, d):
     responses = api.parse_responses(A.api_payloads(A.articles(spark, d)))
-    return stats.ingest_run_totals(ingest_log(responses, A.as_of()))
+    return stats.ingest_run_totals(log_of(responses, A.as_of()))
 
 
 @query

@@ -551,7 +551,7 @@ _LOG = f"""WITH b AS (
   SELECT source, 'api' AS source_type, NOT bool_or(failed) AS success,
     CASE WHEN bool_or(failed) THEN concat('News API error: limit of ', source) END AS error_message,
     {AS_OF} AS timestamp, sum(CASE WHEN failed THEN 0 ELSE n END)::BIGINT AS article_count FROM b GROUP BY source)"""
-ORACLE["ingest_log_rows"] = f"{_LOG} SELECT * FROM l"
+ORACLE["ingest_log"] = f"{_LOG} SELECT * FROM l"
 ORACLE["ingest_run_totals"] = f"""{_LOG} SELECT count(*) AS total_sources, count(*) FILTER (success) AS successful_sources,
   sum(article_count)::BIGINT AS total_articles FROM l"""
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from newsmood.functions.scores import map_model_label
 from newsmood.functions.text import let
 from newsmood.operators.sentiment import Analyzer, analyze, get_analyzer, sentiment_struct
-from newsmood.schema import LABELS
 
 
 def combine(votes: dict[str, Column]) -> Column:
@@ -151,6 +150,3 @@ def combine_parts(parts: Column, model: str) -> Column:
 def chunked(scores: Callable[[Column], Column], chunk_array: Column, model: str) -> Column:
     """Sentiment of a long text: score every chunk with ``scores`` (text -> map), then combine."""
     return combine_parts(F.transform(chunk_array, scores), model)
-
-
-__all__ = ["LABELS", "analyze_with", "chunked", "combine", "combine_parts", "combine_votes"]

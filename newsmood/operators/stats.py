@@ -1,4 +1,7 @@
-"""Counts, shares and report rows. Each is one scan with partial aggregation."""
+"""Counts, shares and report rows. Each is one scan with partial aggregation.
+
+Confidences are summed as decimals, so a mean is the same for every row order and retry.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +16,6 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def exact_mean(c: Column) -> Column:
-    """Mean through a decimal sum, so it is the same for every row order and retry."""
-    return F.try_divide(F.sum(c.cast("decimal(20,12)")).cast("double"), F.count(c))
-
-
 def sentiment_stats(df: DataFrame, label: str = "sentiment_label") -> DataFrame:
     """One row: total, analyzed, and a count for each of the three labels, zeros included."""
     c = F.col(label)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsmood.functions.dates import iso_text, parse_iso
 from newsmood.functions.text import or_empty, reading_minutes, word_count
+from newsmood.operators.stats import report_summary
 from newsmood.schema import ARTICLE, LABELS, SOURCE_TYPES
 
 FORMAT_VERSION = "1.0"
@@ -113,7 +114,8 @@ def write_articles(df: DataFrame, path: str, fmt: str = "json") -> int:
     """Write a folder of part files; returns the number of articles.
 
     JSON is one record per line, with ``_manifest`` beside the data holding the
-    export time, the total and the format version. Counting rides on the write.
+    export time, the total and the format version; ``report`` writes the report's
+    articles and summary tables. Counting rides on the write.
     """
     fmt = fmt.lower()
     seen = Observation("export")
@@ -136,7 +138,12 @@ def write_articles(df: DataFrame, path: str, fmt: str = "json") -> int:
     elif fmt == "report":
         report = report_projection(df)
         names = [c.lower().replace(" (min)", "").replace(" ", "_") for c in report.columns]
-        report.toDF(*names).write.mode("overwrite").parquet(path)
+        report.toDF(*names).write.mode("overwrite").parquet(f"{path}/articles")
+        # The summary sheet comes from the written rows, so scores are not computed again.
+        rows = df.sparkSession.read.parquet(f"{path}/articles").withColumn(
+            "sentiment_label", F.nullif("sentiment_label", F.lit(""))
+        )
+        report_summary(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
     else:
         raise ValueError(f"Unsupported export format: {fmt}")
     return seen.get["n"]

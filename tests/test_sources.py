@@ -178,5 +178,10 @@ def test_report_and_csv_columns(spark):
     row = files.csv_projection(df).orderBy("url").first()
     assert tuple(row.asDict()) == files.CSV_COLUMNS
     assert (row.keywords, row.author, row.published_date) == ("a b, c", "", "2024-01-01T00:00:00")
+    path = work_path(spark, "report")
+    assert files.write_articles(df, path, "report") == 2
+    assert spark.read.parquet(f"{path}/articles").count() == 2
+    summary = {r.metric: r.value for r in spark.read.parquet(f"{path}/summary").collect()}
+    assert summary["Total Articles"] == 2 and summary["Analysis Coverage"] == 100.0
     bare = files.csv_projection(df.withColumn("sentiment", F.lit(None).cast(df.schema["sentiment"].dataType))).first()
     assert (bare.sentiment_label, bare.sentiment_confidence) == ("", "")
