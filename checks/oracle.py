@@ -672,3 +672,25 @@ ORACLE["stream_sentiment_counts"] = f"""WITH {_LISTS}, {ART}, {lexical()}, w AS
   SELECT date_trunc('day', published_date) AS window_start, label FROM art JOIN lexd USING (seq))
 SELECT window_start, label, count(*) AS n FROM w
 WHERE window_start + INTERVAL 1 DAY <= (SELECT max(published_date) - INTERVAL 2 DAY FROM art) GROUP BY ALL"""
+
+
+# --- column types ------------------------------------------------------------------------------
+
+# Counters that Spark keeps as 32-bit integers.
+_INTEGERS = {
+    "word_reading_stats": ("word_count", "reading_time"),
+    "keywords_tfidf": ("rank", "n"),
+    "keywords_frequency": ("rank", "n"),
+    "readability": ("sentences", "words", "syllables"),
+    "chunk_text": ("part",),
+    "sentence_polarity": ("idx",),
+    "document_polarity": ("n_sentences", "n_words"),
+    "extract_links": ("pos",),
+    "stored_rows": ("word_count", "reading_time"),
+    "upsert_articles": ("word_count", "reading_time"),
+    "report_projection": ("word_count", "reading_time"),
+    "stream_upsert": ("word_count",),
+}
+for _name, _columns in _INTEGERS.items():
+    _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)
+    ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"

@@ -20,27 +20,36 @@ from newsmood.functions.text import (
 )
 from newsmood.schema import LENGTH_LIMITS, SOURCE_TYPES
 
-SALTS = 32
+# Rounds of a per-key limit: about the square root of the largest number of input
+# partitions, so that no task of any round sees more than that many times n rows of a key.
+LIMIT_SALTS = 1024
+# Spark pushes rank limits up to this size below the shuffle by default.
+PUSHED_LIMIT = 1000
+COPY_SALTS = 32
 
 
 def top_n_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = SALTS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = LIMIT_SALTS
 ) -> DataFrame:
     """First ``n`` rows per key.
 
     A key may own a third of the table. Every task first keeps only its own best
-    ``n`` (Spark pushes the rank limit below the shuffle); for larger ``n`` a
-    salted round in between spreads the survivors of a hot key over ``salts`` tasks.
+    ``n``: Spark pushes the rank limit below the shuffle, and for an ``n`` it does not
+    push, a round per input partition does the same. A salted round then spreads the
+    survivors of a hot key before the last one. One row per key needs no salt.
     """
     rank = F.row_number()
+
+    def limit(rows: DataFrame, *by: str) -> DataFrame:
+        spec = W.partitionBy(*keys, *by).orderBy(*order)
+        return rows.select("*", rank.over(spec).alias("_rank")).where(F.col("_rank") <= n).drop("_rank")
+
     if n > 1:
-        part = (F.spark_partition_id() % salts).alias("_salt")
-        df = df.select("*", part)
-        salted = W.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.select("*", rank.over(salted).alias("_rank")).where(F.col("_rank") <= n)
-        df = df.drop("_rank", "_salt")
-    whole = W.partitionBy(*keys).orderBy(*order)
-    return df.select("*", rank.over(whole).alias("_rank")).where(F.col("_rank") <= n).drop("_rank")
+        df = df.select("*", F.spark_partition_id().alias("_part"))
+        if n > PUSHED_LIMIT:
+            df = limit(df, "_part")
+        df = limit(df.withColumn("_salt", F.col("_part") % salts), "_salt").drop("_part", "_salt")
+    return limit(df)
 
 
 def first_by_url(df: DataFrame, *order: str) -> DataFrame:
@@ -195,8 +204,8 @@ def _match_large(df: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     checked = maybe.join(texts, "_row").where("contains(_text, _kw)").select("_row")
     found = hits.union(checked).distinct()
     # Copies of one article may be many: they are spread by salt, the hits repeated per salt.
-    salt = (F.spark_partition_id() % SALTS).cast("int").alias("_salt")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salt = (F.spark_partition_id() % COPY_SALTS).cast("int").alias("_salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt")
     matched = keyed.select("*", salt).join(found.select("_row", every), ["_row", "_salt"], "left_semi")
     matched = matched.drop("_row", "_salt")
     return matched if not blank else df.where(has_keywords(blank)).unionByName(

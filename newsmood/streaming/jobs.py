@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from newsmood.operators.articles import SALTS, top_n_per_group
+from newsmood.operators.articles import COPY_SALTS, top_n_per_group
 from newsmood.operators.store import last_by_url
 from newsmood.sources.registry import parse
 
@@ -49,7 +49,7 @@ def ingest(payloads: DataFrame, kind: str, as_of: Column) -> DataFrame:
     return parse(kind, payloads, as_of)
 
 
-def dedup(df: DataFrame, delay: str, time: str = "scraped_date", salts: int = SALTS) -> DataFrame:
+def dedup(df: DataFrame, delay: str, time: str = "scraped_date", salts: int = COPY_SALTS) -> DataFrame:
     """First sight of each URL; a URL is remembered for ``delay`` of event time.
 
     A first round per (URL, salt) lets a URL that fills the stream be handled by

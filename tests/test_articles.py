@@ -13,7 +13,7 @@ from newsmood.operators import stats
 from newsmood.operators import store as U
 from newsmood.operators.sentiment import analyze
 
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def seqs(df):

@@ -146,4 +146,8 @@ def test_hot_source_and_url(spark):
     capped = R.cap_per_source(df, 100).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("m"))
     hot = capped.where("source = 'hot'").first()
     assert (hot.n, hot.m) == (100, 297)
+    wide = R.cap_per_source(df, 1500).groupBy("source").count()  # beyond the limit Spark pushes down
+    assert wide.where("source = 'hot'").first()["count"] == n // 3 and wide.count() == 51
+    few = R.top_n_per_group(df, ["source"], [F.col("seq")], 1200, salts=2).where("source = 'hot'")
+    assert few.count() == n // 3
     assert stats.articles_by_source(df).where("source = 'hot'").first().n_articles == n // 3
