@@ -122,13 +122,13 @@ def api_payloads(df: DataFrame) -> DataFrame:
     """``source, batch, payload``: API responses, one in seven of them an error."""
     c = F.col
     seq = c("seq")
-    head = F.substring(c("content"), 1, 200)
+    teaser = F.concat(F.lit("About: "), c("content"))
     iso = F.concat(iso_text(c("published_date")), F.lit("Z"))
     item = F.struct(
         F.when(seq % 13 != 0, c("title")).alias("title"),
         c("url"),
-        F.when(seq % 7 != 0, F.when(seq % 5 == 0, F.concat(head, F.lit("..."))).otherwise(c("content"))).alias("content"),
-        head.alias("description"),
+        F.when(seq % 7 != 0, F.when(seq % 5 == 0, F.concat(c("content"), F.lit(" [+"))).otherwise(c("content"))).alias("content"),
+        teaser.alias("description"),
         F.struct(
             F.lower("source").alias("id"), F.when(seq % 10 != 0, c("source")).alias("name")
         ).alias("source"),
@@ -151,15 +151,14 @@ def feed_item_payloads(df: DataFrame) -> DataFrame:
     seq = c("seq")
     date = F.date_format("published_date", "dd MMM yyyy HH:mm:ss")
     rfc = F.concat(F.lit("Tue, "), date, F.lit(" GMT"))
-    head = F.substring(c("content"), 1, 300)
     item = F.struct(
         c("title"),
         F.when(seq % 19 != 0, c("url")).alias("url"),
         F.when(seq % 3 == 0, rfc).alias("published date"),
         F.when(seq % 3 == 1, iso_text(c("published_date"))).alias("published"),
         F.when(seq % 6 == 2, F.lit("yesterday")).alias("published_at"),
-        F.when(seq % 4 != 0, head).alias("description"),
-        F.when(seq % 8 == 0, F.concat(F.lit("More "), head)).alias("snippet"),
+        F.when(seq % 4 != 0, c("content")).alias("description"),
+        F.when(seq % 8 == 0, F.concat(F.lit("More "), c("content"))).alias("snippet"),
         F.when(seq % 5 != 0, F.struct(F.concat(F.lit("Pub "), c("source")).alias("title"))).alias("publisher"),
         F.when(seq % 10 != 0, c("source")).alias("source"),
     )
@@ -207,7 +206,7 @@ def listing_pages(df: DataFrame) -> DataFrame:
 
 
 def landed_pages(df: DataFrame) -> DataFrame:
-    """Article pages of two documents in three: ``seq, url, html``."""
+    """The article page of every document: ``seq, url, html``."""
     c = F.col
     html = F.concat(
         F.lit("<html><head><title>"), _xml(c("title")),
@@ -218,7 +217,7 @@ def landed_pages(df: DataFrame) -> DataFrame:
         _xml(c("content")), F.lit("</p></article></body></html>"),
     )
     url = F.concat(F.lit("https://www.daily.example.org/article/"), c("seq").cast("string"))
-    return df.where("seq % 3 <> 2").select("seq", url.alias("url"), html.alias("html"))
+    return df.select("seq", url.alias("url"), html.alias("html"))
 
 
 def source_registry(df: DataFrame) -> DataFrame:

@@ -513,8 +513,8 @@ ORACLE["stream_ingest"] = ORACLE["ingest_rss"]
 
 _API = f"""api AS (
   SELECT seq, {clean("title")} AS t, source, published_date, url,
-    {clean("substr(content, 1, 200)")} AS descr,
-    CASE WHEN seq % 7 = 0 OR seq % 5 = 0 THEN {clean("substr(content, 1, 200)")} ELSE {clean("content")} END AS full_text
+    {clean("concat('About: ', content)")} AS descr,
+    CASE WHEN seq % 7 = 0 OR seq % 5 = 0 THEN '' ELSE {clean("content")} END AS full_text
   FROM art WHERE seq % 13 <> 0 AND ({_NEWSNUM} + seq // 1000) % 7 <> 3), apx AS (
   SELECT *, CASE WHEN full_text = '' OR full_text LIKE '%[+' OR full_text LIKE '%...' THEN descr ELSE full_text END AS body
   FROM api WHERE t <> '')"""
@@ -526,7 +526,7 @@ SELECT seq, t AS title, md5(body) AS content, url, CASE WHEN seq % 10 = 0 THEN '
 FROM apx LEFT JOIN kw USING (seq)"""
 _ITEMS = f"""itm AS (
   SELECT seq, {clean("title")} AS t, url, source, published_date,
-    {clean("CASE WHEN seq % 4 <> 0 THEN substr(content, 1, 300) WHEN seq % 8 = 0 THEN concat('More ', substr(content, 1, 300)) ELSE '' END")} AS descr
+    {clean("CASE WHEN seq % 4 <> 0 THEN content WHEN seq % 8 = 0 THEN concat('More ', content) ELSE '' END")} AS descr
   FROM art WHERE seq % 19 <> 0), itx AS (SELECT * FROM itm WHERE t <> '')"""
 _ITEM_SOURCE = "CASE WHEN seq % 5 <> 0 THEN concat('Pub ', source) WHEN seq % 10 <> 0 THEN source ELSE 'Google News' END"
 ORACLE["ingest_feed_items"] = f"""WITH {ART}, {_ITEMS}, {top5("itx", "seq", "concat(t, ' ', descr)")}
@@ -592,7 +592,7 @@ ORACLE["extract_links"] = f"""WITH l AS (
   GROUP BY ALL)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, link FROM f"""
 ORACLE["follow_links"] = f"""WITH {ART}, p AS (
-  SELECT seq, source, published_date, {clean("title")} AS h1, {clean("concat(title, content)")} AS body FROM art WHERE seq % 3 <> 2), good AS (
+  SELECT seq, source, published_date, {clean("title")} AS h1, {clean("concat(title, content)")} AS body FROM art), good AS (
   SELECT * FROM p WHERE length(h1) > 10 AND length(body) > 100), {top5("good", "seq", "body", 8)}
 SELECT seq, h1 AS title, md5(body) AS content, concat('https://www.daily.example.org/article/', seq) AS url, 'Daily' AS source,
   published_date, concat('By ', source) AS author, concat('about ', source) AS summary, coalesce(keywords, '') AS keywords
@@ -614,17 +614,17 @@ FROM art JOIN lexd USING (seq)"""
 ORACLE["stored_roundtrip"] = f"""{STORED}
 SELECT seq, url, sentiment_label AS label, sentiment_confidence AS confidence,
   CASE WHEN sentiment_label IS NOT NULL THEN 'lexicon' END AS model_used, 0 AS n_keywords, 0 AS n_metadata, md5(content) AS content FROM st"""
-_TWO = f"""WITH {_LISTS}, {ART}, {lexical()}, {stored("seq % 3 <> 0", "a")}"""
+_TWO = f"""WITH {_LISTS}, {ART}, {lexical()}, {stored("category <> 'fr'", "a")}"""
 _NEW = f"""new AS (
-  SELECT art.*, label, confidence, published_date + INTERVAL 7 DAY AS saved FROM art JOIN lexd USING (seq) WHERE seq % 3 <> 1
+  SELECT art.*, label, confidence, published_date + INTERVAL 7 DAY AS saved FROM art JOIN lexd USING (seq) WHERE category <> 'en'
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1)"""
 ORACLE["upsert_articles"] = f"""{_TWO}, {_NEW}
 SELECT n.url, n.seq, n.source, n.label AS sentiment_label, n.confidence AS sentiment_confidence, {N_WORDS.replace("content", "n.content")} AS word_count,
   greatest(1, {N_WORDS.replace("content", "n.content")} // 200) AS reading_time, coalesce(a.created_at, n.saved) AS created_at, n.saved AS updated_at
 FROM new n LEFT JOIN a USING (url)
 UNION ALL SELECT {_OUT} FROM a WHERE url NOT IN (SELECT url FROM new)"""
-ORACLE["migrate_counts"] = f"""WITH {ART}, a AS (SELECT DISTINCT url FROM art WHERE seq % 3 <> 0),
-b AS (SELECT DISTINCT url FROM art WHERE seq % 3 <> 1)
+ORACLE["migrate_counts"] = f"""WITH {ART}, a AS (SELECT DISTINCT url FROM art WHERE category <> 'fr'),
+b AS (SELECT DISTINCT url FROM art WHERE category <> 'en')
 SELECT count(*) AS saved, count(*) AS urls, count(*) FILTER (a.url IS NULL) AS inserted, count(a.url) AS updated,
   (SELECT count(*) FROM (SELECT url FROM a UNION SELECT url FROM b)) AS total
 FROM b LEFT JOIN a USING (url)"""
