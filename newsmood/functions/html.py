@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import html
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from newsmood.functions.text import collapse, or_empty
 
+# The UDF travels to the workers by value: they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Named references decoded natively; "&amp;" comes last so that its output is not decoded again.
 NAMED = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",

@@ -9,21 +9,26 @@ answers the same selectors.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.functions.dates import parse_date
 from newsmood.functions.html import unescape
-from newsmood.functions.text import clean_text, first_filled, let
+from newsmood.functions.text import BOILERPLATE, clean_text, first_filled, let
 from newsmood.functions.urls import is_article_url, resolve, source_name
 from newsmood.operators.textjobs import frequent_keywords
 from newsmood.schema import ARTICLE
 from newsmood.session import built_once
 
+# The document walk travels to the workers by value: they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Selectors by field, in order of preference.
 TITLE = ("h1.article-title", "h1.entry-title", "h1.post-title", ".article-headline h1",
          ".story-title h1", "h1", "title")
@@ -421,7 +426,7 @@ def extract_articles_dom(
 
     A narrow Arrow-batched pass: pages stay in their partitions.
     """
-    titles, contents = (*title, *TITLE), (*content, *CONTENT)
+    titles, contents, phrases = (*title, *TITLE), (*content, *CONTENT), BOILERPLATE
     fields = [f.name for f in pages.select(*keep, url).schema.fields]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep, url).schema.fields]
@@ -429,11 +434,9 @@ def extract_articles_dom(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from newsmood.functions.text import BOILERPLATE
-
         def clean(text: str) -> str:
             out = " ".join(text.split())
-            for phrase in BOILERPLATE:
+            for phrase in phrases:
                 out = out.replace(phrase, "")
             return out.strip()
 
