@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.llm import decontaminate as D
+from newsmood.llm import pii as P
+from newsmood.llm import secrets as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +38,46 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def _joined(spans):
+    """kind:start:end of sorted spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _digest(spans):
+    return F.sha2(_joined(spans).cast("binary"), 256)
+
+
+def _kind_count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _by_place(kinds: tuple[str, ...], *spans: str):
+    """All spans by start, then kind in the given order."""
+    ranked = F.transform(
+        F.concat(*spans), lambda s: F.struct(s["start"], F.array_position(F.lit(list(kinds)), s["kind"]), s["end"], s["kind"])
+    )
+    return F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[_kind_count("base", k) for k in P.KINDS],
+        _digest("base").alias("base_sha256"),
+        _joined(_by_place((*P.KINDS, "term"), "base", "terms")).alias("spans"),
+    )
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[_kind_count("base", k) for k in S.KINDS],
+        _digest("base").alias("base_sha256"),
+        _joined(_by_place((*S.KINDS, "markov"), "base", "random")).alias("spans"),
+    )
