@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsmood.llm.words import ALNUM, Words, grams, pick, raw, row_of, slices, words_of, written
+from newsmood.llm.words import ALNUM, Words, broadcast, grams, pick, raw, row_of, slices, words_of, written
 
 N = 10
 BLOCK_WORDS = 2_000_000
@@ -130,7 +130,7 @@ def contamination(
         arrow = _arrow(schema)
 
         def run(batches):
-            windows = shared.value
+            windows = shared()
             for batch in batches:
                 for part in slices(batch, text):
                     w = words_of(part.column(text), ALNUM)
@@ -151,7 +151,7 @@ def contamination(
 
     out = None
     for items in blocks or [[]]:
-        found = rows.mapInArrow(scan(spark.sparkContext.broadcast(Windows(items, n))), schema)
+        found = rows.mapInArrow(scan(broadcast(spark, Windows(items, n))), schema)
         out = found if out is None else out.unionByName(found)
     if len(blocks) < 2:
         return out
@@ -208,7 +208,7 @@ def decontaminate(
 
     def run(batches, shared):
         arrow = _arrow(schema)
-        windows = shared.value
+        windows = shared()
         for batch in batches:
             for part in slices(batch, text):
                 w = words_of(part.column(at), ALNUM)
@@ -239,6 +239,6 @@ def decontaminate(
 
     out = docs
     for items in _blocks(benchmark, item_id, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
+        shared = broadcast(docs.sparkSession, Windows(items, n))
         out = out.mapInArrow(lambda batches, shared=shared: run(batches, shared), schema)
     return out

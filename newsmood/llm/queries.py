@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsmood.llm import decontaminate as D
 from newsmood.llm import pii as P
+from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +82,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _digest("base").alias("base_sha256"),
         _joined(_by_place((*S.KINDS, "markov"), "base", "random")).alias("spans"),
     )
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 from newsmood.session import work_path
 
@@ -193,3 +194,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def pick(docs: DataFrame, *columns: str) -> DataFrame:
     """Only these columns of a table that may hold others."""
     return docs.select(*[docs[c] for c in columns])
+
+
+def broadcast(spark: SparkSession, value):
+    """A function that gives a broadcast object of this package's own classes inside a task.
+
+    The broadcast holds the classes' code with the object, so executors need not import it.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        import pickle
+
+        return pickle.loads(shared.value)
+
+    return get
