@@ -214,14 +214,13 @@ def disclosing(
     if counts is None:
         return None
     entities = near.groupBy("entity").agg(F.count_distinct("around").alias("n_e"))
-    total = found.agg(F.count("*").cast("double").alias("total"))  # one row
-    share = F.log(F.col("total") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.greatest(
-        F.log(F.col("total") / F.col("n_e")), F.lit(1e-9)
+    total = F.lit(float(found.count()))
+    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.greatest(
+        F.log(total / F.col("n_e")), F.lit(1e-9)
     )
     return (
         pairs.join(entities, "entity")
         .join(counts, "term")
-        .join(F.broadcast(total))
         .select("entity", "term", share.alias("share"))
         .where(F.col("share") >= threshold)
     )

@@ -11,6 +11,7 @@ from newsmood.llm import decontaminate as D
 from newsmood.llm import pii as P
 from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
+from newsmood.llm import warc as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +88,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = W.build_index(W.write_archives(pages))
+    records = W.read_records(W.lookup(index, W.keys_of(pages)), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

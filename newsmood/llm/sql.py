@@ -23,3 +23,14 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n, 0)::bigint AS n_hit, coale
   sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLE["op7_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::bigint AS n, sha1(coalesce(html, '')) AS d
+  FROM pages),
+r AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN r USING (d)
+"""
