@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.llm import decontaminate as D
+from newsmood.llm import licenses as L
+from newsmood.llm import mixing as M
 from newsmood.llm import pii as P
 from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
@@ -96,3 +98,34 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = W.build_index(W.write_archives(pages))
     records = W.read_records(W.lookup(index, W.keys_of(pages)), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = M.draw(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = pieces.groupBy("rank", "bucket", "nth").agg(
+        F.first("doc.doc_id").alias("doc_id"),
+        F.first("size").alias("size"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("taken"),
+    )
+    return rows.drop("rank", "bucket", "nth")
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        "score",
+    )
