@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsmood.llm.components import bit_set, bit_table
 from newsmood.llm.words import ALNUM, pick, raw, rows_with, slices, words_of, written
 
 WINDOW = 8
@@ -173,28 +174,17 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 def _documents_with(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame | None:
     """``term, n_t``: documents with each term. None if there are no terms."""
-    size = 1 << TABLE_BITS
-    place = F.pmod("term", F.lit(size)) + 1  # buckets and bits count from 1
-    rows = (
-        terms.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-        .collect()  # at most size / 32768 rows of 4 kB
-    )
-    if not rows:
+    packed = bit_table(terms, "term", TABLE_BITS)
+    if packed is None:
         return None
-    packed = np.zeros(size // 8, np.uint8)
-    for r in rows:
-        a = (r.bucket - 1) * 4096
-        packed[a : a + 4096] = np.frombuffer(r.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def count(batches):
-        table = np.unpackbits(shared.value, bitorder="little").view(bool)
         for batch in batches:
             for part in slices(batch, batch.schema.field(0).name):
                 w = words_of(part.column(0), ALNUM)
                 row = np.repeat(np.arange(part.num_rows), np.diff(w.first))
-                hit = table[w.hash & np.uint64(size - 1)]
+                hit = bit_set(shared.value, w.hash)
                 pairs = np.unique(np.stack([w.hash[hit], row[hit].astype(np.uint64)]), axis=1)
                 term, n = np.unique(pairs[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.llm import decontaminate as D
+from newsmood.llm import jaccard as J
 from newsmood.llm import licenses as L
 from newsmood.llm import mixing as M
 from newsmood.llm import pii as P
@@ -129,3 +131,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(F.col("spans")).alias("labels"),
         "score",
     )
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.join_components(table(spark, sf_dir, "documents"), k=4, threshold=Fraction(85, 100))
