@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.llm import decontaminate as D
+from newsmood.llm import embeddings as E
 from newsmood.llm import jaccard as J
 from newsmood.llm import licenses as L
 from newsmood.llm import mixing as M
 from newsmood.llm import pii as P
 from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
+from newsmood.llm import tokens as K
 from newsmood.llm import warc as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +138,13 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.join_components(table(spark, sf_dir, "documents"), k=4, threshold=Fraction(85, 100))
+
+
+@query
+def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.token_counts(table(spark, sf_dir, "documents"), K.vocabulary())

@@ -52,3 +52,19 @@ reach AS (
 SELECT w.doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
+
+ORACLE["op9_near_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::double[] AS e FROM embeddings),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+    AND list_dot_product(a.e, a.e) > 0 AND list_dot_product(b.e, b.e) > 0),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT v.vec_id, coalesce(n, 0)::bigint AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (vec_id)
+"""
