@@ -228,7 +228,7 @@ def strip_html(spark, d):
 
 @query
 def analysis_text(spark, d):
-    text = T.analysis_text(c("title"), c("content"))
+    text = T.analysis_text(c("title"), c("content"), limit=1000)
     return A.articles(spark, d).select("seq", text.alias("text")).select("seq", digest("text"))
 
 

@@ -52,9 +52,9 @@ ART = """art AS (
   FROM documents)"""
 
 
-def analysis(x_title: str = "title", x_content: str = "content") -> str:
+def analysis(x_title: str = "title", x_content: str = "content", limit: int | None = None) -> str:
     w = words(f"concat({x_title}, '. ', {x_content})")
-    return f"array_to_string(list_slice({w}, 1, 1000), ' ')"
+    return f"array_to_string({w if limit is None else f'list_slice({w}, 1, {limit})'}, ' ')"
 
 
 # --- rule scores -------------------------------------------------------------------------------
@@ -340,7 +340,7 @@ def decode(x: str) -> str:
 
 _TAGS = "regexp_replace({0}, '<[^>]+>', '', 'g')"
 ORACLE["strip_html"] = f"SELECT page_id, md5({collapse(decode(_TAGS.format('html')))}) AS text FROM pages"
-ORACLE["analysis_text"] = f"WITH {ART} SELECT seq, md5({analysis()}) AS text FROM art"
+ORACLE["analysis_text"] = f"WITH {ART} SELECT seq, md5({analysis(limit=1000)}) AS text FROM art"
 
 _EXTRA = """concat(content, '. On ', strftime(published_date, '%B %-d, %Y'), ' or ', strftime(published_date, '%-m/%-d/%Y'),
  ' (', strftime(published_date, '%Y-%m-%d'), '), Acme ', upper(substr(source, 1, 1)), substr(source, 2),
@@ -430,7 +430,7 @@ SELECT seq, sentences, words, syllables, avg_sentence_length, avg_syllables_per_
     ELSE 'Very Difficult' END AS reading_level,
   CASE WHEN NOT ok THEN 'Insufficient text for analysis' END AS error FROM f"""
 
-_AW = f"list_slice({words(chr(99) + 'oncat(title, ' + repr('. ') + ', content)')}, 1, 1000)"
+_AW = words("concat(title, '. ', content)")
 ORACLE["chunk_text"] = f"""WITH {ART}, w AS (SELECT seq, {_AW} AS w FROM art),
 o AS (SELECT seq, w, unnest(range(0, len(w), 460)) AS i FROM w), s AS (SELECT seq, w, unnest(range(0, len(w), 358)) AS i FROM w)
 SELECT seq, 'overlap' AS mode, i // 460 AS part, md5(array_to_string(w[i + 1:i + 510], ' ')) AS text FROM o

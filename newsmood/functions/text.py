@@ -112,19 +112,18 @@ def scrub(
     return collapse(out) if whitespace else out
 
 
-MAX_ANALYSIS_WORDS = 1000
-
-
-def analysis_words(title: Column, content: Column, limit: int = MAX_ANALYSIS_WORDS) -> Column:
-    """Words a scorer sees: ``title. content``, the first ``limit`` tokens."""
+def analysis_words(title: Column, content: Column, limit: int | None = None) -> Column:
+    """Words a scorer sees: ``title. content``, all tokens or the first ``limit``."""
     text = F.concat(or_empty(title), F.lit(". "), or_empty(content))
+    if limit is None:
+        return words(text)
     # Splitting stops behind the last word needed: one part more for a blank at the
     # start, and one that holds the rest of the text.
     parts = F.split(text, f"{WS}+", limit + 2)
     return F.slice(F.filter(parts, lambda w: w != ""), 1, limit)
 
 
-def analysis_text(title: Column, content: Column, limit: int = MAX_ANALYSIS_WORDS) -> Column:
+def analysis_text(title: Column, content: Column, limit: int | None = None) -> Column:
     return F.array_join(analysis_words(title, content, limit), " ")
 
 

@@ -56,7 +56,9 @@ def combine(votes: dict[str, Column]) -> Column:
                 F.lit("analyzer_agreement"),
                 -win["neg_n"] / F.size(v),
             )
-            merged = F.aggregate(v, own, lambda a, x: F.map_concat(x["scores"], a))
+            # Of equal names the later analyzer's score stays.
+            others = lambda a, x: F.map_filter(a, lambda k, _: ~F.map_contains_key(x["scores"], k))
+            merged = F.aggregate(v, own, lambda a, x: F.map_concat(others(a, x), x["scores"]))
             names = F.array_join(F.transform(v, lambda x: x["name"]), "+")
             return F.struct(
                 win["label"].alias("label"),

@@ -97,37 +97,42 @@ def chunk_scores(
 ) -> DataFrame:
     """``(key, sentiment)`` of title and content, long texts scored in parts.
 
-    ``key`` identifies a row. Texts have at most 1000 words and so a handful of
-    parts; they are pre-aggregated by (key, label) where they were scored.
+    ``key`` identifies a row. Scores are added as decimals by (key, label) where the
+    parts were scored, so sums are small and the same in any order.
     """
     tokens = analysis_words(F.col("title"), F.col("content"))
     parts = df.select(key, F.posexplode(chunks(tokens, max_length, overlap)).alias("part", "text"))
-    # Part count and best score ride along as two more "labels", so one sum per
-    # (key, label) covers labels that are missing from some parts.
-    extra = F.create_map(
-        F.lit(_PARTS), F.lit(1.0), F.lit(_BEST), F.array_max(F.map_values("scores"))
-    )
+    # A part's count and best score ride along as one more row without a label, so one
+    # sum per (key, label) covers labels that are missing from some parts.
+    entry = lambda label, score: F.struct(label.alias("label"), score.cast(_SUM).alias("score"))
+    of_labels = F.transform(F.map_entries("scores"), lambda e: entry(e["key"], e["value"]))
+    of_part = F.array(entry(F.lit(None).cast("string"), F.array_max(F.map_values("scores"))))
     sums = (
         scorer(parts)
         .where(F.size("scores") > 0)
-        .select(key, F.explode(F.map_concat("scores", extra)).alias("label", "score"))
-        .groupBy(key, "label")
-        .agg(F.sum("score").alias("total"))
+        .select(key, F.explode(F.concat(of_labels, of_part)).alias("e"))
+        .groupBy(key, "e.label")
+        .agg(F.sum("e.score").alias("total"), F.count(F.lit(1)).alias("n"))
     )
     # One group holds the labels of the model, not the rows of a source.
-    totals = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "total"))).alias("t"))
-    n = F.element_at("t", F.lit(_PARTS))
-    labels = F.map_filter("t", lambda k, v: ~k.isin(_PARTS, _BEST))
-    means = F.transform_values(labels, lambda k, v: v / n)
+    named = F.when(F.col("label").isNotNull(), F.struct("label", F.col("total").cast("double")))
+    alone = F.col("label").isNull()
+    totals = sums.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(named)).alias("t"),
+        F.max(F.when(alone, F.col("total"))).cast("double").alias("best"),
+        F.max(F.when(alone, F.col("n"))).alias("n"),
+    )
+    means = F.transform_values("t", lambda k, v: v / F.col("n"))
     return totals.withColumn("m", means).select(
         key,
         sentiment_struct(
-            map_model_label(best_label(F.col("m"))), F.element_at("t", F.lit(_BEST)) / n, F.col("m"), model
+            map_model_label(best_label(F.col("m"))), F.col("best") / F.col("n"), F.col("m"), model
         ).alias("sentiment"),
     )
 
 
-_PARTS, _BEST = "#parts", "#best"
+#: Scores are added exactly to twelve places.
+_SUM = "decimal(28,12)"
 
 
 def model_analyzer(scorer: Scorer, key: str, max_length: int = 512, overlap: int | None = 50, model: str = "model") -> Analyzer:

@@ -68,9 +68,19 @@ def test_lexicon_value_is_the_published_form(spark):
     assert math.isclose(got, v / math.sqrt(v * v + 15), rel_tol=1e-12)
 
 
-def test_truncation_to_1000_words(spark):
-    late, early = scored(spark, ["word " * 999 + "terrible", "terrible " + "word " * 999])
-    assert late.label == "neutral" and early.label == "negative"
+def test_whole_texts_are_scored(spark):
+    """Word 5,000 of a text that says nothing else decides the label."""
+    for analyzer in ("lexicon", "polarity"):
+        late, early = scored(spark, ["word " * 4999 + "terrible", "terrible " + "word " * 4999], analyzer)
+        assert late.label == early.label == "negative"
+
+
+def test_a_limit_cuts_the_analysis_text(spark):
+    from newsmood.functions.text import analysis_text
+
+    df = articles(spark, [{"title": "t", "content": "word " * 2000 + "end", "url": "u"}])
+    cut, whole = df.select(analysis_text("title", "content", 1000), analysis_text("title", "content")).first()
+    assert len(cut.split()) == 1000 and whole.endswith("end")
 
 
 def test_own_lexicon_tables(spark):
