@@ -37,6 +37,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+#: Character references as real pages hold them; a page ends with one of these.
+TAILS = (
+    " caf&eacute;&rarr;&lt x&#150;",
+    " &#0;&#xD800;&#9999999;&notit; &#00233;",
+    " &frac34x &#x1F600; &copy2024 &unknown; AT&T",
+)
+
+
+def pages_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.col("page_id") % len(TAILS) + 1).cast("int"))
+    return pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</article>"), F.concat(tail, F.lit("</article>"))))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ARTICLE rows with ``seq``, the input order.
 
@@ -98,22 +111,54 @@ def rss_items(df: DataFrame) -> Column:
         F.lit("<item>"),
         _element("title", c("title")),
         _element("link", c("url"), seq % 17 != 0),
-        _element("content", c("content"), seq % 2 == 1),
-        _element("description", c("content")),
-        _element("pubDate", F.concat(F.lit("Mon, "), rfc, F.lit(" GMT")), seq % 9 != 0),
-        _element("author", F.concat(F.lit(" Author  "), c("source")), seq % 4 == 0),
+        # The shapes of feeds take turns: plain and namespaced names, elements with attributes.
+        _element("content", c("content"), seq % 4 == 1),
+        _element("content:encoded", c("content"), seq % 4 == 3),
+        _element("description", F.when(seq % 4 == 3, F.concat(F.lit("Teaser: "), c("title"))).otherwise(c("content"))),
+        _element("summary", c("content"), seq % 4 == 3),
+        _element("pubDate", F.concat(F.lit("Mon, "), rfc, F.lit(" GMT")), (seq % 9 != 0) & (seq % 5 != 1)),
+        _element("dc:date", F.concat(iso_text(c("published_date")), F.lit("Z")), (seq % 9 != 0) & (seq % 5 == 1)),
+        _element("author", F.concat(F.lit(" Author  "), c("source")), seq % 8 == 0),
+        _element("dc:creator", F.concat(F.lit(" Author  "), c("source")), seq % 8 == 4),
         _element("category", F.upper("category"), seq % 3 == 0),
         _element("category", c("source"), seq % 3 == 0),
-        _element("guid", seq.cast("string")),
-        F.lit("</item>"),
+        F.concat(F.lit('<guid isPermaLink="false">'), seq.cast("string"), F.lit("</guid></item>")),
     )
 
 
+def atom_entries(df: DataFrame) -> Column:
+    c = F.col
+    seq = c("seq")
+    iso = F.concat(iso_text(c("published_date")), F.lit("Z"))
+    tag = lambda value: F.concat(F.lit('<category term="'), value, F.lit('"/>'))
+    link = F.concat(F.lit('<link rel="self" href="https://feed.example.com/"/><link rel="alternate" href="'), c("url"), F.lit('"/>'))
+    return F.concat(
+        F.lit("<entry>"),
+        F.concat(F.lit('<title type="text">'), _xml(c("title")), F.lit("</title>")),
+        F.when(seq % 17 != 0, link).otherwise(""),
+        F.when(seq % 2 == 1, F.concat(F.lit('<content type="html">'), _xml(c("content")), F.lit("</content>"))).otherwise(""),
+        _element("summary", c("content")),
+        _element("published", iso, (seq % 9 != 0) & (seq % 5 != 1)),
+        _element("updated", iso, (seq % 9 != 0) & (seq % 5 == 1)),
+        F.when(seq % 4 == 0, F.concat(F.lit("<author><name> Author  "), c("source"), F.lit("</name></author>"))).otherwise(""),
+        F.when(seq % 3 == 0, F.concat(tag(F.upper("category")), tag(c("source")))).otherwise(""),
+        _element("id", seq.cast("string")),
+        F.lit("</entry>"),
+    )
+
+
+def atom_payloads(df: DataFrame) -> DataFrame:
+    """``source, batch, feed_url, payload``: whole Atom documents."""
+    url = F.concat(F.lit("https://feeds."), F.col("source"), F.lit(".example.com/atom"))
+    body = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>'), F.array_join("items", ""), F.lit("</feed>"))
+    return _batched(df, atom_entries(df)).select("source", "batch", url.alias("feed_url"), body.alias("payload"))
+
+
 def rss_payloads(df: DataFrame) -> DataFrame:
     """``source, batch, feed_url, payload``: whole feed documents."""
     url = F.concat(F.lit("https://feeds."), F.col("source"), F.lit(".example.com/rss"))
     body = F.concat(
-        F.lit("<rss><channel><title>feed</title>"), F.array_join("items", ""), F.lit("</channel></rss>")
+        F.lit('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title>'), F.array_join("items", ""), F.lit("</channel></rss>")
     )
     return _batched(df, rss_items(df)).select("source", "batch", url.alias("feed_url"), body.alias("payload"))
 

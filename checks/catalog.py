@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import adapters as A
 from newsmood.functions import scores as S
 from newsmood.functions import text as T
-from newsmood.functions.dates import iso_text, parse_date
+from newsmood.functions.dates import is_date, iso_text, parse_date
 from newsmood.functions.html import clean_html
 from newsmood.functions.urls import is_article_url, source_name
 from newsmood.operators import articles as R
@@ -223,7 +223,8 @@ def scrub_pii(spark, d):
 
 @query
 def strip_html(spark, d):
-    return A.pages(spark, d).select("page_id", clean_html(c("html")).alias("text")).select("page_id", digest("text"))
+    pages_in = A.pages_with_references(spark, d)
+    return pages_in.select("page_id", clean_html(c("html")).alias("text")).select("page_id", digest("text"))
 
 
 @query
@@ -434,6 +435,13 @@ def ingest_rss(spark, d):
     return _articles_out(found.withColumn("guid", c("metadata")["guid"].cast("long")), "guid")
 
 
+@query
+def ingest_atom(spark, d):
+    items = feeds.explode_feeds(A.atom_payloads(A.articles(spark, d)))
+    found = feeds.items_to_articles(items, A.as_of())
+    return _articles_out(found.withColumn("guid", c("metadata")["entry_id"].cast("long")), "guid")
+
+
 def _api_articles(spark, d):
     responses = api.parse_responses(A.api_payloads(A.articles(spark, d)))
     return api.responses_to_articles(responses, A.as_of())
@@ -485,14 +493,14 @@ def union_sources(spark, d):
 
 @query
 def extract_articles_html(spark, d):
-    found = pages.extract_articles(A.pages(spark, d), A.as_of(), "page_id")
+    found = pages.extract_articles(A.pages_with_references(spark, d), A.as_of(), "page_id")
     return found.select("page_id", "title", digest("content"), "url", "source", "published_date", joined("keywords"))
 
 
 @query
 def extract_articles_dom(spark, d):
     """The same pages by document walk, with the title and content the expressions find."""
-    found = pages.extract_articles_dom(A.pages(spark, d), "page_id")
+    found = pages.extract_articles_dom(A.pages_with_references(spark, d), "page_id")
     return found.select("page_id", "title", digest("content"))
 
 
@@ -535,9 +543,16 @@ def parse_dates(spark, d):
         F.date_format(t, "M/d/yyyy"),
         F.lit("a while ago"),
         F.lit(None).cast("string"),
+        F.concat(F.date_format(t, "dd MMM yyyy HH:mm"), F.lit(" GMT")),
+        F.concat(F.lit("Thu, "), F.date_format(t, "dd MMM yyyy HH:mm:ss"), F.lit(" EST")),
+        F.date_format(t, "MMMM d, yyyy h:mm a"),
+        F.date_format(t, "MMM d, yyyy hh:mm a"),
+        F.date_format(t, "d MMMM yyyy"),
+        F.date_format(t, "yyyy/MM/dd"),
+        F.date_format(t, "yyyyMMdd'T'HHmmss'Z'"),
     ]
     text = F.element_at(F.array(*styles), (c("seq") % len(styles) + 1).cast("int"))
-    return A.articles(spark, d).select("seq", parse_date(text, A.as_of()).alias("parsed"))
+    return A.articles(spark, d).select("seq", parse_date(text, A.as_of()).alias("parsed"), is_date(text).alias("is_date"))
 
 
 # --- store ------------------------------------------------------------------------------------

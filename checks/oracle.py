@@ -7,6 +7,7 @@ only shared parts, passed in as literals.
 
 from __future__ import annotations
 
+from checks import adapters as A
 from newsmood.functions import lexicon as L
 from newsmood.functions.text import BOILERPLATE, WS
 from newsmood.operators import textjobs as J
@@ -333,13 +334,24 @@ ORACLE["scrub_pii"] = f"WITH {ART} SELECT seq, md5({collapse(_SCRUB)}) AS text F
 
 
 def decode(x: str) -> str:
-    for name, ch in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{ch}')"
+    for reference, text in REFERENCES:
+        x = f"replace({x}, '{reference}', '{text}')"
     return x
 
 
+# Every reference that the pages and their added tails hold.
+REFERENCES = (
+    ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&eacute;", "é"), ("&rarr;", "→"),
+    ("&lt x", "< x"), ("&#150;", "–"), ("&#0;", "�"), ("&#xD800;", "�"), ("&#9999999;", "�"), ("&notit;", "¬it;"), ("&#00233;", "é"),
+    ("&frac34x", "¾x"), ("&#x1F600;", "😀"), ("&copy2024", "©2024"), ("&amp;", "&"),
+)
+_TAILED = "(SELECT page_id, url, replace(html, '</article>', concat(" + (
+    f"[{', '.join(repr(t) for t in A.TAILS)}][page_id % {len(A.TAILS)} + 1]"
+) + ", '</article>')) AS html FROM pages)"
+
+
 _TAGS = "regexp_replace({0}, '<[^>]+>', '', 'g')"
-ORACLE["strip_html"] = f"SELECT page_id, md5({collapse(decode(_TAGS.format('html')))}) AS text FROM pages"
+ORACLE["strip_html"] = f"SELECT page_id, md5({collapse(decode(_TAGS.format('html')))}) AS text FROM {_TAILED}"
 ORACLE["analysis_text"] = f"WITH {ART} SELECT seq, md5({analysis(limit=1000)}) AS text FROM art"
 
 _EXTRA = """concat(content, '. On ', strftime(published_date, '%B %-d, %Y'), ' or ', strftime(published_date, '%-m/%-d/%Y'),
@@ -510,6 +522,7 @@ SELECT seq AS guid, t AS title, md5(body) AS content, url,
   CASE WHEN seq % 3 = 0 THEN upper(category) END AS category
 FROM it LEFT JOIN kw USING (seq) WHERE t <> ''"""
 ORACLE["stream_ingest"] = ORACLE["ingest_rss"]
+ORACLE["ingest_atom"] = ORACLE["ingest_rss"]
 
 _API = f"""api AS (
   SELECT seq, {clean("title")} AS t, source, published_date, url,
@@ -575,7 +588,7 @@ def node_text(tag: str) -> str:
     return clean(decode(_TAGS.format(_NO_SCRIPT.format(body))))
 
 
-_PAGES = f"""pg AS (SELECT page_id, url, {_NO_COMMENT} AS h FROM pages), tx AS (
+_PAGES = f"""pg AS (SELECT page_id, url, {_NO_COMMENT} AS h FROM {_TAILED}), tx AS (
   SELECT page_id, url, {node_text("h1")} AS h1, {node_text("title")} AS tt, {node_text("article")} AS body FROM pg), ok AS (
   SELECT page_id, url, CASE WHEN length(h1) > 10 THEN h1 WHEN length(tt) > 10 THEN tt END AS title, body FROM tx), good AS (
   SELECT * FROM ok WHERE title IS NOT NULL AND length(body) > 100)"""
@@ -600,9 +613,10 @@ FROM good LEFT JOIN kw USING (seq)"""
 ORACLE["source_name_from_url"] = f"""WITH p AS (
   SELECT page_id, url, concat('http://www.feeds.', regexp_extract(url, '//(.*)', 1)) AS feed FROM pages)
 SELECT page_id, {site("url")} AS site, {site("feed")} AS feed_as_site, {site("feed", ("feeds.", "rss."))} AS feed FROM p"""
-ORACLE["parse_dates"] = f"""WITH {ART} SELECT seq, CASE seq % 8 WHEN 0 THEN published_date WHEN 1 THEN published_date
-  WHEN 2 THEN published_date - INTERVAL 2 HOUR WHEN 3 THEN date_trunc('day', published_date)
-  WHEN 4 THEN date_trunc('day', published_date) WHEN 5 THEN date_trunc('day', published_date) ELSE {AS_OF} END AS parsed FROM art"""
+ORACLE["parse_dates"] = f"""WITH {ART} SELECT seq, CASE WHEN seq % 15 IN (6, 7) THEN {AS_OF}
+  WHEN seq % 15 = 2 THEN published_date - INTERVAL 2 HOUR WHEN seq % 15 = 9 THEN published_date + INTERVAL 5 HOUR
+  WHEN seq % 15 IN (3, 4, 5, 12, 13) THEN date_trunc('day', published_date) ELSE published_date END AS parsed,
+  seq % 15 NOT IN (6, 7) AS is_date FROM art"""
 
 # --- store -------------------------------------------------------------------------------------
 
