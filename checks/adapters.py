@@ -37,6 +37,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+#: Symbols that the third voter counts.
+MARKS = "[!%$&*#|]"
+
 #: Character references as real pages hold them; a page ends with one of these.
 TAILS = (
     " caf&eacute;&rarr;&lt x&#150;",

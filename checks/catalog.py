@@ -23,6 +23,7 @@ from newsmood.operators.model import chunk_scores, ml_scorer, train
 from newsmood.plans import jobs
 from newsmood.session import spread, work_path
 from newsmood.sources import api, feeds, files, pages
+from newsmood.sources.registry import feed_responses
 from newsmood.sources.registry import ingest_log as log_of
 from newsmood.streaming import jobs as stream
 
@@ -162,9 +163,11 @@ def query_articles(spark, d):
 @query
 def article_by_url(spark, d):
     """The article behind the first URL in order: a point lookup in the stored table."""
-    rows = A.stored(spark, d)
-    first = A.articles(spark, d).agg(F.min("url").alias("url"))
-    return rows.join(F.broadcast(first), "url", "left_semi").select("url", "seq", "source", "word_count")
+    path = work_path(spark, "store")
+    A.stored(spark, d).write.parquet(path)
+    store = spark.read.parquet(path)
+    first = store.agg(F.min("url")).first()[0]
+    return R.article_by_url(store, first).select("url", "seq", "source", "word_count")
 
 
 @query
@@ -385,11 +388,19 @@ def margin_confidence(spark, d):
     return df.select("seq", S.margin_confidence(picked).alias("confidence"))
 
 
+def _marks(text: Column) -> Column:
+    """A third voter: many symbols are negative, none positive."""
+    n = F.regexp_count(text, F.lit(A.MARKS))
+    label = F.when(n > 20, "negative").when(n > 0, "neutral").otherwise("positive")
+    return M.sentiment_struct(label, F.lit(0.6), F.create_map(F.lit("count"), n.cast("double")), "marks")
+
+
 @query
 def ensemble_vote(spark, d):
+    """Three voters, so that majorities, ties and dissent occur."""
     return _sentiment_columns(
-        E.analyze_with(A.articles(spark, d), ["lexicon", "polarity"]),
-        ["consensus_confidence", "analyzer_agreement", "lexicon_compound", "polarity_polarity"],
+        E.analyze_with(A.articles(spark, d), ["lexicon", "polarity", ("marks", M.column_analyzer(_marks))]),
+        ["consensus_confidence", "analyzer_agreement", "lexicon_compound", "polarity_polarity", "marks_count"],
         "seq",
     )
 
@@ -482,6 +493,22 @@ def ingest_run_totals(spark, d):
     return stats.ingest_run_totals(log_of(responses, A.as_of()))
 
 
+@query
+def ingest_log_feeds(spark, d):
+    """Feeds of which one in seven is broken."""
+    broken = F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("int") + c("batch"), F.lit(7)) == 3
+    payloads = A.rss_payloads(A.articles(spark, d)).withColumn("payload", F.when(broken, "no feed at all").otherwise(c("payload")))
+    log = log_of(feed_responses(payloads), A.as_of(), source_type=F.lit("rss"), articles=c("n_articles"))
+    return log.drop("scraping_time")
+
+
+@query
+def ingest_capped(spark, d):
+    """The first twenty items of each feed's source, then those with a keyword."""
+    payloads = {"rss": A.rss_payloads(A.articles(spark, d))}
+    return jobs.ingest(payloads, A.as_of(), ["est", "the"], 20).select("url", "source", "title")
+
+
 @query
 def union_sources(spark, d):
     df = A.articles(spark, d)
@@ -606,9 +633,8 @@ def migrate_counts(spark, d):
 @query
 def retention_purge(spark, d):
     rows = A.stored(spark, d)
-    kept = U.purge(rows, A.as_of(), 30).groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
-    gone = rows.groupBy("source").agg(F.count_if(U.expired(A.as_of(), 30)).alias("deleted"))
-    return gone.join(kept, "source", "left").select("source", "deleted", F.coalesce("kept", F.lit(0)).alias("kept"))
+    gone = U.expired(A.as_of(), 30)
+    return rows.groupBy("source").agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
 
 @query
@@ -631,8 +657,14 @@ def reanalyze_newest(spark, d):
 @query
 def export_csv_projection(spark, d):
     scored = M.analyze(A.articles(spark, d)).withColumn("keywords", J.frequent_keywords(c("content"), 5))
-    newest = scored.orderBy(F.desc("published_date"), "seq").limit(200)
-    return files.csv_projection(newest).withColumn("content", F.md5(c("content").cast("binary")))
+    return files.csv_projection(scored).withColumn("content", F.md5(c("content").cast("binary")))
+
+
+@query
+def export_head(spark, d):
+    """The newest 200 articles, as an export shows them."""
+    newest = M.analyze(A.articles(spark, d)).orderBy(F.desc("published_date"), "seq").limit(200)
+    return files.csv_projection(newest).select("title", "url", "source", "published_date")
 
 
 @query

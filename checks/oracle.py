@@ -488,14 +488,19 @@ FROM art JOIN dp USING (seq) LEFT JOIN m USING (seq)"""
 ORACLE["margin_confidence"] = f"""WITH {_LISTS}, {ART}, {lexical()}, l AS (
   SELECT seq, pos, list_sort([pos, neg, neu], 'DESC') AS r FROM lexd)
 SELECT seq, CASE seq % 10 WHEN 0 THEN pos WHEN 1 THEN 0 ELSE least(1, greatest(0, r[1] - r[2])) END AS confidence FROM l"""
-ORACLE["ensemble_vote"] = f"""WITH {_LISTS}, {ART}, {lexical()}, {polarity()}, v AS (
-  SELECT seq, a.label AS label, a.confidence AS ca, b.confidence AS cb, a.label = b.label AS same, compound, polarity
-  FROM lexd a JOIN pold b USING (seq)), w AS (
-  SELECT *, CASE WHEN ca + cb > 0
-    THEN (ca * 1.0::DOUBLE + cb * CASE WHEN same THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / (ca + cb) ELSE 0 END AS conf FROM v)
-SELECT seq, label, conf AS confidence, conf AS consensus_confidence,
-  CASE WHEN same THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS analyzer_agreement,
-  compound AS lexicon_compound, polarity AS polarity_polarity FROM w"""
+ORACLE["ensemble_vote"] = f"""WITH {_LISTS}, {ART}, {lexical()}, {polarity()}, m AS (
+  SELECT seq, len(regexp_extract_all(concat(title, '. ', content), '{A.MARKS}')) AS n FROM art), v AS (
+  SELECT seq, a.label AS la, a.confidence AS ca, b.label AS lb, b.confidence AS cb,
+    CASE WHEN n > 20 THEN 'negative' WHEN n > 0 THEN 'neutral' ELSE 'positive' END AS lm, 0.6::DOUBLE AS cm,
+    compound, polarity, n
+  FROM lexd a JOIN pold b USING (seq) JOIN m USING (seq)), w AS (
+  SELECT *, CASE WHEN lb = lm AND la <> lb THEN lb ELSE la END AS label FROM v), x AS (
+  SELECT *, (CASE WHEN la = label THEN 1 ELSE 0 END + CASE WHEN lb = label THEN 1 ELSE 0 END + CASE WHEN lm = label THEN 1 ELSE 0 END)
+    / 3.0::DOUBLE AS share,
+    (ca * CASE WHEN la = label THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + cb * CASE WHEN lb = label THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END
+      + cm * CASE WHEN lm = label THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / (ca + cb + cm) AS conf FROM w)
+SELECT seq, label, conf AS confidence, conf AS consensus_confidence, share AS analyzer_agreement,
+  compound AS lexicon_compound, polarity AS polarity_polarity, n::DOUBLE AS marks_count FROM x"""
 ORACLE["chunk_combine"] = f"""WITH {_LISTS}, {ART}, aw AS (SELECT seq, {_AW} AS w FROM art), part AS (
   SELECT seq, i // 80 AS part, array_to_string(w[i + 1:i + 100], ' ') AS txt
   FROM (SELECT seq, w, unnest(range(0, len(w), 80)) AS i FROM aw)),
@@ -558,12 +563,28 @@ ORACLE["source_catalog"] = """WITH s AS (
     ['business', 'science', 'general'][m % 3 + 1] AS category, lang AS language,
     CASE WHEN m % 2 = 0 THEN 'us' ELSE 'in' END AS country FROM s WHERE m % 10 <> 9)
 SELECT 'all' AS rule, * FROM r UNION ALL SELECT 'some', * FROM r WHERE category = 'science' AND language = 'en'"""
-_LOG = f"""WITH b AS (
-  SELECT source, doc_id // 1000 AS batch, count(*) AS n, ({_NEWSNUM} + doc_id // 1000) % 7 = 3 AS failed
-  FROM documents GROUP BY ALL), l AS (
+_LOG = f"""WITH {ART}, b AS (
+  SELECT source, seq // 1000 AS batch, count(*) FILTER (seq % 13 <> 0 AND {clean("title")} <> '') AS n,
+    ({_NEWSNUM} + seq // 1000) % 7 = 3 AS failed
+  FROM art GROUP BY ALL), l AS (
   SELECT source, 'api' AS source_type, NOT bool_or(failed) AS success,
     CASE WHEN bool_or(failed) THEN concat('News API error: limit of ', source) END AS error_message,
     {AS_OF} AS timestamp, sum(CASE WHEN failed THEN 0 ELSE n END)::BIGINT AS article_count FROM b GROUP BY source)"""
+ORACLE["ingest_log_feeds"] = f"""WITH {ART}, b AS (
+  SELECT source, seq // 1000 AS batch, count(*) FILTER (seq % 17 <> 0 AND {clean("title")} <> '') AS n,
+    ({_NEWSNUM} + seq // 1000) % 7 = 3 AS failed
+  FROM art GROUP BY ALL)
+SELECT source, 'rss' AS source_type, NOT bool_or(failed) AS success,
+  CASE WHEN bool_or(failed) THEN 'Feed error: not a feed' END AS error_message,
+  {AS_OF} AS timestamp, sum(CASE WHEN failed THEN 0 ELSE n END)::BIGINT AS article_count FROM b GROUP BY source"""
+ORACLE["ingest_capped"] = f"""WITH {ART}, i AS (
+  SELECT *, row_number() OVER (PARTITION BY source, seq // 1000 ORDER BY seq) AS pos FROM art), k AS (
+  SELECT {clean("title")} AS title, {clean("content")} AS body, url, pos,
+    concat(upper(substr(source, 1, 1)), lower(substr(source, 2))) AS source
+  FROM i WHERE seq % 17 <> 0), c AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos, url) AS n FROM k WHERE title <> '')
+SELECT url, source, title FROM c WHERE n <= 20
+  AND (contains(lower(concat(title, ' ', body)), 'est') OR contains(lower(concat(title, ' ', body)), 'the'))"""
 ORACLE["ingest_log"] = f"{_LOG} SELECT * FROM l"
 ORACLE["ingest_run_totals"] = f"""{_LOG} SELECT count(*) AS total_sources, count(*) FILTER (success) AS successful_sources,
   sum(article_count)::BIGINT AS total_articles FROM l"""
@@ -659,12 +680,13 @@ ORACLE["reanalyze_newest"] = (
 # --- files -------------------------------------------------------------------------------------
 
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S')"
-ORACLE["export_csv_projection"] = f"""WITH {_LISTS}, {ART}, {lexical()}, newest AS (
-  SELECT * FROM art ORDER BY published_date DESC, seq LIMIT 200), {top5("newest", "seq", "content")}
+ORACLE["export_csv_projection"] = f"""WITH {_LISTS}, {ART}, {lexical()}, {top5("art", "seq", "content")}
 SELECT title, url, source, {_ISO.format("published_date")} AS published_date, {_ISO.format("scraped_date")} AS scraped_date,
   '' AS author, '' AS summary, md5(content) AS content, replace(coalesce(keywords, ''), '|', ', ') AS keywords, category,
   source_type, label AS sentiment_label, confidence::VARCHAR AS sentiment_confidence
-FROM newest JOIN lexd USING (seq) LEFT JOIN kw USING (seq)"""
+FROM art JOIN lexd USING (seq) LEFT JOIN kw USING (seq)"""
+ORACLE["export_head"] = f"""WITH {ART} SELECT title, url, source, {_ISO.format("published_date")} AS published_date
+FROM art ORDER BY published_date DESC, seq LIMIT 200"""
 ORACLE["report_projection"] = f"""WITH {_LISTS}, {ART}, {lexical()}
 SELECT title, url, source, published_date, scraped_date, '' AS author, '' AS summary, '' AS keywords, category, source_type,
   label AS sentiment_label, confidence AS sentiment_confidence, {N_WORDS} AS word_count,

@@ -29,7 +29,8 @@ def sentiment_stats(df: DataFrame, label: str = "sentiment_label") -> DataFrame:
 def analysis_summary(
     df: DataFrame, label: str = "sentiment_label", confidence: str = "sentiment_confidence"
 ) -> DataFrame:
-    """Rows ``(label, n, articles_processed, average_confidence)`` for the labels present."""
+    """Rows ``(label, n, articles_processed, average_confidence)`` for the labels present; without
+    any scored article one row of zeros with no label."""
     by_label = (
         df.where(F.col(label).isNotNull())
         .groupBy(F.col(label).alias("label"))
@@ -40,12 +41,16 @@ def analysis_summary(
     )
     # The window runs over the counts, one row per label.
     every = W.partitionBy()
-    return by_label.select(
+    # A row of zeros goes along and stays only if it is alone.
+    none = by_label.sparkSession.range(1).select(F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(30,12)").alias("s"))
+    rows = by_label.unionByName(none)
+    total = F.sum("n").over(every)
+    return rows.select(
         "label",
         "n",
-        F.sum("n").over(every).alias("articles_processed"),
-        (F.sum("s").over(every).cast("double") / F.sum("n").over(every)).alias("average_confidence"),
-    )
+        total.alias("articles_processed"),
+        F.coalesce(F.try_divide(F.sum("s").over(every).cast("double"), total), F.lit(0.0)).alias("average_confidence"),
+    ).where("label IS NOT NULL OR articles_processed = 0")
 
 
 def articles_by_source(df: DataFrame) -> DataFrame:
@@ -152,7 +157,3 @@ def ingest_run_totals(log: DataFrame) -> DataFrame:
         _n(F.col("success")).alias("successful_sources"),
         F.coalesce(F.sum("article_count"), F.lit(0)).alias("total_articles"),
     )
-
-
-def valid_score_stats(df: DataFrame, valid: Column) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"), _n(valid).alias("n_valid"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newsmood.operators.articles import (
     cap_per_source,
     first_by_url,
+    from_stored,
     tidy,
     to_stored,
     union_sources,
@@ -19,7 +20,6 @@ from newsmood.operators.ensemble import analyze_with
 from newsmood.operators.sentiment import analyze
 from newsmood.operators.stats import (
     analysis_summary,
-    ingest_run_totals,
     sentiment_stats,
     source_registry_stats,
 )
@@ -48,11 +48,12 @@ def ingest(
     as_of: Column,
     keywords: Sequence[str] | None = None,
     max_per_source: int | None = None,
-    order: Sequence[str] = ("published_date", "url"),
+    order: Sequence[str] = ("item_pos", "url"),
 ) -> DataFrame:
-    """Parse every payload kind, cap each source, keep keyword matches, union."""
+    """Parse every payload kind, cap each source to its first articles in feed order, keep keyword
+    matches, union."""
     frames = [
-        cap_per_source(parse(kind, df, as_of), max_per_source, keywords, "before", order)
+        cap_per_source(parse(kind, df, as_of), max_per_source, keywords, "before", order).drop("item_pos")
         for kind, df in payloads.items()
     ]
     return union_sources(*frames)
@@ -85,17 +86,15 @@ def ingest_to_summary(
 
 
 def save_run(result: RunResult, store_path: str, export_path: str | None = None, fmt: str = "json") -> int:
-    """Write the stored table once and export from what was written."""
-    result.stored.write.mode("overwrite").parquet(store_path)
-    if export_path is None:
-        return result.articles.sparkSession.read.parquet(store_path).count()
-    return write_articles(result.articles, export_path, fmt)
+    """Write the stored table to a new place and export from what was written.
+
+    The run is computed once. An existing ``store_path`` is an error, as the run may read it.
+    """
+    result.stored.write.mode("error").parquet(store_path)
+    written = result.stored.sparkSession.read.parquet(store_path)
+    return written.count() if export_path is None else write_articles(from_stored(written), export_path, fmt)
 
 
 def system_stats(store: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Store counts and source counts."""
     return sentiment_stats(store), source_registry_stats(sources)
-
-
-def run_totals(log: DataFrame) -> DataFrame:
-    return ingest_run_totals(log)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.sources.api import feed_items_to_articles, parse_responses, responses_to_articles
-from newsmood.sources.feeds import explode_feeds, items_to_articles
+from newsmood.functions.text import clean_text, or_empty
+from newsmood.sources.api import FEED_ITEMS, feed_items_to_articles, parse_responses, responses_to_articles
+from newsmood.sources.feeds import explode_feeds, feed_items, items_to_articles
 from newsmood.sources.pages import extract_articles
 
 Parser = Callable[[DataFrame, Column], DataFrame]
@@ -34,10 +35,34 @@ def parse(kind: str, payloads: DataFrame, as_of: Column) -> DataFrame:
     return _PARSERS[kind](payloads, as_of)
 
 
-register_parser("rss", lambda df, as_of: items_to_articles(explode_feeds(df), as_of))
-register_parser("newsapi", lambda df, as_of: responses_to_articles(parse_responses(df), as_of).drop("item_pos"))
-register_parser("gnews", lambda df, as_of: feed_items_to_articles(df, as_of).drop("item_pos"))
-register_parser("web", lambda df, as_of: extract_articles(df, as_of))
+# Parsers keep ``item_pos``, the place of an article in its payload.
+register_parser("rss", lambda df, as_of: items_to_articles(explode_feeds(df), as_of, "item_pos"))
+register_parser("newsapi", lambda df, as_of: responses_to_articles(parse_responses(df), as_of))
+register_parser("gnews", lambda df, as_of: feed_items_to_articles(df, as_of))
+register_parser("web", lambda df, as_of: extract_articles(df, as_of).withColumn("item_pos", F.lit(0)))
+
+
+def _usable(items: Column, link: str) -> Column:
+    """Items that a parser keeps: those with a title and a link."""
+    kept = F.filter(items, lambda i: (clean_text(i["title"]) != "") & (or_empty(i[link]) != ""))
+    return F.coalesce(F.size(kept), F.lit(0))
+
+
+def feed_responses(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Landed feeds with ``ok``, ``error_message`` and ``n_articles``, for ``ingest_log``."""
+    items = payloads.withColumn("_items", feed_items(F.col(payload)))
+    return _judged(items, _usable(F.col("_items"), "link"), "Feed error: not a feed")
+
+
+def item_responses(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Landed aggregator results with ``ok``, ``error_message`` and ``n_articles``."""
+    items = payloads.withColumn("_items", F.from_json(F.col(payload), FEED_ITEMS))
+    return _judged(items, _usable(F.col("_items"), "url"), "Aggregator error: no list of items")
+
+
+def _judged(rows: DataFrame, n: Column, message: str) -> DataFrame:
+    ok = F.col("_items").isNotNull()
+    return rows.withColumns({"ok": ok, "error_message": F.when(~ok, F.lit(message)), "n_articles": n}).drop("_items")
 
 
 def ingest_log(
@@ -50,9 +75,11 @@ def ingest_log(
     """One log row per source from parsed payloads with ``ok`` and ``error_message``.
 
     A source succeeds when none of its payloads failed; otherwise the first message
-    by payload text order is kept. Counts are partial sums, so a busy source is fine.
+    by payload text order is kept. Articles are those that the parser keeps: ``articles`` for a
+    payload, or else the usable items of its API response. Counts are partial sums, so a busy
+    source is fine.
     """
-    n = articles if articles is not None else F.size(F.coalesce("response.articles", F.array()))
+    n = articles if articles is not None else _usable(F.col("response.articles"), "url")
     return responses.groupBy(source).agg(
         (source_type if source_type is not None else F.lit("api")).alias("source_type"),
         F.min("ok").alias("success"),
