@@ -37,6 +37,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+#: Word weights of a linear scorer.
+WEIGHTS = {"the": 3, "of": -2, "de": 2, "la": -3, "der": 1, "und": -1, "en": 1, "and": -1}
+
 #: Symbols that the third voter counts.
 MARKS = "[!%$&*#|]"
 

@@ -418,6 +418,21 @@ def chunk_combine(spark, d):
     return _sentiment_columns(df, ["neg", "neutral", "pos"], "seq")
 
 
+@query
+def model_chunks(spark, d):
+    """A linear scorer with fixed word weights, applied to the parts of whole documents."""
+    weights = F.create_map(*[F.lit(x) for pair in A.WEIGHTS.items() for x in pair])
+
+    def scorer(parts: DataFrame) -> DataFrame:
+        found = F.transform(T.words(F.lower("text")), lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(0)))
+        total = F.aggregate(found, F.lit(0), lambda a, x: a + x).cast("double")
+        good = (total / (F.abs(total) + 1) + 1) / 2
+        return parts.withColumn("scores", T.let(good, lambda g: F.create_map(F.lit("positive"), g, F.lit("negative"), 1 - g)))
+
+    found = chunk_scores(A.articles(spark, d), scorer, "seq")
+    return found.select("seq", "sentiment.label", "sentiment.confidence", c("sentiment.scores")["positive"].alias("positive"))
+
+
 @query
 def model_sentiment(spark, d):
     """A text classifier fitted on the labelled documents, applied in parts to all of them."""

@@ -448,6 +448,16 @@ o AS (SELECT seq, w, unnest(range(0, len(w), 460)) AS i FROM w), s AS (SELECT se
 SELECT seq, 'overlap' AS mode, i // 460 AS part, md5(array_to_string(w[i + 1:i + 510], ' ')) AS text FROM o
 UNION ALL SELECT seq, 'side by side', i // 358, md5(array_to_string(w[i + 1:i + 358], ' ')) FROM s"""
 
+_WEIGHT = "CASE lower(y) " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in A.WEIGHTS.items()) + " ELSE 0 END"
+ORACLE["model_chunks"] = f"""WITH {ART}, w AS (SELECT seq, {_AW} AS w FROM art),
+p AS (SELECT seq, list_sum(list_transform(w[i + 1:i + 510], lambda y: {_WEIGHT}))::DOUBLE AS t
+  FROM (SELECT seq, w, unnest(range(0, len(w), 460)) AS i FROM w)),
+g AS (SELECT seq, (t / (abs(t) + 1) + 1) / 2 AS good FROM p),
+s AS (SELECT seq, count(*) AS n, sum(good::DECIMAL(28, 12)) AS good, sum((1 - good)::DECIMAL(28, 12)) AS bad,
+  sum(greatest(good, 1 - good)::DECIMAL(28, 12)) AS best FROM g GROUP BY seq)
+SELECT seq, CASE WHEN bad >= good THEN 'negative' ELSE 'positive' END AS label, best::DOUBLE / n AS confidence, good::DOUBLE / n AS positive
+FROM s"""
+
 # --- sentiment ---------------------------------------------------------------------------------
 
 ORACLE["lexicon_sentiment"] = f"""WITH {_LISTS}, {ART}, {lexical()}
