@@ -8,7 +8,7 @@ incoming batch only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.operators.articles import from_stored, query_articles, to_stored, top_n_per_group
@@ -79,18 +79,6 @@ def migrate(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]
     return upsert(target, source, "updated_at"), upsert_counts(target, source)
 
 
-def read_jdbc(
-    spark: SparkSession, url: str, table: str, column: str, lower, upper, partitions: int, **options: str
-) -> DataFrame:
-    """A database table in parallel ranges of ``column``, as input of ``migrate``."""
-    return (
-        spark.read.format("jdbc")
-        .options(url=url, dbtable=table, partitionColumn=column, lowerBound=str(lower))
-        .options(upperBound=str(upper), numPartitions=str(partitions), **options)
-        .load()
-    )
-
-
 def reanalyze(
     store: DataFrame,
     as_of: Column,
@@ -107,12 +95,17 @@ def reanalyze(
         chosen = query_articles(store, keywords=keywords, limit=limit)
         fresh = to_stored(analyze(from_stored(chosen), analyzer), as_of)
         return upsert(store, fresh, "updated_at")
-    scored = analyze(store, analyzer)
     hit = F.lit(True)
     if keywords:
         hit = F.lit(False)
         for k in keywords:
             hit = hit | F.col("content").like(f"%{k}%") | F.col("title").like(f"%{k}%")
+    # Rows that are not chosen are scored as blank texts, which costs nothing.
+    texts = ("title", "content")
+    kept = {f"_{c}": F.col(c) for c in texts} | {"_hit": F.coalesce(hit, F.lit(False))}
+    blank = {c: F.when(F.col("_hit"), F.col(c)).otherwise("") for c in texts}
+    scored = analyze(store.withColumns(kept).withColumns(blank), analyzer)
+    scored = scored.withColumns({c: F.col(f"_{c}") for c in texts})
     new = {
         "sentiment_label": F.col("sentiment.label"),
         "sentiment_confidence": F.col("sentiment.confidence"),
@@ -121,7 +114,7 @@ def reanalyze(
         "updated_at": as_of,
     }
     return scored.withColumns(
-        {c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()}
+        {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new.items()}
     ).select(*store.columns)
 
 
