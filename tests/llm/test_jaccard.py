@@ -122,7 +122,7 @@ def test_trees_lose_no_pair(seed, t):
         comp.append(int(rng.integers(0, 60)))
     maps = [J.bitmap_of(s) for s in sets]
     make = lambda at: J.Tree(
-        np.stack([maps[i][0] for i in at]), np.array([len(sets[i]) for i in at]), np.array([maps[i][1] for i in at]), np.array([comp[i] for i in at])
+        np.stack([maps[i] for i in at]), np.array([len(sets[i]) for i in at]), np.array([comp[i] for i in at])
     )
     linked = {
         (i, j)
@@ -143,3 +143,11 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(-5, -4), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)} | {-5: -5, -4: -5}
+
+
+def test_folded_bitmaps_are_those_of_the_lower_level():
+    rng = np.random.default_rng(5)
+    small, large = (np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (J.LEVEL_SIZE, 3 * J.LEVEL_SIZE))
+    assert [J.level_of(n) for n in (1, J.LEVEL_SIZE, J.LEVEL_SIZE + 1, 4 * J.LEVEL_SIZE, 4 * J.LEVEL_SIZE + 1, 16 * J.LEVEL_SIZE)] == [0, 0, 1, 1, 2, 2]
+    wide = J.bitmap_of(np.union1d(small, large))[None]
+    assert not (J.bitmap_of(small) & ~J.folded(wide, 0)[0]).any()
