@@ -90,3 +90,23 @@ def test_copies_do_not_make_words_revealing(spark, documents):
     text = "a lone Marlowe boss@firm.example.com text with nothing else in it"
     docs = documents([(i, text) for i in range(9)] + [(i, "other words") for i in range(9, 30)])
     assert all(not r.terms for r in pii.find_pii(docs).collect())
+
+
+def test_terms_of_entities_seen_once(spark, documents):
+    rng = random.Random(7)
+    fill = lambda n: [rng.choice(["the", "of", "and", "in", "to", "was", "on"]) for _ in range(n)]
+    rows = [(i, " ".join(fill(30))) for i in range(300)]
+    for k in range(4):  # four addresses of one domain, each once, always beside the same word
+        rows.append((300 + k, " ".join([*fill(10), "Vantreuil", f"person{k}@firm.example.com", *fill(20), "vantreuil", *fill(3)])))
+    for k in range(3):  # a word of three texts, once beside an address that occurs once
+        rows.append((400 + k, " ".join([*fill(12), "Marlowe", *(["solo@other.example.org"] if k == 0 else []), *fill(12)])))
+    rows += [(410, rows[-1][1])] * 3  # copies are one text
+    docs = documents(rows)
+    found = {r.doc_id: [dict(rows)[r.doc_id][s.start : s.end] for s in r.terms] for r in pii.find_pii(docs).collect()}
+    assert {i: t for i, t in found.items() if t} == {**{300 + k: ["Vantreuil", "vantreuil"] for k in range(4)}, 400: ["Marlowe"]}
+    shares = {r.share for r in pii.disclosing(docs, pii.extract(docs)).collect()}
+    n = 307  # different texts
+    assert any(math.isclose(s, math.log(n / 3) / math.log(n)) for s in shares) and any(math.isclose(s, 1) for s in shares)
+    clean = pii.sanitize(docs).where("doc_id = 300").first().text
+    assert "antreuil" not in clean and "[NAME] [EMAIL]" in clean and "[WORD]" in clean
+    assert not any(r.terms for r in pii.find_pii(docs, support=5).collect())
