@@ -94,16 +94,18 @@ def _found(w: Words, windows: Windows) -> tuple[dict[int, list[tuple[int, int]]]
     return {r: _merged(x) for r, x in ranges.items()}, items
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple[str | None, str]]]:
-    """Benchmark items in blocks of bounded size. Only one block's share is collected at a time."""
+def _blocks(
+    benchmark: DataFrame, item_id: str, text: str, block_words: int
+) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+    """Benchmark items in blocks of bounded size: how many, and one after the other. Only one
+    block's share is collected at a time."""
     rows = benchmark.select(
         benchmark[item_id].cast("string").alias("item"), F.coalesce(benchmark[text], F.lit("")).alias("text")
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (2 * block_words)))  # a word and the gap after it take two bytes at least
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for k in range(n):
-        yield [(r.item, r.text) for r in rows.where(part == k).toLocalIterator()]
+    return n, ([(r.item, r.text) for r in rows.where(part == k).toLocalIterator()] for k in range(n))
 
 
 def contamination(
@@ -121,7 +123,7 @@ def contamination(
     spark = docs.sparkSession
     rows = pick(docs, doc_id, text)
     schema = T.StructType([rows.schema[0], *T.StructType.fromDDL(HITS)])
-    blocks = list(_blocks(benchmark, item_id, item_text, block_words)) if block_words else []
+    blocks = list(_blocks(benchmark, item_id, item_text, block_words)[1]) if block_words else []
     if len(blocks) > 1:
         rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
         schema = T.StructType([*schema, T.StructField("_row", T.LongType())])
@@ -199,20 +201,27 @@ def decontaminate(
 
     ``action="spans"`` cuts each hit range out of the text and drops a document only if no word
     is left of a text that had hits; ``action="documents"`` drops every document with a hit.
-    Texts without hits, nulls included, come back as they were.
+    Texts without hits, nulls included, come back as they were. Hits of all blocks of a larger
+    benchmark are found in the whole text and united before it is cut.
     """
     if action not in ("spans", "documents"):
         raise ValueError(f"unknown action {action!r}")
     schema = docs.schema
     at = schema.fieldNames().index(text)
 
-    def run(batches, shared):
+    def run(batches, shared=None):
+        """Ranges are found with the windows or, without them, read from a last column."""
         arrow = _arrow(schema)
-        windows = shared()
+        windows = shared() if shared else None
         for batch in batches:
             for part in slices(batch, text):
                 w = words_of(part.column(at), ALNUM)
-                ranges, _ = _found(w, windows)
+                if windows:
+                    ranges, _ = _found(w, windows)
+                else:
+                    known = part.column(part.num_columns - 1).to_pylist()
+                    ranges = {r: [(x["first_word"], x["last_word"]) for x in spans] for r, spans in enumerate(known) if spans}
+                    part = pa.RecordBatch.from_arrays(part.columns[:-1], names=schema.fieldNames())
                 if ranges:
                     part = _cut(part, w, ranges)
                 yield pa.RecordBatch.from_arrays(
@@ -237,8 +246,15 @@ def decontaminate(
         part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
         return part.filter(pa.array(keep))
 
-    out = docs
-    for items in _blocks(benchmark, item_id, item_text, block_words):
-        shared = broadcast(docs.sparkSession, Windows(items, n))
-        out = out.mapInArrow(lambda batches, shared=shared: run(batches, shared), schema)
-    return out
+    count, blocks = _blocks(benchmark, item_id, item_text, block_words)
+    if count == 1:
+        shared = broadcast(docs.sparkSession, Windows(next(blocks), n))
+        return docs.mapInArrow(lambda batches: run(batches, shared), schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    rows = written(rows, "decontaminate-docs")
+    texts = rows.select("_key", F.col("_doc")[text].alias("text"))
+    hits = contamination(texts, benchmark, n, "_key", "text", item_id, item_text, block_words).where(F.size("spans") > 0)
+    hits = written(hits.select(F.col("_key").alias("_hit"), "spans"), "decontaminate-cuts")
+    marked = rows.join(hits, rows["_key"] == hits["_hit"], "left")
+    marked = marked.select(*[F.col("_doc")[c].alias(c) for c in docs.columns], hits["spans"].alias("_hit_ranges"))
+    return marked.mapInArrow(run, schema)

@@ -69,6 +69,31 @@ def test_cut_spans_and_dropped_documents(spark, documents):
         D.decontaminate(table, benchmark, action="nothing")
 
 
+@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 8])
+@pytest.mark.parametrize("action", ["spans", "documents"])
+def test_cuts_of_many_blocks_equal_brute_force(spark, documents, block_words, action):
+    docs, items = cases()
+    overlapping = [f"w{i} w{i + 1} w{i + 2} w{i + 3}" for i in range(0, 40, 2)]  # each shares two words with the next
+    items = items + [(200 + i, t) for i, t in enumerate(overlapping)]
+    docs = docs + [(300, "Before; " + ", ".join(f"W{i}" for i in range(42)) + "! after"), (301, "p w0 w1 w2 w3 q w2 w3 w4")]
+    docs += [(302, "w20 w21 w0 w1 w2 w3 w22 w23")]  # what a cut brings together is no window
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = []
+    for i, t in docs:
+        n, hit, _ = brute(t, items, 4)
+        if hit and (action == "documents" or len(hit) == n):
+            continue
+        at = [m.span() for m in WORD.finditer((t or "").translate(LOWER))]
+        for a in sorted(hit, reverse=True):  # a word, and what follows it up to the next hit word
+            t = t[: at[a][0]] + t[at[a + 1][0] if a + 1 in hit else at[a][1] :]
+        expected.append((str(i), t))
+    got = D.decontaminate(documents(docs), benchmark, n=4, action=action, block_words=block_words)
+    assert got.columns == documents(docs).columns
+    got = got.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((i, str(t)) for i, t in expected)
+    assert all(r.n_words == "clash" and r.spans == 1 and r._row == 7 for r in got)
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(documents([]), none).collect() == []
