@@ -123,8 +123,8 @@ def contamination(
     spark = docs.sparkSession
     rows = pick(docs, doc_id, text)
     schema = T.StructType([rows.schema[0], *T.StructType.fromDDL(HITS)])
-    blocks = list(_blocks(benchmark, item_id, item_text, block_words)[1]) if block_words else []
-    if len(blocks) > 1:
+    count, blocks = _blocks(benchmark, item_id, item_text, block_words) if block_words else (1, iter([[]]))
+    if count > 1:
         rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
         schema = T.StructType([*schema, T.StructField("_row", T.LongType())])
 
@@ -151,12 +151,15 @@ def contamination(
 
         return run
 
+    if count == 1:
+        return rows.mapInArrow(scan(broadcast(spark, Windows(next(blocks), n))), schema)
     out = None
-    for items in blocks or [[]]:
-        found = rows.mapInArrow(scan(broadcast(spark, Windows(items, n))), schema)
+    for items in blocks:  # a block's hits are written and its broadcast goes before the next one comes
+        held: list = []
+        found = rows.mapInArrow(scan(broadcast(spark, Windows(items, n), held)), schema)
+        found = written(found if out is None else found.where(F.size("spans") > 0), "decontaminate-hits")
+        held.pop().unpersist()
         out = found if out is None else out.unionByName(found)
-    if len(blocks) < 2:
-        return out
     whole = out.groupBy("_row").agg(
         F.first(doc_id).alias(doc_id),
         F.first("n_words").alias("n_words"),

@@ -196,12 +196,15 @@ def pick(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[c] for c in columns])
 
 
-def broadcast(spark: SparkSession, value):
+def broadcast(spark: SparkSession, value, held: list | None = None):
     """A function that gives a broadcast object of this package's own classes inside a task.
 
     The broadcast holds the classes' code with the object, so executors need not import it.
+    A list ``held`` gets the broadcast itself, for the caller to free it.
     """
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    if held is not None:
+        held.append(shared)
 
     def get():
         import pickle

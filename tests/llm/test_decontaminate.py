@@ -94,6 +94,17 @@ def test_cuts_of_many_blocks_equal_brute_force(spark, documents, block_words, ac
     assert all(r.n_words == "clash" and r.spans == 1 and r._row == 7 for r in got)
 
 
+def test_a_block_is_scanned_before_the_next_is_fetched(spark, documents, monkeypatch):
+    docs = documents([(1, "x rare words only here today y the end"), (2, "nothing")])
+    benchmark = spark.createDataFrame([(i, f"rare words only here today w{i}") for i in range(4)], "item_id long, text string")
+    seen, windows, written = [], D.Windows, D.written
+    monkeypatch.setattr(D, "Windows", lambda items, n: (seen.append("block"), windows(items, n))[1])
+    monkeypatch.setattr(D, "written", lambda df, name: (written(df, name), seen.append("written"))[0])
+    got = D.contamination(docs, benchmark, n=4, block_words=40)
+    assert seen[0] == "written" and seen[1:] == ["block", "written"] * (len(seen) // 2) and len(seen) > 3
+    assert {r.doc_id: (r.n_words, list(r["items"]), len(r.spans)) for r in got.collect()} == {1: (9, ["0", "1", "2", "3"], 1), 2: (1, [], 0)}
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(documents([]), none).collect() == []
