@@ -8,11 +8,13 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsmood.functions.text import let
 from newsmood.llm import decontaminate as D
 from newsmood.llm import embeddings as E
 from newsmood.llm import jaccard as J
 from newsmood.llm import licenses as L
 from newsmood.llm import mixing as M
+from newsmood.llm import periodic as R
 from newsmood.llm import pii as P
 from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
@@ -148,3 +150,32 @@ def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.token_counts(table(spark, sf_dir, "documents"), K.vocabulary())
+
+
+@query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / F.lit(10))
+
+    def tail(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    text = F.when(h % 10 == 0, let(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), tail)).otherwise(F.col("text"))
+    found = R.collapse(docs.select("doc_id", text.alias("text")), digest=True)
+    order = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.get(order, F.lit(0))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("(1000 * -best.l) div best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )

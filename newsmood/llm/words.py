@@ -24,6 +24,8 @@ SEGMENT = 1 << 20
 _BYTE = np.arange(256)
 #: A-Z in lower case, every other byte as it is.
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+#: Every byte as it is.
+AS_IS = _BYTE.astype(np.uint8)
 _SPACE = (_BYTE == 0x20) | ((_BYTE >= 0x09) & (_BYTE <= 0x0D))
 #: Bytes of words set apart by white space.
 SPACED = ~_SPACE
@@ -111,19 +113,19 @@ def _bounds(data: np.ndarray, edges: np.ndarray, is_word: np.ndarray) -> tuple[n
     return np.flatnonzero(m & ~before), np.flatnonzero(m & ~after) + 1
 
 
-def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word in lower case."""
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word, in lower case or as another table folds its bytes."""
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
     begin = np.cumsum(size) - size
     pos = np.arange(int(size.sum())) - np.repeat(begin, size)
-    vals = _TABLE[LOWER[data[pos + np.repeat(start, size)]]]
+    vals = _TABLE[fold[data[pos + np.repeat(start, size)]]]
     vals *= _powers(int(size.max()))[pos]
     return mixed(np.add.reduceat(vals, begin) + size.astype(np.uint64))
 
 
-def words_of(column: pa.Array, is_word: np.ndarray) -> Words:
+def words_of(column: pa.Array, is_word: np.ndarray, fold: np.ndarray = LOWER) -> Words:
     """Words, their places and hashes, of all texts of a column."""
     data, offsets = raw(column)
     starts, ends, hashes = [], [], []
@@ -138,7 +140,7 @@ def words_of(column: pa.Array, is_word: np.ndarray) -> Words:
         part = data[lo:hi]
         edges = offsets[(offsets >= lo) & (offsets <= hi)] - lo
         s, e = _bounds(part, edges, is_word)
-        hashes.append(_hashed(part, s, e))
+        hashes.append(_hashed(part, s, e, fold))
         starts.append(s + lo)
         ends.append(e + lo)
         lo = hi
