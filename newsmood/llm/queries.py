@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.functions.text import let
+from newsmood.llm import chat as H
 from newsmood.llm import decontaminate as D
 from newsmood.llm import embeddings as E
 from newsmood.llm import jaccard as J
@@ -20,6 +21,7 @@ from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
 from newsmood.llm import tokens as K
 from newsmood.llm import warc as W
+from newsmood.llm.words import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,3 +181,11 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         "collapsed_sha256",
     )
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
+    return H.digests(written(H.format_chats(rows.unionByName(more)), "chats", compression="zstd"))

@@ -68,3 +68,20 @@ reach AS (
 SELECT v.vec_id, coalesce(n, 0)::bigint AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (vec_id)
 """
+
+# Lengths of the markers before and after a text, and markers with any escapes in them.
+_AROUND = "CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END"
+_MARKERS = r"(<\\*<SYS>>|<\\*</SYS>>|\[\\*/?INST\]|<\\*/?s>|\[\\*/?ROLE\]|\[\\*/TURN\])"
+
+ORACLE["op12_chat"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_AROUND} + length(text) + len(regexp_extract_all(text, '{_MARKERS}')))::bigint AS formatted_chars
+FROM t GROUP BY conv_id
+"""

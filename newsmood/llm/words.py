@@ -186,10 +186,10 @@ def rows_with(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> np.n
     return np.diff(at) > 0
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows as a table in the shared folder, read back: cuts lineage and fixes row ids."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
