@@ -28,7 +28,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -291,7 +290,7 @@ def _scanned(docs: DataFrame, text: str, digest: bool) -> DataFrame:
                 sha = [hashlib.sha256(_kept(w, r, [])).hexdigest() if p and digest else None for r, p in enumerate(plain)]
                 texts = part.column(0)
                 if digest:
-                    texts = pc.if_else(pa.array(plain), pa.scalar(None, texts.type), texts)
+                    texts = texts.take(pa.array([None if p else r for r, p in enumerate(plain)], pa.int64()))
                 columns = [texts, part.column(1), part.column(2), pa.array(np.diff(w.first)), pa.array(plain), pa.array(sha, pa.string())]
                 columns.append(pa.array(tiles, arrow.field(6).type))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
