@@ -16,6 +16,7 @@ from newsmood.llm import jaccard as J
 from newsmood.llm import licenses as L
 from newsmood.llm import mixing as M
 from newsmood.llm import periodic as R
+from newsmood.llm import phrases as N
 from newsmood.llm import pii as P
 from newsmood.llm import quality as C
 from newsmood.llm import secrets as S
@@ -189,3 +190,8 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
     return H.digests(written(H.format_chats(rows.unionByName(more)), "chats", compression="zstd"))
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.collocations(table(spark, sf_dir, "documents"))

@@ -85,3 +85,31 @@ SELECT conv_id, count(*) AS n_turns,
   sum({_AROUND} + length(text) + len(regexp_extract_all(text, '{_MARKERS}')))::bigint AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+ORACLE["op11_phrases"] = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p
+    FROM documents)),
+f AS (
+  SELECT lang, k, g, count(*) AS a FROM (
+    SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) t(k) WHERE len(w) >= k))
+  GROUP BY 1, 2, 3),
+total AS (SELECT lang, sum(a)::bigint AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND a >= 100),
+inner_ AS (
+  SELECT DISTINCT lang, g FROM (
+    SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g, a
+    FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k)) x
+  JOIN (SELECT lang, g, a AS own FROM c) USING (lang, g) WHERE 100 * a >= 100 * own),
+cuts AS (
+  SELECT lang, k, g, a, j, array_to_string(list_slice(w, 1, j), ' ') AS g1, array_to_string(list_slice(w, j + 1, k), ' ') AS g2
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) WHERE (lang, g) NOT IN (SELECT (lang, g) FROM inner_)),
+scores AS (
+  SELECT x.lang, x.g, x.a, y.a AS l, z.a AS r, n, j, (1000::hugeint * x.a * n // (y.a::hugeint * z.a))::bigint AS score
+  FROM cuts x JOIN f y ON y.lang = x.lang AND y.g = x.g1 JOIN f z ON z.lang = x.lang AND z.g = x.g2 JOIN total t ON t.lang = x.lang),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
