@@ -282,3 +282,37 @@ def source_registry(df: DataFrame) -> DataFrame:
         F.col("source_type").alias("type"),
         F.concat(host, F.col("source"), F.lit(".example.com/news")).alias("url"),
     )
+
+
+def spoiled(df: DataFrame) -> DataFrame:
+    """Articles with the faults imports meet: missing values, values outside the closed domains."""
+    nth = F.col("seq") % 10
+    mood = F.struct(F.lit("odd").alias("label"), F.lit(0.5).alias("confidence"), F.create_map().cast("map<string,double>").alias("scores"), F.lit("").alias("model_used"))
+    return df.withColumns(
+        {
+            "title": F.when(nth != 1, F.col("title")),
+            "url": F.when(nth != 2, F.col("url")),
+            "source_type": F.when(nth == 3, "fax").otherwise(F.col("source_type")),
+            "sentiment": F.when(nth == 4, mood),
+        }
+    )
+
+
+def json_payloads(df: DataFrame) -> DataFrame:
+    """``file, value``: exports of consecutive articles of a source, the layouts taking turns.
+
+    Envelopes and lists are indented.
+    """
+    pretty = F.to_json(F.struct(*_json_fields()), {"ignoreNullFields": "false", "pretty": "true"})
+    compact = F.to_json(F.struct(*_json_fields()), {"ignoreNullFields": "false"})
+    both = _batched(df, F.struct(pretty.alias("pretty"), compact.alias("compact")))
+    items = F.array_join(F.transform("items", lambda x: x["pretty"]), ",\n")
+    lines = F.array_join(F.transform("items", lambda x: x["compact"]), "\n")
+    nth = F.pmod(F.xxhash64("source", "batch"), F.lit(3))
+    head = F.concat(F.lit('{\n  "export_info" : {\n    "total_articles" : '), F.size("items"), F.lit('\n  },\n  "articles" : [\n'))
+    value = F.when(nth == 0, F.concat(head, items, F.lit("\n]\n}"))).when(nth == 1, F.concat(F.lit("[ "), items, F.lit(" ]"))).otherwise(lines)
+    return both.select(F.concat_ws("-", F.coalesce("source", F.lit("none")), "batch").alias("file"), value.alias("value"))
+
+
+def _json_fields() -> list[Column]:
+    return [iso_text(F.col(f.name)).alias(f.name) if f.name.endswith("_date") else F.col(f.name) for f in ARTICLE.fields]

@@ -706,7 +706,7 @@ def _roundtrip(spark, d, fmt):
     df = M.analyze(A.articles(spark, d)).withColumn("keywords", J.frequent_keywords(c("content"), 5))
     path = work_path(spark, f"export-{fmt}")
     files.write_articles(df, path, fmt)
-    back = files.read_articles(spark, f"{path}/articles" if fmt == "json" else path, A.as_of(), fmt)
+    back = files.read_articles(spark, f"{path}/articles" if fmt == "json" else path, A.as_of(), "jsonl" if fmt == "json" else fmt)
     return back.select(
         "title", digest("content"), "url", "source", "published_date", "scraped_date", joined("keywords"),
         "category", "source_type", "sentiment.label", "sentiment.confidence",
@@ -723,6 +723,33 @@ def csv_roundtrip(spark, d):
     return _roundtrip(spark, d, "csv")
 
 
+def _landed_json(spark, df: DataFrame, name: str) -> str:
+    """Files of up to a thousand articles in the three layouts JSON exports have."""
+    path = work_path(spark, name)
+    A.json_payloads(df).repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def json_envelope_import(spark, d):
+    """Indented envelopes, indented lists and lines, told apart by content."""
+    path = _landed_json(spark, M.analyze(A.articles(spark, d)), "landed-json")
+    back = files.read_articles(spark, path, A.as_of(), "json")
+    return back.select(
+        "title", digest("content"), "url", "source", "published_date", "scraped_date", "category", "source_type",
+        "sentiment.label", "sentiment.confidence",
+    )
+
+
+@query
+def import_quarantine(spark, d):
+    """Records of the same files that are no articles, and why."""
+    path = _landed_json(spark, A.spoiled(A.articles(spark, d)), "landed-spoiled")
+    bad = files.rejected(files.import_records(spark, path, A.as_of(), "json"))
+    field = lambda name: F.regexp_extract("record", f'"{name}" ?: ?"([^"]*)"', 1).alias(name)
+    return bad.select(field("scraped_date"), field("category"), "problem")
+
+
 # --- composed jobs and streams ----------------------------------------------------------------
 
 

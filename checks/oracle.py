@@ -709,6 +709,14 @@ SELECT title, md5(content) AS content, url, source, published_date, scraped_date
   source_type, label, confidence FROM art JOIN lexd USING (seq) LEFT JOIN kw USING (seq)"""
 ORACLE["csv_roundtrip"] = ORACLE["json_roundtrip"]
 
+ORACLE["json_envelope_import"] = f"""WITH {_LISTS}, {ART}, {lexical()}
+SELECT title, md5(content) AS content, url, source, published_date, scraped_date, category, source_type, label, confidence
+FROM art JOIN lexd USING (seq)"""
+ORACLE["import_quarantine"] = f"""WITH {ART}
+SELECT strftime(scraped_date, '%Y-%m-%dT%H:%M:%S') AS scraped_date, category,
+  CASE seq % 10 WHEN 1 THEN 'no title' WHEN 2 THEN 'no url' WHEN 3 THEN 'unknown source type' ELSE 'unknown sentiment label' END AS problem
+FROM art WHERE seq % 10 BETWEEN 1 AND 4"""
+
 # --- streams -----------------------------------------------------------------------------------
 
 ORACLE["stream_dedup"] = f"WITH {ART} SELECT DISTINCT url FROM art"

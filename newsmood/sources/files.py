@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.functions.dates import iso_text, parse_iso
 from newsmood.functions.text import or_empty, reading_minutes, word_count
 from newsmood.operators.stats import report_summary
 from newsmood.schema import ARTICLE, LABELS, SOURCE_TYPES
+from newsmood.sources.records import records
 
 FORMAT_VERSION = "1.0"
 
@@ -89,16 +91,26 @@ def _typed(record: Column, as_of: Column) -> dict[str, Column]:
     }
 
 
-def _usable(record: Column) -> Column:
-    """Required fields are there and the closed domains hold."""
-    need = record.isNotNull()
-    for c in ("title", "content", "url", "source", "published_date"):
-        need = need & record[c].isNotNull()
+def _problem(record: Column) -> Column:
+    """What keeps a parsed JSON record from being an article; NULL for a usable one."""
+    need = ("title", "content", "url", "source", "published_date")
+    missing = F.coalesce(*[F.when(record[c].isNull(), F.lit(f"no {c}")) for c in need])
+    empty = F.lit(True)
+    for c in (*need, "scraped_date", "author", "summary", "category", "source_type"):
+        empty = empty & record[c].isNull()
     kind = F.coalesce(record["source_type"], F.lit("website")).isin(*SOURCE_TYPES)
-    mood = record["sentiment"].isNull() | F.coalesce(
-        record["sentiment"]["label"].isin(*LABELS), F.lit(False)
+    mood = record["sentiment"].isNull() | F.coalesce(record["sentiment"]["label"].isin(*LABELS), F.lit(False))
+    return (
+        F.when(record.isNull() | empty, "not an article")
+        .when(missing.isNotNull(), missing)
+        .when(~kind, "unknown source type")
+        .when(~mood, "unknown sentiment label")
     )
-    return need & kind & mood
+
+
+def _usable(record: Column) -> Column:
+    """Required fields are there and the closed domains hold."""
+    return _problem(record).isNull()
 
 
 def articles_from_json(df: DataFrame, as_of: Column, *keep: str, column: str = "json") -> DataFrame:
@@ -110,19 +122,25 @@ def articles_from_json(df: DataFrame, as_of: Column, *keep: str, column: str = "
     return rows.select(*keep, *[v.alias(k) for k, v in _typed(F.col("r"), as_of).items()])
 
 
+def _written(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write rows and return their number, observed by the tasks that write them."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
 def write_articles(df: DataFrame, path: str, fmt: str = "json") -> int:
     """Write a folder of part files; returns the number of articles.
 
     JSON is one record per line, with ``_manifest`` beside the data holding the
     export time, the total and the format version; ``report`` writes the report's
-    articles and summary tables. The total is counted on the written files, which
-    costs their I/O (Parquet: their footers) and not the computation behind ``df``.
+    articles and summary tables. The total is observed while writing: nothing is read again,
+    but the report's rows for its summary.
     """
     fmt = fmt.lower()
     spark = df.sparkSession
     if fmt == "json":
-        df.select(article_json(df).alias("value")).write.mode("overwrite").text(f"{path}/articles")
-        n = spark.read.text(f"{path}/articles").count()
+        n = _written(df.select(article_json(df).alias("value")), lambda rows: rows.write.mode("overwrite").text(f"{path}/articles"))
         info = spark.range(1).select(
             F.current_timestamp().alias("timestamp"),
             F.lit(n).alias("total_articles"),
@@ -130,100 +148,103 @@ def write_articles(df: DataFrame, path: str, fmt: str = "json") -> int:
         )
         info.write.mode("overwrite").json(f"{path}/_manifest")
     elif fmt == "csv":
-        csv_projection(df).write.mode("overwrite").options(
-            header="true", escape='"', quoteAll="true", emptyValue="", lineSep="\n"
-        ).csv(path)
-        n = _read_csv_text(spark, path).count()
+        options = {"header": "true", "escape": '"', "quoteAll": "true", "emptyValue": "", "lineSep": "\n"}
+        n = _written(csv_projection(df), lambda rows: rows.write.mode("overwrite").options(**options).csv(path))
     elif fmt == "parquet":
-        df.write.mode("overwrite").parquet(path)
-        n = spark.read.parquet(path).count()
+        n = _written(df, lambda rows: rows.write.mode("overwrite").parquet(path))
     elif fmt == "report":
         report = report_projection(df)
         names = [c.lower().replace(" (min)", "").replace(" ", "_") for c in report.columns]
-        report.toDF(*names).write.mode("overwrite").parquet(f"{path}/articles")
+        n = _written(report.toDF(*names), lambda rows: rows.write.mode("overwrite").parquet(f"{path}/articles"))
         # The summary sheet comes from the written rows, so scores are not computed again.
         rows = spark.read.parquet(f"{path}/articles").withColumn(
             "sentiment_label", F.nullif("sentiment_label", F.lit(""))
         )
-        n = rows.count()
         report_summary(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
     else:
         raise ValueError(f"Unsupported export format: {fmt}")
     return n
 
 
-def read_json(spark: SparkSession, path: str, as_of: Column, enveloped: bool = False) -> DataFrame:
-    """Articles of line-per-record JSON, or of files holding one envelope or list each.
+def read_json(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """Articles of line-per-record JSON: one pass over the lines, nothing to look for."""
+    lines = spark.read.text(path).withColumnRenamed("value", "json")
+    return articles_from_json(lines, as_of)
 
-    Lines split across tasks; an enveloped file is read by one task, so large
-    exports should use lines.
-    """
-    if not enveloped:
-        lines = spark.read.text(path).withColumnRenamed("value", "json")
-        return articles_from_json(lines, as_of)
-    whole = spark.read.text(path, wholetext=True)
-    records = F.coalesce(
-        F.from_json("value", f"articles array<struct<{_struct_ddl()}>>")["articles"],
-        F.from_json("value", f"array<struct<{_struct_ddl()}>>"),
+
+def _csv_article(c: Column, as_of: Column) -> dict[str, Column]:
+    """Columns of a parsed CSV record."""
+    keywords = F.filter(F.transform(F.split(or_empty(c["keywords"]), ","), lambda k: F.trim(k)), lambda k: k != "")
+    sentiment = F.struct(
+        c["sentiment_label"].alias("label"),
+        c["sentiment_confidence"].try_cast("double").alias("confidence"),
+        F.create_map().cast("map<string,double>").alias("scores"),
+        F.lit("").alias("model_used"),
     )
-    rows = whole.select(F.explode(F.filter(records, _usable)).alias("r"))
-    return rows.select(*[v.alias(k) for k, v in _typed(F.col("r"), as_of).items()])
+    return {
+        **{x: c[x] for x in ("title", "content", "url", "source")},
+        "published_date": F.coalesce(parse_iso(c["published_date"]), as_of),
+        "scraped_date": F.coalesce(parse_iso(c["scraped_date"]), as_of),
+        **{x: F.nullif(c[x], F.lit("")) for x in ("author", "summary")},
+        "keywords": keywords,
+        "category": F.nullif(c["category"], F.lit("")),
+        "source_type": F.coalesce(F.nullif(c["source_type"], F.lit("")), F.lit("website")),
+        "sentiment": F.when(c["sentiment_label"].isin(*LABELS), sentiment),
+        "metadata": F.create_map().cast("map<string,string>"),
+    }
 
 
-def _struct_ddl() -> str:
-    out, depth = [], 0
-    for part in " ".join(_JSON_FIELDS.split()).split(", "):
-        if depth == 0:
-            part = part.replace(" ", ": ", 1)
-        depth += part.count("<") - part.count(">")
-        out.append(part)
-    return ", ".join(out)
+def import_records(spark: SparkSession, path: str, as_of: Column, fmt: str) -> DataFrame:
+    """Every record of JSON (any layout) or CSV files with what came of it.
 
+    ``file, start, nth`` say where it begins, ``record`` is its text; then either ``article`` is set
+    or ``problem`` says why there is none. ``accepted`` and ``rejected`` take it apart; write it
+    first to have both at the cost of one import.
+    """
+    found = records(spark, path, fmt)
+    if fmt == "json":
+        parsed = found.withColumn("parsed", F.from_json("record", _JSON_FIELDS))
+        problem, columns = _problem(F.col("parsed")), _typed(F.col("parsed"), as_of)
+    else:
+        options = {"escape": '"', "emptyValue": "", "nullValue": "\u0000", "lineSep": "\u0001", "columnNameOfCorruptRecord": "_bad"}
+        fields = ", ".join(f"{c} string" for c in (*CSV_COLUMNS, "_bad"))
+        header = (F.col("start") == 0) & (F.col("nth") == 0)
+        parsed = found.where(~header).withColumn("parsed", F.from_csv("record", fields, {**options, "multiLine": "true"}))
+        record = F.col("parsed")
+        missing = F.coalesce(*[F.when(record[c].isNull(), F.lit(f"no {c}")) for c in ("title", "url")])
+        problem = F.when(record["_bad"].isNotNull(), "wrong number of fields").otherwise(missing)
+        columns = _csv_article(record, as_of)
+    article = F.struct(*[columns[f.name].alias(f.name) for f in ARTICLE.fields])
+    judged = parsed.withColumn("problem", problem)
+    return judged.select("file", "start", "nth", "record", "problem", F.when(F.col("problem").isNull(), article).alias("article"))
 
-def _read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema(", ".join(f"{c} string" for c in CSV_COLUMNS))
-        .options(header="true", multiLine="true", escape='"', emptyValue="", nullValue="\u0000")
-        .csv(path)
-    )
+
+def accepted(imported: DataFrame) -> DataFrame:
+    """Articles of imported records."""
+    return imported.where("problem IS NULL").select("article.*")
+
+
+def rejected(imported: DataFrame) -> DataFrame:
+    """The quarantine: records that are no articles, where they stand and why."""
+    return imported.where("problem IS NOT NULL").select("file", "start", "nth", "record", "problem")
 
 
 def read_csv(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
-    """Articles of CSV files with a header; quoted line breaks are allowed."""
-    raw = _read_csv_text(spark, path)
-    c = F.col
-    keywords = F.filter(F.transform(F.split(or_empty(c("keywords")), ","), lambda k: F.trim(k)), lambda k: k != "")
-    sentiment = F.struct(
-        c("sentiment_label").alias("label"),
-        F.expr("try_cast(sentiment_confidence AS double)").alias("confidence"),
-        F.create_map().cast("map<string,double>").alias("scores"),
-        F.lit("").alias("model_used"),
-    )
-    return raw.where("title IS NOT NULL AND url IS NOT NULL").select(
-        "title",
-        "content",
-        "url",
-        "source",
-        F.coalesce(parse_iso(c("published_date")), as_of).alias("published_date"),
-        F.coalesce(parse_iso(c("scraped_date")), as_of).alias("scraped_date"),
-        *[F.nullif(c(x), F.lit("")).alias(x) for x in ("author", "summary")],
-        keywords.alias("keywords"),
-        F.nullif(c("category"), F.lit("")).alias("category"),
-        F.coalesce(F.nullif(c("source_type"), F.lit("")), F.lit("website")).alias("source_type"),
-        F.when(c("sentiment_label").isin(*LABELS), sentiment).alias("sentiment"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
-    )
+    """Articles of CSV files with a header; quoted line breaks are allowed, and files split."""
+    return accepted(import_records(spark, path, as_of, "csv"))
 
 
 def read_articles(spark: SparkSession, path: str, as_of: Column, fmt: str | None = None) -> DataFrame:
-    """Import by format, taken from the file suffix when not given."""
+    """Import by format, taken from the file suffix when not given.
+
+    ``json`` is any layout, told by content: an object with a list of ``articles``, a list, or a
+    record a line. Unusable records are left out; ``import_records`` keeps them aside.
+    """
     fmt = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
-    if fmt in ("json", "jsonl", "ndjson"):
+    if fmt in ("jsonl", "ndjson"):
         return read_json(spark, path, as_of)
-    if fmt == "envelope":
-        return read_json(spark, path, as_of, enveloped=True)
-    if fmt == "csv":
-        return read_csv(spark, path, as_of)
+    if fmt in ("json", "csv"):
+        return accepted(import_records(spark, path, as_of, fmt))
     if fmt == "parquet":
         return spark.read.schema(ARTICLE).parquet(path)
     raise ValueError(f"Unsupported file format: {fmt}")

@@ -17,7 +17,7 @@ from newsmood.session import work_path
 from newsmood.sources import files
 
 PYTHON = {"extract_articles_dom", "model_sentiment"}
-WRITES = {"article_by_url", "json_roundtrip", "csv_roundtrip", "stream_ingest", "stream_dedup", "stream_upsert", "stream_sentiment_counts"}
+WRITES = {"article_by_url", "json_envelope_import", "import_quarantine", "json_roundtrip", "csv_roundtrip", "stream_ingest", "stream_dedup", "stream_upsert", "stream_sentiment_counts"}
 PLANNED = sorted(set(catalog.QUERIES) - PYTHON - WRITES)
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import csv
 import json
+import random
 
 import pytest
 from helpers import articles, as_of
@@ -151,14 +153,99 @@ def test_file_roundtrip(spark, fmt):
     assert len(got) == 2
 
 
+GOOD = {"title": "t", "content": "c", "url": "u", "source": "s", "published_date": "2024-01-01T00:00:00Z"}
+
+
 def test_envelope_and_bad_records(spark, tmp_path):
-    good = {"title": "t", "content": "c", "url": "u", "source": "s", "published_date": "2024-01-01T00:00:00Z"}
-    bad = [{"title": "no url"}, good | {"source_type": "fax"}, good | {"sentiment": {"label": "odd", "confidence": 1.0}}]
-    (tmp_path / "a.json").write_text(json.dumps({"export_info": {"total_articles": 4}, "articles": [good, *bad]}, indent=2))
-    (tmp_path / "b.json").write_text(json.dumps([good | {"url": "v", "published_date": "someday"}]))
-    rows = files.read_articles(spark, str(tmp_path), as_of(), "envelope").orderBy("url").collect()
+    bad = [{"title": "no url"}, GOOD | {"source_type": "fax"}, GOOD | {"sentiment": {"label": "odd", "confidence": 1.0}}]
+    (tmp_path / "a.json").write_text(json.dumps({"export_info": {"total_articles": 4}, "articles": [GOOD, *bad]}, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps([GOOD | {"url": "v", "published_date": "someday"}]))
+    rows = files.read_articles(spark, str(tmp_path), as_of(), "json").orderBy("url").collect()
     assert [(r.url, r.source_type, r.keywords) for r in rows] == [("u", "website", []), ("v", "website", [])]
     assert str(rows[1].published_date) == "2024-03-01 00:00:00"
+    kept = files.rejected(files.import_records(spark, str(tmp_path), as_of(), "json")).orderBy("nth").collect()
+    assert [(json.loads(r.record), r.problem) for r in kept] == list(zip(bad, ["no content", "unknown source type", "unknown sentiment label"], strict=True))
+    assert all(r.file.endswith("a.json") for r in kept)
+
+
+LAYOUTS = {
+    "envelope": lambda r: json.dumps({"export_info": {"a": {"articles": 5}}, "other": [{"z": 1}], "articles": r, "end": [{"q": {}}]}, indent=2),
+    "list": lambda r: json.dumps(r, indent=1, ensure_ascii=False),
+    "one line": lambda r: json.dumps({"articles": r}),
+    "rows": lambda r: "[\n" + ",\n".join(map(json.dumps, r)) + "\n]",
+    "lines": lambda r: "\n".join(map(json.dumps, r)) + "\n\n",
+    "key apart": lambda r: json.dumps({"articles": r}).replace('{"articles": [', '{"articles":\n[', 1),
+}
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files split into byte ranges far shorter than some records."""
+    settings = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "50"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def noisy(n=50):
+    rng = random.Random(7)
+    texts = ['a "quoted" {x} [y]', "line\nbreak\r\n, é", "\\ back\\", '"articles": [', "}}]]", ""]
+    return [
+        GOOD | {"url": f"u{i:03}", "content": rng.choice(texts) + "x" * rng.choice([0, 9, 4000]), "metadata": {"articles": '[{"k": 1}]'}, "keywords": ["k", "]"]}
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_json_layouts_split_at_records(spark, tmp_path, small_ranges, layout):
+    records = noisy()
+    path = tmp_path / "x.json"
+    path.write_text(LAYOUTS[layout](records))
+    found = files.import_records(spark, str(path), as_of(), "json")
+    rows = found.orderBy("start", "nth").collect()
+    assert [json.loads(r.record) for r in rows] == records
+    assert [(r.article.url, r.article.content, r.article.keywords) for r in rows] == [(x["url"], x["content"], x["keywords"]) for x in records]
+    assert len({r.start for r in rows}) > 5 or layout in ("one line", "key apart")
+    assert files.read_articles(spark, str(path), as_of()).count() == len(records)
+
+
+def test_broken_lines_spoil_no_others(spark, tmp_path):
+    lines = [json.dumps(r) for r in noisy(20)]
+    lines[3], lines[9], lines[12] = lines[3][:40], lines[9] + "}}", "null"
+    (tmp_path / "x.json").write_text("\n".join(lines))
+    found = files.import_records(spark, str(tmp_path / "x.json"), as_of(), "json")
+    assert files.accepted(found).count() >= 17
+    assert {r.record for r in files.rejected(found).collect()} >= {lines[3], "null"}
+    (tmp_path / "empty.json").write_text("")
+    assert files.read_articles(spark, str(tmp_path / "empty.json"), as_of()).count() == 0
+
+
+def test_csv_splits_at_records(spark, tmp_path, small_ranges):
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        content = rng.choice(['say "hi",\nthen\n\nbye', "plain", ",", '""', "\r\n", "é" * 3000])
+        rows.append({"title": f"t{i}", "url": f"u{i:03}", "content": content, "source": "s", "published_date": "2024-01-01T00:00:00", "keywords": "a, b"})
+    with open(tmp_path / "x.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, files.CSV_COLUMNS)
+        out.writeheader()
+        out.writerows(rows)
+        f.write("short,record\r\n")
+    found = files.import_records(spark, str(tmp_path / "x.csv"), as_of(), "csv")
+    good = files.accepted(found).orderBy("url").collect()
+    assert [(r.url, r.title, r.content, r.keywords) for r in good] == [(x["url"], x["title"], x["content"], ["a", "b"]) for x in rows]
+    assert [(r.record, r.problem) for r in files.rejected(found).collect()] == [("short,record", "wrong number of fields")]
+    assert found.select("start").distinct().count() > 5
+
+
+def test_exports_count_while_writing(spark, tmp_path):
+    df = articles(spark, [{"url": f"u{i}"} for i in range(7)]).repartition(3)
+    for fmt in ("json", "csv", "parquet", "report"):
+        assert files.write_articles(df, str(tmp_path / fmt), fmt) == 7
+    assert files.read_manifest(spark, str(tmp_path / "json"))["total_articles"] == 7
+    assert files.write_articles(df.where("false"), str(tmp_path / "none"), "json") == 0
 
 
 def test_dispatch(spark, tmp_path):
