@@ -15,6 +15,7 @@ from newsmood.functions.html import clean_html
 from newsmood.functions.urls import is_article_url, source_name
 from newsmood.operators import articles as R
 from newsmood.operators import ensemble as E
+from newsmood.operators import keywords as K
 from newsmood.operators import sentiment as M
 from newsmood.operators import stats
 from newsmood.operators import store as U
@@ -142,10 +143,19 @@ def keyword_filter_ci(spark, d):
 
 @query
 def keyword_semi_join(spark, d):
-    """Articles that contain a long word of any benchmark item."""
+    """Articles that contain any word or any whole item of the benchmark."""
     bench = A.table(spark, d, "benchmark")
-    words = bench.select(F.explode(T.words(F.lower("text"))).alias("keyword")).where("length(keyword) >= 12")
-    return R.keyword_semi_join(A.articles(spark, d), words).select("seq", "source")
+    keywords = bench.select(F.explode(F.concat(T.words(c("text")), F.array("text"))).alias("keyword"))
+    return K.keyword_semi_join(A.articles(spark, d), keywords).select("seq", "source")
+
+
+@query
+def keyword_semi_join_items(spark, d):
+    """Articles that contain a whole item of the benchmark, or any five of its words in a row."""
+    bench = A.table(spark, d, "benchmark").select(T.words(c("text")).alias("w"), "text")
+    fives = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " "))
+    keywords = bench.select(F.explode(F.concat(fives, F.array("text"))).alias("keyword"))
+    return K.keyword_semi_join(A.articles(spark, d), keywords).select("seq", "source")
 
 
 @query

@@ -289,8 +289,12 @@ ORACLE["keyword_filter_ci"] = f"""WITH {ART} SELECT seq, source FROM art
 WHERE contains({_TC}, 'worthless') OR contains({_TC}, 'license') OR contains({_TC}, 'an entanglement')
    OR contains({_TC}, 'étre') OR contains({_TC}, '100%')"""
 ORACLE["keyword_semi_join"] = f"""WITH {ART}, kw AS (
-  SELECT DISTINCT unnest({words("lower(text)")}) AS k FROM benchmark), long_kw AS (SELECT k FROM kw WHERE length(k) >= 12)
-SELECT seq, source FROM art WHERE EXISTS (SELECT 1 FROM long_kw WHERE contains({_TC}, k))"""
+  SELECT DISTINCT lower(unnest({words("text")})) AS k FROM benchmark UNION SELECT lower(text) FROM benchmark)
+SELECT seq, source FROM art WHERE EXISTS (SELECT 1 FROM kw WHERE k <> '' AND contains({_TC}, k))"""
+ORACLE["keyword_semi_join_items"] = f"""WITH {ART}, w AS (SELECT text, {words("text")} AS w FROM benchmark), kw AS (
+  SELECT lower(array_to_string(list_slice(w, i, i + 4), ' ')) AS k
+  FROM (SELECT w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w) UNION SELECT lower(text) FROM w)
+SELECT seq, source FROM art WHERE EXISTS (SELECT 1 FROM kw WHERE k <> '' AND contains({_TC}, k))"""
 _LIKE = """(content LIKE '%est%' OR title LIKE '%est%' OR content LIKE '%the%ing%' OR title LIKE '%the%ing%'
    OR content LIKE '%_or %' OR title LIKE '%_or %')"""
 ORACLE["query_articles"] = f"""{STORED}

@@ -8,16 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsmood.functions.text import (
-    NOT_WS,
-    WS_CHARS,
-    first_filled,
-    or_empty,
-    reading_minutes,
-    strip,
-    word_count,
-    words,
-)
+from newsmood.functions.text import first_filled, or_empty, reading_minutes, strip, word_count
 from newsmood.schema import LENGTH_LIMITS, SOURCE_TYPES
 
 # Rounds of a per-key limit: about the square root of the largest number of input
@@ -89,130 +80,20 @@ def check_lengths(df: DataFrame) -> DataFrame:
 
 
 def has_keywords(keywords: Sequence[str], title: str = "title", content: str = "content") -> Column:
-    """Any keyword occurs, ignoring case, in ``title content`` (a literal substring)."""
+    """Any keyword occurs, ignoring case, in ``title content`` (a literal substring).
+
+    Each keyword is one pass over the text; for a table of them use ``keywords.keyword_semi_join``.
+    """
     wanted = list(dict.fromkeys(k.lower() for k in keywords))
     text = F.lower(F.concat(or_empty(F.col(title)), F.lit(" "), or_empty(F.col(content))))
-    if len(wanted) > MANY_KEYWORDS:
-        short = [k for k in wanted if len(k) <= MAX_PATTERN_TERM]
-        rest = [k for k in wanted if len(k) > MAX_PATTERN_TERM]
-    else:
-        short, rest = [], wanted
-
-    def found(t: Column) -> Column:
-        hit = F.lit(False)
-        for k in rest:
-            hit = hit | F.contains(t, F.lit(k))
-        return hit | _long_words(t, short).rlike(prefix_pattern(short)) if short else hit
-
     # Through a one-element array the lower-cased text is made once, not per keyword.
-    return F.exists(F.array(text), found)
-
-
-def _long_words(text: Column, terms: Sequence[str]) -> Column:
-    """The text without tokens too short to hold any of the (blank-free) terms."""
-    shortest = min(map(len, terms))
-    if shortest < 3 or any(ch in WS_CHARS for k in terms for ch in k):
-        return text
-    return F.regexp_replace(text, f"(?<!{NOT_WS}){NOT_WS}{{1,{shortest - 1}}}(?!{NOT_WS})", "")
-
-
-MANY_KEYWORDS = 50
-MAX_PATTERN_TERM = 200
-_REGEX_SPECIAL = set("\\^$.|?*+()[]{}")
-
-
-def prefix_pattern(terms: Sequence[str]) -> str:
-    """One pattern for many literal terms, shared prefixes factored out.
-
-    A plain alternation tries every term at every position; factored, a position
-    is left after the first character no term starts with.
-    """
-    tree: dict = {}
-    for term in terms:
-        node = tree
-        for ch in term:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def render(node: dict) -> str:
-        if "" in node:  # a substring test is decided as soon as one term is complete
-            return ""
-        parts = [("\\" + ch if ch in _REGEX_SPECIAL else ch) + render(sub) for ch, sub in node.items()]
-        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-
-    return render(tree)
+    return F.exists(F.array(text), lambda t: F.exists(F.lit(wanted), lambda k: F.contains(t, k)) if wanted else F.lit(False))
 
 
 def filter_by_keywords(df: DataFrame, keywords: Sequence[str] | None) -> DataFrame:
     return df.where(has_keywords(keywords)) if keywords else df
 
 
-MAX_KEYWORD_TABLE = 20_000
-
-
-def keyword_semi_join(
-    df: DataFrame, keywords: DataFrame, column: str = "keyword", limit: int = MAX_KEYWORD_TABLE
-) -> DataFrame:
-    """Articles that contain any keyword of a table (case ignored).
-
-    A table of at most ``limit`` keywords becomes one pattern, and the articles
-    are only filtered. A larger one stays distributed, see ``_match_large``.
-    """
-    terms = keywords.select(F.lower(F.col(column)).alias("_kw")).where("_kw <> ''").distinct()
-    known = [r[0] for r in terms.limit(limit + 1).collect()]
-    if not known:
-        return df.where(F.lit(False))
-    if len(known) <= limit:
-        return df.where(has_keywords(known))
-    return _match_large(df, terms, limit)
-
-
-def _match_large(df: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
-    """Keyword matching by equality joins.
-
-    The first blank-free run of a keyword, its anchor, lies inside one token of any
-    text that holds the keyword. Distinct tokens are cut into all substrings of
-    anchor length and joined with the anchors. A keyword without blanks is its own
-    anchor and needs no more; the others are looked up in the texts that hold theirs.
-    """
-    terms = terms.withColumn("_gram", F.regexp_extract("_kw", f"{NOT_WS}+", 0))
-    blank = [r[0] for r in terms.where("_gram = ''").select("_kw").limit(limit + 1).collect()]
-    if len(blank) > limit:
-        raise ValueError(f"more than {limit} keywords consist of blanks only")
-    anchored = terms.where("_gram <> ''")
-    sizes = [r[0] for r in anchored.select(F.length("_gram")).distinct().collect()]
-
-    def cuts(token: Column) -> Column:
-        def of_size(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.length(token) - n + 1)
-            parts = F.transform(starts, lambda i: F.substring(token, i, F.lit(n)))
-            return F.when(F.length(token) >= n, parts).otherwise(F.array().cast("array<string>"))
-
-        return F.flatten(F.array(*[of_size(n) for n in sorted(sizes)]))
-
-    text = F.lower(F.concat(or_empty(F.col("title")), F.lit(" "), or_empty(F.col("content"))))
-    row = [or_empty(F.col(c)) for c in ("url", "title", "content")]
-    keyed = df.withColumn("_row", F.sha2(F.concat_ws("\n", *row), 256))
-    # Copies of one article are alike for this purpose: one of each is cut up.
-    tokens = keyed.select("_row", F.explode(F.array_distinct(words(text))).alias("_token")).distinct()
-    grams = tokens.select("_row", F.explode(F.array_distinct(cuts(F.col("_token")))).alias("_gram"))
-    whole = anchored.where("_gram = _kw").select("_gram")
-    hits = grams.join(whole, "_gram", "left_semi").select("_row")
-    spaced = anchored.where("_gram <> _kw")
-    maybe = grams.distinct().join(spaced, "_gram").select("_row", "_kw")
-    texts = keyed.select("_row", text.alias("_text")).groupBy("_row").agg(F.first("_text").alias("_text"))
-    checked = maybe.join(texts, "_row").where("contains(_text, _kw)").select("_row")
-    found = hits.union(checked).distinct()
-    # Copies of one article may be many: they are spread by salt, the hits repeated per salt.
-    salt = (F.spark_partition_id() % COPY_SALTS).cast("int").alias("_salt")
-    every = F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt")
-    matched = keyed.select("*", salt).join(found.select("_row", every), ["_row", "_salt"], "left_semi")
-    matched = matched.drop("_row", "_salt")
-    return matched if not blank else df.where(has_keywords(blank)).unionByName(
-        matched.where(~has_keywords(blank))
-    )
-
-
 def query_articles(
     df: DataFrame,
     keywords: Sequence[str] | None = None,
