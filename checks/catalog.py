@@ -785,32 +785,34 @@ def stream_ingest(spark, d):
     return _articles_out(rows.withColumn("guid", c("metadata")["guid"].cast("long")), "guid")
 
 
+def _land_parts(spark, df: DataFrame, name: str, parts: int, each: Callable[[DataFrame], None]) -> None:
+    """Rows arriving in turns by their number; ``each`` runs a stream over the folder after every one."""
+    path = work_path(spark, name)
+    for part in range(parts):
+        df.where(c("seq") % parts == part).write.mode("append").parquet(path)
+        each(stream.read_landed(spark, path, df.schema))
+
+
 @query
 def stream_dedup(spark, d):
-    df = A.articles(spark, d).select("url", "source", "scraped_date")
-    path = _landed(spark, df, "landed-articles")
-    seen = stream.dedup(stream.read_landed(spark, path, df.schema), "36500 days")
-    out = work_path(spark, "unique")
-    stream.run(stream.append(seen.select("url"), out, work_path(spark, "checkpoint")))
-    return spark.read.parquet(out)
+    df = A.articles(spark, d).select("url", "source", "scraped_date", "seq")
+    out, mark = work_path(spark, "unique"), work_path(spark, "checkpoint")
+    _land_parts(spark, df, "landed-articles", 3, lambda rows: stream.run(stream.unique_batches(rows, out, mark, ("seq",))))
+    return stream.unique_rows(spark, out).select("url", "source", "seq")
 
 
 @query
 def stream_upsert(spark, d):
     df = R.to_stored(A.articles(spark, d), c("published_date"))
-    path = _landed(spark, df, "landed-stored")
-    log = work_path(spark, "upsert-log")
-    source = stream.read_landed(spark, path, df.schema)
-    stream.run(stream.log_batches(source, log, work_path(spark, "checkpoint")))
-    current = stream.current_articles(spark.read.parquet(log))
-    return current.select("url", "seq", "source", "word_count", "updated_at")
+    log, mark = work_path(spark, "upsert-log"), work_path(spark, "checkpoint")
+    _land_parts(spark, df, "landed-stored", 3, lambda rows: stream.run(stream.log_batches(rows, log, mark, compact_every=2)))
+    current = stream.current_articles(spark, log)
+    return current.select("url", "seq", "source", "word_count", "created_at", "updated_at")
 
 
 @query
 def stream_sentiment_counts(spark, d):
-    df = labelled(M.analyze(A.articles(spark, d))).select("published_date", "sentiment_label")
-    path = _landed(spark, df, "landed-labels")
-    counts = stream.label_counts(stream.read_landed(spark, path, df.schema), "1 day", "2 days")
-    out = work_path(spark, "label-counts")
-    stream.run(stream.append(counts, out, work_path(spark, "checkpoint")))
-    return spark.read.parquet(out)
+    df = labelled(M.analyze(A.articles(spark, d))).select("published_date", "sentiment_label", "seq")
+    out, mark = work_path(spark, "label-counts"), work_path(spark, "checkpoint")
+    _land_parts(spark, df, "landed-labels", 3, lambda rows: stream.run(stream.count_batches(rows, out, mark, "1 day", compact_every=2)))
+    return stream.running_counts(spark, out)

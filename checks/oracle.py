@@ -723,13 +723,16 @@ FROM art WHERE seq % 10 BETWEEN 1 AND 4"""
 
 # --- streams -----------------------------------------------------------------------------------
 
-ORACLE["stream_dedup"] = f"WITH {ART} SELECT DISTINCT url FROM art"
-ORACLE["stream_upsert"] = f"""WITH {ART} SELECT url, seq, source, {N_WORDS} AS word_count, published_date AS updated_at FROM art
-QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1"""
-ORACLE["stream_sentiment_counts"] = f"""WITH {_LISTS}, {ART}, {lexical()}, w AS (
-  SELECT date_trunc('day', published_date) AS window_start, label FROM art JOIN lexd USING (seq))
-SELECT window_start, label, count(*) AS n FROM w
-WHERE window_start + INTERVAL 1 DAY <= (SELECT max(published_date) - INTERVAL 2 DAY FROM art) GROUP BY ALL"""
+ORACLE["stream_dedup"] = f"""WITH {ART} SELECT url, source, seq FROM art
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq % 3, seq) = 1"""
+ORACLE["stream_upsert"] = f"""WITH {ART}, batches AS (
+  SELECT url, seq, seq % 3 AS batch, source, {N_WORDS} AS word_count, published_date FROM art
+  QUALIFY row_number() OVER (PARTITION BY url, batch ORDER BY seq DESC) = 1)
+SELECT url, seq, source, word_count, first_value(published_date) OVER (PARTITION BY url ORDER BY batch) AS created_at,
+  published_date AS updated_at
+FROM batches QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch DESC) = 1"""
+ORACLE["stream_sentiment_counts"] = f"""WITH {_LISTS}, {ART}, {lexical()}
+SELECT date_trunc('day', published_date) AS window_start, label, count(*) AS n FROM art JOIN lexd USING (seq) GROUP BY ALL"""
 
 
 # --- column types ------------------------------------------------------------------------------
