@@ -20,7 +20,7 @@ from newsmood.operators import sentiment as M
 from newsmood.operators import stats
 from newsmood.operators import store as U
 from newsmood.operators import textjobs as J
-from newsmood.operators.model import chunk_scores, ml_scorer, train
+from newsmood.operators.model import batch_scorer, chunk_scores, ml_scorer, score_texts, train
 from newsmood.plans import jobs
 from newsmood.session import spread, work_path
 from newsmood.sources import api, feeds, files, pages
@@ -451,7 +451,38 @@ def model_sentiment(spark, d):
     text = T.analysis_text(c("title"), c("content"))
     model = train(docs.join(labels, "seq").select(text.alias("text"), "toxic"), "toxic", features=1 << 14)
     scorer = ml_scorer(model, ["positive", "negative"])
-    return chunk_scores(docs, scorer, "seq").select("seq", "sentiment.label", "sentiment.confidence")
+    found = chunk_scores(docs, scorer, "seq")
+    # The weights are fitted: what can be told without them is which rows and parts are scored, and
+    # that label and scores agree.
+    scores, best = c("sentiment.scores"), c("sentiment.confidence")
+    return found.select(
+        "seq",
+        "n_parts",
+        c("sentiment.label").isin("positive", "negative").alias("known_label"),
+        ((best >= 0.5) & (best <= 1)).alias("bounded"),
+        (F.abs(scores["positive"] + scores["negative"] - 1) < 1e-9).alias("adds_up"),
+        ((c("sentiment.label") == "positive") == (scores["positive"] > scores["negative"])).alias("agrees"),
+    )
+
+
+@query
+def model_batches(spark, d):
+    """A Python model that fails on every batch with a ``#`` in it: those texts alone are neutral."""
+    texts = A.articles(spark, d).select("seq", T.analysis_text(c("title"), c("content")).alias("text"))
+    weights = dict(A.WEIGHTS)
+
+    def load():
+        def score(batch):
+            if any("#" in text for text in batch):
+                raise ValueError("cannot read this")
+            totals = [sum(weights.get(w, 0) for w in text.lower().split(" ")) for text in batch]
+            good = [(t / (abs(t) + 1) + 1) / 2 for t in totals]
+            return [{"POS": g, "NEG": 1 - g} for g in good]
+
+        return score
+
+    found = score_texts(texts, batch_scorer(load, error="error"))
+    return found.select("seq", "sentiment.label", "sentiment.confidence", c("sentiment.scores")["pos"].alias("positive"), "error")
 
 
 # --- sources ----------------------------------------------------------------------------------
@@ -651,8 +682,17 @@ def upsert_articles(spark, d):
 @query
 def migrate_counts(spark, d):
     source, target = A.stored(spark, d, BATCH_B), A.stored(spark, d, BATCH_A)
-    _, counts = U.migrate(source, target)
-    return counts
+    counts = U.migrate(source, target, work_path(spark, "migrated"))
+    return spark.createDataFrame([counts], "saved long, urls long, inserted long, updated long, total long")
+
+
+@query
+def migrated_store(spark, d):
+    """The target after a migration, as written."""
+    source, target = A.stored(spark, d, BATCH_B), A.stored(spark, d, BATCH_A)
+    path = work_path(spark, "migrated")
+    U.migrate(source, target, path)
+    return _stored_out(spark.read.parquet(path))
 
 
 @query

@@ -462,6 +462,15 @@ s AS (SELECT seq, count(*) AS n, sum(good::DECIMAL(28, 12)) AS good, sum((1 - go
 SELECT seq, CASE WHEN bad >= good THEN 'negative' ELSE 'positive' END AS label, best::DOUBLE / n AS confidence, good::DOUBLE / n AS positive
 FROM s"""
 
+ORACLE["model_sentiment"] = f"""WITH {ART}, w AS (SELECT seq, len({_AW}) AS n FROM art)
+SELECT seq, ((n + 459) // 460)::BIGINT AS n_parts, true AS known_label, true AS bounded, true AS adds_up, true AS agrees FROM w WHERE n > 0"""
+ORACLE["model_batches"] = f"""WITH {ART}, w AS (SELECT seq, {_AW} AS w FROM art),
+t AS (SELECT seq, contains(array_to_string(w, ' '), '#') AS bad, coalesce(list_sum(list_transform(w, lambda y: {_WEIGHT})), 0)::DOUBLE AS t FROM w),
+g AS (SELECT seq, bad, (t / (abs(t) + 1) + 1) / 2 AS good FROM t)
+SELECT seq, CASE WHEN bad THEN 'neutral' WHEN 1 - good >= good THEN 'negative' ELSE 'positive' END AS label,
+  CASE WHEN bad THEN 0 ELSE greatest(good, 1 - good) END AS confidence, CASE WHEN NOT bad THEN good END AS positive,
+  CASE WHEN bad THEN 'ValueError: cannot read this' END AS error FROM g"""
+
 # --- sentiment ---------------------------------------------------------------------------------
 
 ORACLE["lexicon_sentiment"] = f"""WITH {_LISTS}, {ART}, {lexical()}
@@ -677,6 +686,11 @@ b AS (SELECT DISTINCT url FROM art WHERE category <> 'en')
 SELECT count(*) AS saved, count(*) AS urls, count(*) FILTER (a.url IS NULL) AS inserted, count(a.url) AS updated,
   (SELECT count(*) FROM (SELECT url FROM a UNION SELECT url FROM b)) AS total
 FROM b LEFT JOIN a USING (url)"""
+_SAVED = "url, seq, source, sentiment_label, sentiment_confidence, word_count, reading_time"
+ORACLE["migrated_store"] = f"""WITH {_LISTS}, {ART}, {lexical()}, {stored("category <> 'fr'", "a")}, {stored("category <> 'en'", "b")}
+SELECT {", ".join("b." + x.strip() for x in _SAVED.split(","))}, coalesce(a.created_at, b.created_at) AS created_at, b.updated_at
+FROM b LEFT JOIN a USING (url)
+UNION ALL SELECT {_SAVED}, created_at, updated_at FROM a WHERE url NOT IN (SELECT url FROM b)"""
 ORACLE["retention_purge"] = f"""{STORED}
 SELECT source, count(*) FILTER (scraped_date < {AS_OF} - INTERVAL 30 DAY) AS deleted,
   count(*) FILTER (scraped_date >= {AS_OF} - INTERVAL 30 DAY) AS kept FROM st GROUP BY source"""

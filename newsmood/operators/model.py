@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsmood.functions.scores import map_model_label
 from newsmood.functions.text import NOT_WS, analysis_words
@@ -20,6 +25,8 @@ from newsmood.operators.textjobs import chunks
 # (label -> probability).
 Scorer = Callable[[DataFrame], DataFrame]
 
+_SCORES = T.MapType(T.StringType(), T.DoubleType())
+
 
 def train(df: DataFrame, label: str, features: int = 1 << 16, max_iter: int = 20) -> PipelineModel:
     """A TF-IDF logistic regression over ``text``; ``label`` is 0-based.
@@ -56,6 +63,63 @@ def udf_scorer(udf: Callable[[Column], Column]) -> Scorer:
     return lambda df: df.withColumn("scores", udf(F.col("text")))
 
 
+#: Scores of some texts, each label -> probability. It may raise, or give None for a text.
+ScoreTexts = Callable[[list[str]], list[dict[str, float] | None]]
+
+
+def batch_scorer(make: Callable[[], ScoreTexts], batch_size: int = 8, error: str | None = None) -> Scorer:
+    """Scorer of any Python model: ``make`` loads it once in a task, which then scores ``batch_size``
+    texts at a time.
+
+    A batch that fails is halved until the texts that fail stand alone; those alone are left without
+    scores, which ``score_texts`` and ``chunk_scores`` take for neutral with confidence 0 and for
+    nothing, and the others keep theirs. A column named ``error`` gets what was raised. Results of
+    the wrong number, and scores that are no finite numbers, are failures too. Texts go to Python in
+    Arrow batches, only the column they are in.
+    """
+    answer = T.StructType([T.StructField("scores", _SCORES), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(answer)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+
+        def tried(texts: list[str]) -> list[tuple[dict | None, str | None]]:
+            try:
+                found = list(model(texts))
+                if len(found) != len(texts):
+                    raise ValueError(f"{len(found)} results for {len(texts)} texts")
+                return [_checked(f) for f in found]
+            except Exception as problem:  # a model may raise anything
+                if len(texts) == 1:
+                    return [(None, f"{type(problem).__name__}: {problem}")]
+                half = len(texts) // 2
+                return tried(texts[:half]) + tried(texts[half:])
+
+        for texts in parts:
+            values = texts.fillna("").tolist()
+            rows = [r for at in range(0, len(values), batch_size) for r in tried(values[at : at + batch_size])]
+            yield pd.DataFrame({"scores": [r[0] for r in rows], "error": [r[1] for r in rows]}, dtype=object)
+
+    # Called non-deterministic, it is not evaluated once for each use of its answer.
+    once = score.asNondeterministic()
+
+    def run(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_answer", once("text")).withColumn("scores", F.col("_answer.scores"))
+        if error is not None:
+            out = out.withColumn(error, F.col("_answer.error"))
+        return out.drop("_answer")
+
+    return run
+
+
+def _checked(found: dict[str, float] | None) -> tuple[dict | None, str | None]:
+    if not found:
+        return None, "no scores"
+    scores = {str(k).lower(): float(v) for k, v in found.items()}
+    bad = [k for k, v in scores.items() if not math.isfinite(v)]
+    return (None, f"no number for {bad[0]}") if bad else (scores, None)
+
+
 def best_label(scores: Column) -> Column:
     """Label of the highest score (ties: by name); NULL for an empty map."""
     ranked = F.transform(
@@ -95,9 +159,9 @@ def chunk_scores(
     overlap: int | None = 50,
     model: str = "model",
 ) -> DataFrame:
-    """``(key, sentiment)`` of title and content, long texts scored in parts.
+    """``(key, sentiment, n_parts)`` of title and content, long texts scored in parts.
 
-    ``key`` identifies a row. Scores are added as decimals by (key, label) where the
+    ``key`` identifies a row; parts without scores do not count. Scores are added as decimals by (key, label) where the
     parts were scored, so sums are small and the same in any order.
     """
     tokens = analysis_words(F.col("title"), F.col("content"))
@@ -128,6 +192,7 @@ def chunk_scores(
         sentiment_struct(
             map_model_label(best_label(F.col("m"))), F.col("best") / F.col("n"), F.col("m"), model
         ).alias("sentiment"),
+        F.col("n").alias("n_parts"),
     )
 
 
@@ -139,7 +204,7 @@ def model_analyzer(scorer: Scorer, key: str, max_length: int = 512, overlap: int
     """The scorer as an analyzer for ``register_analyzer``; blank texts are neutral."""
 
     def run(df: DataFrame) -> DataFrame:
-        scores = chunk_scores(df, scorer, key, max_length, overlap, model)
+        scores = chunk_scores(df, scorer, key, max_length, overlap, model).drop("n_parts")
         neutral = sentiment_struct(
             F.lit("neutral"), F.lit(0.0), F.create_map().cast("map<string,double>"), model
         )
@@ -150,3 +215,7 @@ def model_analyzer(scorer: Scorer, key: str, max_length: int = 512, overlap: int
         )
 
     return run
+
+
+# Executors get the code of the tasks with the tasks and need no install of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

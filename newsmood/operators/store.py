@@ -8,7 +8,7 @@ incoming batch only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsmood.operators.articles import from_stored, query_articles, to_stored, top_n_per_group
@@ -20,13 +20,8 @@ def last_by_url(df: DataFrame, *order: str) -> DataFrame:
     return top_n_per_group(df, ["url"], [F.desc(c) for c in order or ("seq",)], 1)
 
 
-def upsert(store: DataFrame, incoming: DataFrame, *order: str) -> DataFrame:
-    """Store after saving ``incoming`` (stored rows) in order.
-
-    A known URL gets every incoming value but keeps ``created_at``; the last record
-    of a URL wins. The batch is reduced to one row per URL before the join, so no
-    URL is hot in it.
-    """
+def _merged(store: DataFrame, incoming: DataFrame, *order: str) -> DataFrame:
+    """Store and batch side by side: the merged columns, and whether either has the URL."""
     fresh = last_by_url(incoming, *order)
     columns = list(dict.fromkeys(store.columns))
     missing = set(columns) - set(fresh.columns)
@@ -41,12 +36,42 @@ def upsert(store: DataFrame, incoming: DataFrame, *order: str) -> DataFrame:
         return F.when(is_new, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
 
     return old.join(new, F.col("old.url") == F.col("new.url"), "full_outer").select(
-        *[value(c) for c in columns]
+        *[value(c) for c in columns], F.col("old.url").isNotNull().alias("_old"), is_new.alias("_new")
     )
 
 
+def upsert(store: DataFrame, incoming: DataFrame, *order: str) -> DataFrame:
+    """Store after saving ``incoming`` (stored rows) in order.
+
+    A known URL gets every incoming value but keeps ``created_at``; the last record
+    of a URL wins. The batch is reduced to one row per URL before the join, so no
+    URL is hot in it.
+    """
+    return _merged(store, incoming, *order).drop("_old", "_new")
+
+
+def save_upsert(store: DataFrame, incoming: DataFrame, path: str, *order: str) -> dict[str, int]:
+    """Write the store after saving ``incoming`` to a new place and return the counts of the save.
+
+    The join that is written is the join that is counted; its tasks observe the URLs of the batch,
+    the new and the known ones, and the store's size. Saved records are counted over the batch
+    alone, as a stage that is run again would count them twice.
+    """
+    seen = Observation()
+    old, new = F.col("_old"), F.col("_new")
+    counts = [
+        F.count_if(new).alias("urls"),
+        F.count_if(new & ~old).alias("inserted"),
+        F.count_if(new & old).alias("updated"),
+        F.count(F.lit(1)).alias("total"),
+    ]
+    _merged(store, incoming, *order).observe(seen, *counts).drop("_old", "_new").write.mode("error").parquet(path)
+    return {"saved": incoming.count(), **seen.get}
+
+
 def upsert_counts(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One row: saved records, their distinct URLs, new and known ones, store size after."""
+    """One row, before anything is saved: the records of a batch, their distinct URLs, new and
+    known ones, and the store's size after it. ``save_upsert`` counts while it saves."""
     urls = incoming.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
     known = store.select("url", F.lit(True).alias("known"))
     is_new, is_known = F.col("n").isNotNull(), F.col("known").isNotNull()
@@ -74,9 +99,9 @@ def purge_counts(store: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     return store.agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
 
-def migrate(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Upsert all of one store into another: the new target and the counts row."""
-    return upsert(target, source, "updated_at"), upsert_counts(target, source)
+def migrate(source: DataFrame, target: DataFrame, path: str) -> dict[str, int]:
+    """Upsert all of one store into another, written to a new place; the counts of the save."""
+    return save_upsert(target, source, path, "updated_at")
 
 
 def reanalyze(

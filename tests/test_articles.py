@@ -1,7 +1,7 @@
 from __future__ import annotations
 
-import random
 import datetime as dt
+import random
 
 import pytest
 from helpers import WHEN, article, articles, as_of, column
@@ -14,6 +14,7 @@ from newsmood.operators import keywords as K
 from newsmood.operators import stats
 from newsmood.operators import store as U
 from newsmood.operators.sentiment import analyze
+from newsmood.session import work_path
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -191,6 +192,19 @@ def test_upsert_last_wins_and_is_idempotent(spark, first, second):
         len(second), len(new), len(new - old), len(new & old), len(new | old))
 
 
+def test_saving_counts_while_it_writes(spark):
+    store = stored(spark, [{"url": "a"}, {"url": "b"}], 1)
+    incoming = stored(spark, [{"url": "b"}, {"url": "c"}, {"url": "c"}, {"url": "d"}], 2)
+    path = work_path(spark, "saved")
+    counts = U.save_upsert(store, incoming, path)
+    assert counts == {"saved": 4, "urls": 3, "inserted": 2, "updated": 1, "total": 4}
+    saved = spark.read.parquet(path)
+    assert counts == U.upsert_counts(store, incoming).first().asDict() and saved.columns == store.columns
+    assert {r.url: r.created_at.day for r in saved.collect()} == {"a": 1, "b": 1, "c": 2, "d": 2}
+    none = U.save_upsert(store, incoming.where("false"), work_path(spark, "saved"))
+    assert none == {"saved": 0, "urls": 0, "inserted": 0, "updated": 0, "total": 2}
+
+
 def test_purge(spark):
     cut = dt.datetime(2024, 1, 31)
     rows = [{"url": "old", "scraped_date": cut - dt.timedelta(seconds=1)}, {"url": "edge", "scraped_date": cut},

@@ -263,3 +263,45 @@ def test_sentences(spark):
     whole = A.document_polarity(df).orderBy("seq").collect()
     assert math.isclose(whole[0].mean_sentence_polarity, (0.6 - 0.7 + 0.0) / 3)
     assert whole[1].n_sentences == 0 and whole[1].mean_sentence_polarity == 0.0
+
+
+def test_failing_texts_alone_are_neutral(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def load():
+        def score(batch):
+            sizes.add(1)
+            if any("bad" in t for t in batch):
+                raise RuntimeError("no")
+            return [None if t == "none" else {"Positive": math.nan if t == "nan" else 0.9, "NEGATIVE": 0.1} for t in batch][: 1 if batch == ["a", "b"] else None]
+
+        return score
+
+    lines = ["fine", "bad one", "good", None, "none", "nan", "bad", *["plain"] * 30]
+    df = spark.createDataFrame(list(enumerate(lines)), "seq long, text string").coalesce(1)
+    rows = M.score_texts(df, M.batch_scorer(load, 8, "error")).collect()
+    failed = {1: "RuntimeError: no", 4: "no scores", 5: "no number for positive", 6: "RuntimeError: no"}
+    assert {r.seq: r.error for r in rows if r.error} == failed
+    for r in rows:
+        want = ("neutral", 0.0, {}) if r.seq in failed else ("positive", 0.9, {"positive": 0.9, "negative": 0.1})
+        assert (r.sentiment.label, r.sentiment.confidence, r.sentiment.scores) == want
+    assert sizes.value <= 4 + 2 * 8  # the batches without failures are asked once
+    short = M.score_texts(spark.createDataFrame([(0, "a"), (1, "b")], "seq long, text string").coalesce(1), M.batch_scorer(load, 2))
+    assert [r.sentiment.label for r in short.collect()] == ["positive", "positive"] and "error" not in short.columns
+
+
+def test_parts_that_fail_do_not_count(spark):
+    def load():
+        def score(batch):
+            if any("bad" in t for t in batch):
+                raise RuntimeError("no")
+            return [{"pos": 0.8, "neg": 0.2} for _ in batch]
+
+        return score
+
+    long = " ".join(["w"] * 600) + " bad"
+    df = articles(spark, [{"title": "T", "content": x} for x in ("ok", long, "bad")])
+    found = {r.seq: (r.n_parts, r.sentiment.label) for r in M.chunk_scores(df, M.batch_scorer(load), "seq").collect()}
+    assert found == {0: (1, "positive"), 1: (1, "positive")}
+    analyzed = M.model_analyzer(M.batch_scorer(load), "seq")(df)
+    assert [s.label for s in column(analyzed.select("seq", F.col("sentiment").alias("v")))] == ["positive", "positive", "neutral"]
