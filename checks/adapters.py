@@ -316,3 +316,11 @@ def json_payloads(df: DataFrame) -> DataFrame:
 
 def _json_fields() -> list[Column]:
     return [iso_text(F.col(f.name)).alias(f.name) if f.name.endswith("_date") else F.col(f.name) for f in ARTICLE.fields]
+
+
+def site_table(pages_: DataFrame) -> DataFrame:
+    """Selectors of the sites below two domains: by (site, field, priority, selector)."""
+    sites = pages_.select(F.regexp_replace(F.regexp_extract("url", "//([^/]*)", 1), r"^www\.", "").alias("site")).distinct()
+    rows = [("title", 1, "html head title"), ("content", 2, "html body footer"), ("content", 1, "nav ul .none"), ("links", 1, "nav ul li a[href]")]
+    table = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("priority"), F.lit(s).alias("selector")) for f, p, s in rows])
+    return sites.where("site LIKE '%.net' OR site LIKE '%.org'").select("site", F.explode(table).alias("r")).select("site", "r.*")

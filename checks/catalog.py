@@ -582,11 +582,28 @@ def extract_articles_html(spark, d):
 
 @query
 def extract_articles_dom(spark, d):
-    """The same pages by document walk, with the title and content the expressions find."""
-    found = pages.extract_articles_dom(A.pages_with_references(spark, d), "page_id")
+    """Title and content of the same pages, nested and unclosed elements matched as in the document."""
+    found = pages.extract_articles(A.pages_with_references(spark, d), A.as_of(), "page_id")
+    return found.select("page_id", "title", digest("content"))
+
+
+@query
+def site_selectors(spark, d):
+    """Selectors of three steps for the sites of two domains, as a table by site."""
+    df = A.pages_with_references(spark, d)
+    found = pages.extract_articles(df, A.as_of(), "page_id", sites=A.site_table(df))
     return found.select("page_id", "title", digest("content"))
 
 
+@query
+def site_links(spark, d):
+    """Links by the selectors of the sites that have some."""
+    df = A.pages(spark, d)
+    sites = A.site_table(df)
+    known = df.where(F.regexp_extract("url", "//[^/]*", 0).rlike("[.](org|net)$"))
+    return pages.extract_links(known, "page_id", sites=sites).select("page_id", "pos", "link")
+
+
 @query
 def extract_links(spark, d):
     return pages.extract_links(A.pages(spark, d), "page_id", selectors=["a[href]"]).select("page_id", "pos", "link")

@@ -640,6 +640,21 @@ ORACLE["extract_articles_html"] = f"""WITH {_PAGES}, {top5("good", "page_id", "b
 SELECT page_id, title, md5(body) AS content, url, {site("url")} AS source, {AS_OF} AS published_date,
   coalesce(keywords, '') AS keywords FROM good LEFT JOIN kw USING (page_id)"""
 ORACLE["extract_articles_dom"] = f"WITH {_PAGES} SELECT page_id, title, md5(body) AS content FROM good"
+_KNOWN = "regexp_matches(url, '//[^/]*[.](org|net)(/|$)')"
+ORACLE["site_selectors"] = f"""WITH pg AS (SELECT page_id, url, {_NO_COMMENT} AS h FROM {_TAILED}), tx AS (
+  SELECT page_id, {_KNOWN} AS own, {node_text("h1")} AS h1, {node_text("title")} AS tt, {node_text("article")} AS body, {node_text("footer")} AS foot FROM pg), ok AS (
+  SELECT page_id, CASE WHEN own AND length(tt) > 10 THEN tt WHEN length(h1) > 10 THEN h1 WHEN length(tt) > 10 THEN tt END AS title,
+    CASE WHEN own AND length(foot) > 100 THEN foot ELSE body END AS body FROM tx)
+SELECT page_id, title, md5(body) AS content FROM ok WHERE title IS NOT NULL AND length(body) > 100"""
+ORACLE["site_links"] = f"""WITH n AS (
+  SELECT page_id, url, regexp_extract({_NO_COMMENT}, '(?s)<nav>.*?</nav>') AS h FROM pages WHERE {_KNOWN}), l AS (
+  SELECT page_id, url, unnest(regexp_extract_all(h, '<a href="([^"]*)"', 1)) AS href,
+    generate_subscripts(regexp_extract_all(h, '<a href="([^"]*)"', 1), 1) AS o FROM n), r AS (
+  SELECT page_id, concat(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1), {decode("href")}) AS link, o FROM l), f AS (
+  SELECT page_id, link, min(o) AS o FROM r WHERE NOT regexp_matches(link,
+  '(?i)/tag/|/category/|/author/|/page/|/search/|/archive/|/contact/|/about/|\\.pdf$|\\.jpg$|\\.png$|\\.gif$|#|mailto:|javascript:')
+  GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, link FROM f"""
 ORACLE["extract_links"] = f"""WITH l AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
     generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS o FROM pages), r AS (

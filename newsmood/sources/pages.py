@@ -1,34 +1,26 @@
-"""Web pages to articles and article links.
+"""Web pages to articles and article links, by expressions over the raw HTML.
 
-``extract_articles`` and ``extract_links`` are expressions over the raw HTML.
-``extract_articles_dom`` runs a full HTML tokenizer in Arrow batches for badly
-formed pages (tags inside attribute values, elements closed by their parent); it
-answers the same selectors.
+A page is cut before every tag. Which piece ends an element is worked out for all of them at once
+by sorting, so time grows with the length of a page and not with its elements times its length.
+Selectors are data: lists given to a job, and rows of a table by site.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.functions.dates import parse_date
 from newsmood.functions.html import unescape
-from newsmood.functions.text import BOILERPLATE, clean_text, first_filled, let
-from newsmood.functions.urls import is_article_url, resolve, source_name
+from newsmood.functions.text import clean_text, first_filled, let
+from newsmood.functions.urls import host, is_article_url, resolve, source_name
 from newsmood.operators.textjobs import frequent_keywords
 from newsmood.schema import ARTICLE
 from newsmood.session import built_once
 
-# The document walk travels to the workers by value: they need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Selectors by field, in order of preference.
 TITLE = ("h1.article-title", "h1.entry-title", "h1.post-title", ".article-headline h1",
          ".story-title h1", "h1", "title")
@@ -42,33 +34,60 @@ LINKS = ('a[href*="/article/"]', 'a[href*="/story/"]', 'a[href*="/news/"]', 'a[h
          ".article-link a", ".story-link a", ".news-item a", "article a", ".post-title a")
 MIN_TITLE, MIN_CONTENT, MAX_AUTHOR, N_KEYWORDS = 10, 100, 100, 8
 
-_STEP = re.compile(r'^([a-zA-Z][\w-]*)?(?:\.([\w-]+))?(?:\[([\w-]+)(?:(\*?=)"([^"]*)")?\])?$')
+_STEP = r'^([a-zA-Z][\w-]*)?(?:\.([\w-]+))?(?:\[([\w-]+)(?:(\*?=)"([^"]*)")?\])?$'
 
 
-def _parse(selector: str) -> list[tuple]:
-    """A selector as steps ``(tag, class, attribute, operator, value)``."""
-    steps = []
-    for part in selector.split():
-        found = _STEP.match(part)
-        if not found:
-            raise ValueError(f"unsupported selector: {selector}")
-        steps.append(found.groups())
-    return steps
+def _pattern(step: Column) -> Column:
+    """Pattern of a piece that starts with an opening tag of this kind."""
+    tag, css, attr, op, value = (F.regexp_extract(step, _STEP, i) for i in range(1, 6))
+    quoted = F.concat(F.lit(r"\Q"), value, F.lit(r"\E"))
+    inside = F.concat(F.lit(r"(?<![\w-])"), css, F.lit(r"(?![\w-])"))
+    of_class = F.concat(
+        F.lit(r"""(?=[^>]*?\sclass\s*=\s*(?:"[^">]*?"""), inside, F.lit("|'[^'>]*?"), inside, F.lit("|"), css, F.lit(r"[\s>]))")
+    )
+    has = F.concat(F.lit(r"(?=[^>]*?\s"), attr, F.lit(r"\b)"))
+    holds = F.concat(F.lit(r"(?=[^>]*?\s"), attr, F.lit(r"""\s*=\s*["']?[^"'>]*?"""), quoted, F.lit(")"))
+    equals = F.concat(F.lit(r"(?=[^>]*?\s"), attr, F.lit(r"""\s*=\s*["']?"""), quoted, F.lit(r"""(?=["'\s>]))"""))
+    return F.concat(
+        F.lit("(?is)^<"),
+        F.when(tag == "", r"[a-zA-Z][a-zA-Z0-9]*").otherwise(tag),
+        F.lit(r"\b"),
+        F.when(css == "", "").otherwise(of_class),
+        F.when(attr == "", "").when(op == "", has).when(op == "*=", holds).otherwise(equals),
+    )
 
 
-def _opening(step: tuple) -> str:
-    """Pattern of a piece that starts with an opening tag of this kind."""
-    tag, css, attr, op, value = step
-    out = rf"(?is)^<{tag or '[a-zA-Z][a-zA-Z0-9]*'}\b"
-    if css:
-        inside = rf"(?<![\w-]){css}(?![\w-])"
-        out += rf"""(?=[^>]*?\sclass\s*=\s*(?:"[^">]*?{inside}|'[^'>]*?{inside}|{css}[\s>]))"""
-    if attr and not op:
-        out += rf"(?=[^>]*?\s{attr}\b)"
-    elif attr:
-        gap, end = ("[^\"'>]*?", "") if op == "*=" else ("", r"""(?=["'\s>])""")
-        out += rf"""(?=[^>]*?\s{attr}\s*=\s*["']?{gap}{re.escape(value)}{end})"""
-    return out
+def _steps(selector: Column) -> Column:
+    return F.filter(F.split(F.trim(selector), r"\s+"), lambda x: x != "")
+
+
+def is_selector(selector: Column) -> Column:
+    """Whether a text is a selector: steps of a tag, class and attribute test, apart by blanks."""
+    steps = _steps(selector)
+    return (F.size(steps) > 0) & F.forall(steps, lambda x: x.rlike(_STEP))
+
+
+def rule(selector: Column) -> Column:
+    """A selector of any number of steps as data: names that must occur, and each step's tag and
+    pattern. An element fits the last step inside one that fits the step before, and so on."""
+    names = lambda x: F.array(F.regexp_extract(x, _STEP, 2), F.regexp_extract(x, _STEP, 3))
+    return let(
+        _steps(selector),
+        lambda steps: F.struct(
+            F.filter(F.transform(F.flatten(F.transform(steps, names)), F.lower), lambda n: n != "").alias("needs"),
+            F.transform(
+                steps, lambda x: F.struct(F.lower(F.regexp_extract(x, _STEP, 1)).alias("tag"), _pattern(x).alias("pattern"))
+            ).alias("steps"),
+        ),
+    )
+
+
+def rules(selectors: Sequence[str]) -> Column:
+    """Selectors as data, in order; an unsupported one raises."""
+    for s in selectors:
+        if not s.split() or not all(re.match(_STEP, step) for step in s.split()):
+            raise ValueError(f"unsupported selector: {s}")
+    return F.array(*[rule(F.lit(s)) for s in selectors])
 
 
 _SKIPPED = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
@@ -77,19 +96,19 @@ _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 def page(html: Column) -> Column:
-    """A page cut before every tag: ``struct(low, pieces, names)``.
+    """A page cut before every tag: ``struct(low, pieces, names, ends)``.
 
     ``names`` holds each piece's tag name, with a slash for closing tags; ``low`` is
     the page in lower case, for cheap tests. Comments, scripts and styles are gone.
-    Elements are index ranges of pieces, found by counting the tags of their kind,
-    so nested elements come out whole.
+    The element that begins with a piece reaches up to the piece in ``ends``; an unclosed
+    one to the page's end, and pieces that open none end with themselves.
     """
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), _SKIPPED, "")
     pieces = let(
         bare, lambda h: F.struct(F.lower(h).alias("low"), F.split(h, "(?=</?[a-zA-Z])").alias("pieces"))
     )
     name = lambda p: F.lower(F.regexp_extract(p, r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
-    return let(
+    named = let(
         pieces,
         lambda x: F.struct(
             x["low"].alias("low"),
@@ -97,50 +116,67 @@ def page(html: Column) -> Column:
             F.transform(x["pieces"], name).alias("names"),
         ),
     )
+    return let(
+        named,
+        lambda x: F.struct(
+            x["low"].alias("low"), x["pieces"].alias("pieces"), x["names"].alias("names"), _ends(x["names"]).alias("ends")
+        ),
+    )
 
 
-def _end(doc: Column, start: Column) -> Column:
-    """Index of the piece behind the element that starts at ``start``; unclosed: the page's end."""
-
-    def walk(tag: Column) -> Column:
-        begin = F.struct(F.lit(1).alias("depth"), (start + 1).alias("at"), F.lit(-1).alias("end"))
-
-        def step(acc: Column, name: Column) -> Column:
-            move = F.when(name == tag, 1).when(name == F.concat(F.lit("/"), tag), -1).otherwise(0)
-            depth = acc["depth"] + move
-            return F.when(acc["end"] >= 0, acc).otherwise(
-                F.struct(
-                    depth.alias("depth"),
-                    (acc["at"] + 1).alias("at"),
-                    F.when(depth == 0, acc["at"]).otherwise(-1).alias("end"),
-                )
-            )
-
-        rest = F.slice(doc["names"], start + 2, F.size(doc["names"]))
-        found = F.aggregate(rest, begin, step, lambda acc: acc["end"])
-        return F.when(tag.isin(*_VOID), start).otherwise(
-            let(found, lambda e: F.when(e >= 0, e).otherwise(F.size(doc["names"])))
-        )
+def _ends(names: Column) -> Column:
+    """For each piece the index of the piece that ends its element.
 
-    return let(F.get(doc["names"], start), walk)
+    An element ends where as many elements of its tag are open again as before it. Sorted by tag
+    and place, the p-th tag that is the q-th to open has ``2q - p`` more opened than closed before
+    it, but for a number that is the same for the whole tag; and likewise after a closing one. So
+    sorted by tag, level and place, an element's end is its neighbour.
+    """
 
+    def closes(n: Column) -> Column:
+        return n.startswith("/")
 
-def _rule(selector: str) -> Column:
-    """A selector of one or two steps as data: names that must occur, and a rule per step."""
-    steps = _parse(selector)
-    if len(steps) > 2:
-        raise ValueError(f"unsupported selector: {selector}")
-    needs = [n.lower() for step in steps for n in (step[1], step[2]) if n]
+    def plain(n: Column) -> Column:
+        return (n == "") | n.isin(*_VOID)
 
-    def fields(prefix: str, step: tuple | None) -> list[Column]:
-        tag, pattern = ((step[0] or "").lower(), _opening(step)) if step else ("", "")
-        return [F.lit(tag).alias(f"{prefix}_tag"), F.lit(pattern).alias(f"{prefix}_pattern")]
+    tags = F.transform(names, lambda n, i: F.struct(F.ltrim(n, F.lit("/")).alias("tag"), i.alias("i"), closes(n).alias("close"), plain(n).alias("plain")))
+    ordered = F.sort_array(F.filter(tags, lambda t: ~t["plain"]))
+    placed = F.transform(ordered, lambda t, p: F.struct(t["tag"].alias("tag"), t["i"].alias("i"), t["close"].alias("close"), p.alias("p")))
 
-    return F.struct(
-        F.array(*[F.lit(n) for n in needs]).cast("array<string>").alias("needs"),
-        *fields("outer", steps[0] if len(steps) == 2 else None),
-        *fields("inner", steps[-1]),
-    )
+    def event(t: Column, level: Column) -> Column:
+        return F.struct(t["tag"].alias("tag"), level.alias("level"), t["i"].alias("i"), t["close"].alias("close"))
+
+    def matched(all_: Column) -> Column:
+        opened = F.transform(F.filter(all_, lambda t: ~t["close"]), lambda t, q: event(t, 2 * q - t["p"]))
+        closed = F.transform(F.filter(all_, lambda t: t["close"]), lambda t, r: event(t, t["p"] - 2 * r - 1))
+        return let(F.sort_array(F.concat(opened, closed)), pairs)
+
+    def pairs(events: Column) -> Column:
+        def end(t: Column, k: Column) -> Column:
+            following = F.get(events, k + 1)
+            same = (following["tag"] == t["tag"]) & (following["level"] == t["level"]) & following["close"]
+            stop = F.when(t["close"], t["i"]).when(F.coalesce(same, F.lit(False)), following["i"]).otherwise(F.size(names))
+            return F.struct(t["i"].alias("i"), stop.alias("end"))
+
+        alone = F.transform(F.filter(tags, lambda t: t["plain"]), lambda t: F.struct(t["i"].alias("i"), t["i"].alias("end")))
+        return F.transform(F.sort_array(F.concat(F.transform(events, end), alone)), lambda x: x["end"])
+
+    return let(placed, matched)
+
+
+def _end(doc: Column, start: Column) -> Column:
+    """Index of the piece behind the element that starts at ``start``."""
+    return F.get(doc["ends"], start)
+
+
+def _inside(doc: Column, starts: Column, skip: int = 0) -> Column:
+    """Indexes of the pieces of these elements, from ``skip`` pieces behind their start on."""
+
+    def places(i: Column) -> Column:
+        last = _end(doc, i) - 1
+        return F.when(last >= i + skip, F.sequence(i + skip, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(starts, places)))
 
 
 def _starts(doc: Column, tag: Column, pattern: Column) -> Column:
@@ -154,10 +190,6 @@ def _starts(doc: Column, tag: Column, pattern: Column) -> Column:
     return F.array_compact(F.transform(doc["pieces"], opens))
 
 
-def _spans(doc: Column, starts: Column) -> Column:
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), _end(doc, i).alias("end")))
-
-
 def _possible(doc: Column, rule: Column) -> Column:
     """The attribute and class names occur at all; this settles most selectors at once."""
     return F.forall(rule["needs"], lambda n: F.contains(doc["low"], n))
@@ -165,38 +197,31 @@ def _possible(doc: Column, rule: Column) -> Column:
 
 def _selected(doc: Column, rule: Column) -> Column:
     """Indexes of the elements a rule picks, in page order."""
-    inner = _starts(doc, rule["inner_tag"], rule["inner_pattern"])
-    outer = _spans(doc, _starts(doc, rule["outer_tag"], rule["outer_pattern"]))
-    nested = let(
-        outer,
-        lambda spans: F.filter(
-            inner, lambda i: F.exists(spans, lambda s: (s["start"] < i) & (i < s["end"]))
-        ),
-    )
-    picked = F.when(rule["outer_pattern"] == "", inner).otherwise(nested)
+    anywhere = F.lit(None).cast("array<int>")
+
+    def narrower(within: Column, step: Column) -> Column:
+        found = _starts(doc, step["tag"], step["pattern"])
+        return F.when(within.isNull(), found).otherwise(F.array_intersect(found, _inside(doc, within, 1)))
+
+    picked = F.aggregate(rule["steps"], anywhere, narrower)
     return F.when(_possible(doc, rule), picked).otherwise(F.array().cast("array<int>"))
 
 
-def _firsts(doc: Column, selectors: Sequence[str]) -> Column:
-    """Index of the first element of each selector that picks any."""
-    rules = F.array(*[_rule(s) for s in selectors])
+def _firsts(doc: Column, rules: Column) -> Column:
+    """Index of the first element of each rule that picks any."""
     return F.array_compact(F.transform(rules, lambda r: F.get(_selected(doc, r), F.lit(0))))
 
 
 def _element_text(doc: Column, start: Column, drop: Column | None = None) -> Column:
-    """Cleaned text of the element, without the elements whose spans are in ``drop``."""
+    """Cleaned text of the element, without the pieces whose indexes are in ``drop``."""
 
     def inside(end: Column) -> Column:
-        numbered = F.transform(
-            F.slice(doc["pieces"], start + 1, end - start),
-            lambda p, i: F.struct(p.alias("p"), (start + i).alias("i")),
-        )
-        if drop is not None:
-            numbered = F.filter(
-                numbered,
-                lambda x: ~F.exists(drop, lambda s: (s["start"] <= x["i"]) & (x["i"] < s["end"])),
-            )
-        return F.array_join(F.transform(numbered, lambda x: F.regexp_replace(x["p"], _TAG, "")), "")
+        if drop is None:
+            pieces = F.slice(doc["pieces"], start + 1, end - start)
+        else:
+            places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+            pieces = F.transform(F.array_except(places, drop), lambda i: F.get(doc["pieces"], i))
+        return F.array_join(F.transform(pieces, lambda p: F.regexp_replace(p, _TAG, "")), "")
 
     return clean_text(unescape(let(_end(doc, start), inside)))
 
@@ -205,9 +230,9 @@ def _element_text(doc: Column, start: Column, drop: Column | None = None) -> Col
 UNWANTED = (".advertisement", ".ad", ".social-share")
 
 
-def first_text(doc: Column, selectors: Sequence[str], usable, drop: Column | None = None) -> Column:
+def first_text(doc: Column, rules: Column, usable, drop: Column | None = None) -> Column:
     """Text of the first selected element whose text is usable; NULL if none."""
-    texts = F.transform(_firsts(doc, selectors), lambda i: _element_text(doc, i, drop))
+    texts = F.transform(_firsts(doc, rules), lambda i: _element_text(doc, i, drop))
     return F.get(F.filter(texts, usable), F.lit(0))
 
 
@@ -216,11 +241,10 @@ def _attribute(piece: Column, name: str) -> Column:
     return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
 
 
-def _content(doc: Column, selectors: Sequence[str]) -> Column:
-    rules = F.array(*[_rule(s) for s in UNWANTED])
-    unwanted = F.flatten(F.transform(rules, lambda r: _selected(doc, r)))
+def _content(doc: Column, wanted: Column) -> Column:
+    unwanted = F.flatten(F.transform(rules(UNWANTED), lambda r: _selected(doc, r)))
     long_enough = lambda v: F.length(v) > MIN_CONTENT
-    return let(_spans(doc, unwanted), lambda drop: first_text(doc, selectors, long_enough, drop))
+    return let(_inside(doc, unwanted), lambda drop: first_text(doc, wanted, long_enough, drop))
 
 
 def _published(doc: Column) -> Column:
@@ -228,7 +252,7 @@ def _published(doc: Column) -> Column:
         piece = F.get(doc["pieces"], i)
         return first_filled(_attribute(piece, "datetime"), _attribute(piece, "pubdate"), _element_text(doc, i))
 
-    dates = F.transform(_firsts(doc, DATE), lambda i: let(stamp(i), parse_date))
+    dates = F.transform(_firsts(doc, rules(DATE)), lambda i: let(stamp(i), parse_date))
     return F.get(F.filter(dates, lambda v: v.isNotNull()), F.lit(0))
 
 
@@ -248,39 +272,80 @@ def _is_meta(key: str, value: str):
     return lambda piece: piece.rlike(pattern)
 
 
-def _page_fields(doc: Column, titles: Sequence[str], contents: Sequence[str]) -> Column:
+def _page_fields(doc: Column, titles: Column, contents: Column) -> Column:
     return F.struct(
         first_text(doc, titles, lambda v: F.length(v) > MIN_TITLE).alias("title"),
         _content(doc, contents).alias("content"),
-        first_text(doc, AUTHOR, lambda v: (v != "") & (F.length(v) < MAX_AUTHOR)).alias("author"),
+        first_text(doc, rules(AUTHOR), lambda v: (v != "") & (F.length(v) < MAX_AUTHOR)).alias("author"),
         _published(doc).alias("published"),
         _about(doc).alias("summary"),
     )
 
 
+# Fields that a site may have selectors of its own for.
+SITE_FIELDS = ("title", "content", "links")
+
+
+def site_rules(table: DataFrame) -> DataFrame:
+    """``site, fields``: a table of rows (site, field, priority, selector) as rules by field, lower
+    priorities first.
+
+    A site is a host without ``www.``. Rows whose selector or field is unknown are left out;
+    ``bad_site_rules`` has them.
+    """
+    good = table.where(is_selector(F.col("selector")) & F.col("field").isin(*SITE_FIELDS))
+    by_field = good.groupBy(F.lower("site").alias("site"), "field").agg(F.sort_array(F.collect_set(F.struct("priority", "selector"))).alias("s"))
+    fields = by_field.select("site", "field", F.transform("s", lambda x: rule(x["selector"])).alias("rules"))
+    return fields.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", "rules"))).alias("fields"))
+
+
+def bad_site_rules(table: DataFrame) -> DataFrame:
+    """Rows of a table of selectors that ``site_rules`` leaves out."""
+    good = is_selector(F.col("selector")) & F.col("field").isin(*SITE_FIELDS)
+    return table.where(~F.coalesce(good, F.lit(False)))
+
+
+def _with_rules(pages: DataFrame, table: DataFrame | None, url: str) -> DataFrame:
+    """Pages with the rules of their site (``_fields``); a site's rules are one row."""
+    if table is None:
+        return pages
+    site = F.regexp_replace(F.lower(host(F.col(url))), r"^www\.", "")
+    known = site_rules(table).select(F.col("site").alias("_site"), F.col("fields").alias("_fields"))
+    return pages.withColumn("_site", site).join(known, "_site", "left").drop("_site")
+
+
+def _own_first(table: DataFrame | None, field: str, selectors: Sequence[str]) -> Column:
+    """The site's rules for a field, then the given ones."""
+    given = rules(selectors)
+    return given if table is None else F.concat(F.coalesce(F.try_element_at(F.col("_fields"), F.lit(field)), F.slice(given, 1, 0)), given)
+
+
 def extract_articles(
     pages: DataFrame,
     as_of: Column,
     *keep: str,
     title: Sequence[str] = (),
     content: Sequence[str] = (),
+    sites: DataFrame | None = None,
     url: str = "url",
     html: str = "html",
 ) -> DataFrame:
     """ARTICLE rows of landed pages; pages without a usable title or content are dropped.
 
-    ``title`` and ``content`` are site-specific selectors tried before the usual ones.
+    ``title`` and ``content`` are selectors tried before the usual ones; a table ``sites`` (see
+    ``site_rules``) has those that a page's own site comes first with.
     All fields come out of one struct that is unpacked as a zero- or one-row table,
     so the drop test does not compute title and content a second time.
     """
     titles, contents = (*title, *TITLE), (*content, *CONTENT)
 
     def make() -> Column:
-        fields = let(page(F.col(html)), lambda d: _page_fields(d, titles, contents))
+        own = F.struct(_own_first(sites, "title", titles).alias("t"), _own_first(sites, "content", contents).alias("c"))
+        fields = let(own, lambda r: let(page(F.col(html)), lambda d: _page_fields(d, r["t"], r["c"])))
         return F.filter(F.array(fields), lambda x: x["title"].isNotNull() & x["content"].isNotNull())
 
-    usable = built_once(pages, ("page", html, titles, contents), make)
-    return pages.select(*keep, F.col(url).alias("url"), F.inline(usable)).select(
+    usable = built_once(pages, ("page", html, titles, contents, sites is None), make)
+    return _with_rules(pages, sites, url).select(*keep, F.col(url).alias("url"), F.inline(usable)).select(
         "title",
         "content",
         "url",
@@ -298,8 +363,8 @@ def extract_articles(
     )
 
 
-def article_links(html: Column, base: Column, selectors: Sequence[str] = LINKS) -> Column:
-    """Absolute article links of the first selector that yields any, first occurrence order."""
+def article_links(html: Column, base: Column, wanted: Column) -> Column:
+    """Absolute article links of the first rule that yields any, first occurrence order."""
 
     def valid(doc: Column, rule: Column) -> Column:
         refs = F.transform(_selected(doc, rule), lambda i: _attribute(F.get(doc["pieces"], i), "href"))
@@ -308,24 +373,23 @@ def article_links(html: Column, base: Column, selectors: Sequence[str] = LINKS)
 
     def first(doc: Column) -> Column:
         # A fold, so that selectors behind the first that yields links are not evaluated.
-        rules = F.array(*[_rule(s) for s in selectors])
         none = F.array().cast("array<string>")
         return F.aggregate(
-            rules, none, lambda acc, r: F.when(F.size(acc) > 0, acc).otherwise(valid(doc, r))
+            wanted, none, lambda acc, r: F.when(F.size(acc) > 0, acc).otherwise(valid(doc, r))
         )
 
     return F.array_distinct(let(page(html), first))
 
 
 def extract_links(
-    pages: DataFrame, *keep: str, selectors: Sequence[str] = (), url: str = "url", html: str = "html"
+    pages: DataFrame, *keep: str, selectors: Sequence[str] = (), sites: DataFrame | None = None, url: str = "url", html: str = "html"
 ) -> DataFrame:
     """One row per link: ``keep, base_url, pos, link``. Nothing leaves the page's row."""
     order = (*selectors, *LINKS)
     links = built_once(
-        pages, ("links", html, url, order), lambda: article_links(F.col(html), F.col(url), order)
+        pages, ("links", html, url, order, sites is None), lambda: article_links(F.col(html), F.col(url), _own_first(sites, "links", order))
     )
-    return pages.select(*keep, F.col(url).alias("base_url"), F.posexplode(links).alias("pos", "link"))
+    return _with_rules(pages, sites, url).select(*keep, F.col(url).alias("base_url"), F.posexplode(links).alias("pos", "link"))
 
 
 def follow_links(listings: DataFrame, landed: DataFrame, as_of: Column, *keep: str) -> DataFrame:
@@ -336,116 +400,3 @@ def follow_links(listings: DataFrame, landed: DataFrame, as_of: Column, *keep: s
     """
     links = extract_links(listings).select(F.col("link").alias("url")).distinct()
     return extract_articles(landed.join(links, "url", "left_semi"), as_of, *keep)
-
-
-class _Tree(HTMLParser):
-    """Elements in document order with the text ranges they cover."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
-            "track", "wbr"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.text: list[tuple[str, tuple[int, ...]]] = []
-        self.open: list[int] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.nodes.append({"tag": tag, "attrs": dict(attrs), "path": tuple(self.open)})
-        if tag not in self.VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        self.text.append((data, tuple(self.open)))
-
-    def matches(self, i: int, step: tuple) -> bool:
-        tag, css, attr, op, value = step
-        node = self.nodes[i]
-        attrs = node["attrs"]
-        return (
-            (not tag or node["tag"] == tag)
-            and (not css or css in (attrs.get("class") or "").split())
-            and (
-                not attr
-                or (attr in attrs and (not op or (value in (attrs[attr] or "") if op == "*=" else attrs[attr] == value)))
-            )
-        )
-
-    def select(self, selector: str) -> Iterator[int]:
-        *outer, last = _parse(selector)
-        for i, node in enumerate(self.nodes):
-            if self.matches(i, last):
-                above = list(node["path"])
-                if all(any(self.matches(j, s) for j in above) for s in outer):
-                    yield i
-
-    def inner_text(self, i: int, drop: set[int] = frozenset()) -> str:
-        return "".join(t for t, path in self.text if i in path and not drop.intersection(path))
-
-
-_DROP = ("script", "style", ".advertisement", ".ad", ".social-share")
-
-
-def _walk(html: str, titles: Sequence[str], contents: Sequence[str], clean) -> tuple[str | None, str | None, str | None]:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    junk = {i for s in _DROP for i in tree.select(s)}
-
-    def first(selectors, usable, drop=frozenset()):
-        for s in selectors:
-            i = next(tree.select(s), None)
-            if i is not None:
-                value = clean(tree.inner_text(i, drop))
-                if usable(value):
-                    return value
-        return None
-
-    return (
-        first(titles, lambda v: len(v) > MIN_TITLE),
-        first(contents, lambda v: len(v) > MIN_CONTENT, junk),
-        first(AUTHOR, lambda v: v and len(v) < MAX_AUTHOR),
-    )
-
-
-def extract_articles_dom(
-    pages: DataFrame,
-    *keep: str,
-    title: Sequence[str] = (),
-    content: Sequence[str] = (),
-    url: str = "url",
-    html: str = "html",
-) -> DataFrame:
-    """Rows ``keep, url, title, content, author`` by walking the document tree.
-
-    A narrow Arrow-batched pass: pages stay in their partitions.
-    """
-    titles, contents, phrases = (*title, *TITLE), (*content, *CONTENT), BOILERPLATE
-    fields = [f.name for f in pages.select(*keep, url).schema.fields]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep, url).schema.fields]
-        + ["title string", "content string", "author string"]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def clean(text: str) -> str:
-            out = " ".join(text.split())
-            for phrase in phrases:
-                out = out.replace(phrase, "")
-            return out.strip()
-
-        for batch in batches:
-            found = [_walk(h, titles, contents, clean) for h in batch[html]]
-            out = batch[fields].copy()
-            for n, name in enumerate(("title", "content", "author")):
-                out[name] = [f[n] for f in found]
-            yield out
-
-    walked = pages.select(*keep, url, html).mapInPandas(run, schema)
-    return walked.where("title IS NOT NULL AND content IS NOT NULL")

@@ -3,9 +3,11 @@ from __future__ import annotations
 import csv
 import json
 import random
+import time
 
 import pytest
 from helpers import articles, as_of
+from htmlwalk import walk
 from pyspark.sql import functions as F
 
 from checks import adapters
@@ -101,18 +103,87 @@ def test_page_fields(spark):
     assert own.title == "The entry headline" and "Tail" not in own.content
 
 
-def test_document_walk_handles_nesting(spark):
-    nested = f'<h1>Nested page title</h1><div class="story-body"><div>{BODY}</div><div class="ad"><div>x</div>Buy</div><div>End here</div></div>'
-    df = spark.createDataFrame([("u", nested)], "url string, html string")
-    walked = pages.extract_articles_dom(df).first()
-    assert walked.content.endswith("End here") and "Buy" not in walked.content
+NESTED = f'<h1>Nested page title</h1><div class="story-body"><div>{BODY}</div><div class="ad"><div>x</div>Buy</div><div>End here</div></div>'
 
 
-def test_expressions_and_walk_agree(spark, sf_dir):
+def test_nested_elements_come_out_whole(spark):
+    df = spark.createDataFrame([("u", NESTED)], "url string, html string")
+    found = pages.extract_articles(df, as_of()).first()
+    assert found.content.endswith("End here") and "Buy" not in found.content
+
+
+def test_expressions_equal_a_document_walk(spark, sf_dir):
     df = adapters.pages(spark, sf_dir)
-    expr = pages.extract_articles(df, as_of(), "page_id").select("page_id", "title", "content")
-    walk = pages.extract_articles_dom(df, "page_id").select("page_id", "title", "content")
-    assert expr.count() > 0 and expr.exceptAll(walk).count() == 0 == walk.exceptAll(expr).count()
+    found = pages.extract_articles(df, as_of(), "page_id").select("page_id", "title", "content", "author").collect()
+    walked = [(r.page_id, *walk(r.html)) for r in df.collect()]
+    assert found and sorted(map(tuple, found)) == sorted(w for w in walked if w[1] is not None and w[2] is not None)
+
+
+def test_ends_of_elements(spark):
+    """Each opening tag ends where a count of its tag's openings and closings says."""
+    rng = random.Random(3)
+    tags = ["<a>", "</a>", "<b>", "</b>", "<p class=x>", "</p>", "<br>", "</br>", "text", "<DIV>", "</div>"]
+    htmls = ["".join(rng.choice(tags) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(htmls)), "seq long, html string").withColumn("d", pages.page(F.col("html")))
+    for r in df.select("d").collect():
+        names = r.d["names"]
+        for i, name in enumerate(names):
+            end = i
+            if name and not name.startswith("/") and name not in pages._VOID:
+                depth, end = 1, len(names)
+                for j in range(i + 1, len(names)):
+                    depth += (names[j] == name) - (names[j] == "/" + name)
+                    if depth == 0:
+                        end = j
+                        break
+            assert r.d["ends"][i] == end, (names, i)
+
+
+def test_time_of_a_page_is_linear_in_its_length(spark):
+    """The work table of ends grows with the pieces; eight times the elements take far less than 64 times as long."""
+    part = f'<div class="a"><div class="ad">x</div><p>{"word " * 20}</p></div>'
+
+    def seconds(n):
+        html = f'<h1>A title that is long</h1><article>{part * n}</article>'
+        df = spark.createDataFrame([("u", html)], "url string, html string").coalesce(1)
+        start = time.perf_counter()
+        (r,) = pages.extract_articles(df, as_of()).select(F.length("content").alias("n")).collect()
+        assert r.n == n * 100 - 1
+        return time.perf_counter() - start
+
+    seconds(250)
+    small, large = seconds(500), seconds(4000)
+    assert large < 24 * small + 2, (small, large)
+
+
+def test_selectors_of_any_number_of_steps_by_site(spark):
+    html = f"""<div class="top"><h1>The usual headline</h1></div><main><section id="s"><div class="lead"><h2 data-k="a.b">Headline of the site</h2>
+      </div></section></main><h2>Another headline here</h2><article>{BODY}</article><div class="own"><p class="own">{"Own body. " * 20}</p></div>
+      <ul class="nav"><li><a href="/p/1">1</a></li></ul><a href="/news/2">2</a>"""
+    df = spark.createDataFrame([("https://www.A.org/x", html), ("http://b.org/x", html), ("c", html)], "url string, html string")
+    table = spark.createDataFrame(
+        [
+            ("a.org", "title", 2, "h2"),
+            ("a.org", "title", 1, "main section .lead h2[data-k=\"a.b\"]"),
+            ("A.org", "title", 0, "main main h2"),
+            ("a.org", "content", 1, ".own p.own"),
+            ("a.org", "title", 0, "a > b"),
+            ("b.org", "links", 1, "ul.nav li a[href]"),
+            ("b.org", "colour", 1, "h1"),
+            ("b.org", "title", 1, None),
+        ],
+        "site string, field string, priority int, selector string",
+    )
+    got = {r.url: (r.title, r.content[:4]) for r in pages.extract_articles(df, as_of(), sites=table).collect()}
+    usual = ("The usual headline", BODY[:4])
+    assert got == {"https://www.A.org/x": ("Headline of the site", "Own "), "http://b.org/x": usual, "c": usual}
+    links = {r.base_url: r.link for r in pages.extract_links(df.limit(2), sites=table).collect()}
+    assert links == {"https://www.A.org/x": "https://www.A.org/news/2", "http://b.org/x": "http://b.org/p/1"}
+    assert sorted((r.field, str(r.selector)) for r in pages.bad_site_rules(table).collect()) == [("colour", "h1"), ("title", "None"), ("title", "a > b")]
+    steps = spark.createDataFrame([(x,) for x in ("h1", "a.b c[d]", "", "  ", "a > b", "#x", '[k="v"]', "x:y")], "s string")
+    assert [r.v for r in steps.select(pages.is_selector(F.col("s")).alias("v")).collect()] == [True, True, False, False, False, False, True, False]
+    # A walk that knows the order of steps picks the same.
+    assert walk(html, ("main section .lead h2",))[0] == "Headline of the site" and walk(html, ("main main h2",))[0] is None
 
 
 def test_links(spark):
