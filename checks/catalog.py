@@ -12,6 +12,7 @@ from newsmood.functions import scores as S
 from newsmood.functions import text as T
 from newsmood.functions.dates import is_date, iso_text, parse_date
 from newsmood.functions.html import clean_html
+from newsmood.functions.lexicon import term_table
 from newsmood.functions.urls import is_article_url, source_name
 from newsmood.operators import articles as R
 from newsmood.operators import ensemble as E
@@ -428,6 +429,32 @@ def chunk_combine(spark, d):
     return _sentiment_columns(df, ["neg", "neutral", "pos"], "seq")
 
 
+def _term_lists(spark, d):
+    """Word lists as large as the corpus: every word has a value by its checksum, and so has a
+    longer form of it; one in seventeen is a degree word, one in nineteen negates."""
+    words = A.table(spark, d, "documents").select(F.explode(S.bare_words(T.collapse(c("text")))).alias("w")).where("w <> ''").distinct()
+    terms = words.select(F.explode(F.array("w", F.concat("w", F.lit("-x")), F.concat("w", F.lit("-y")))).alias("term"))
+    h = F.conv(F.substring(F.md5(c("term").cast("binary")), 1, 8), 16, 10).cast("long")
+    sign = F.when(h % 2 == 0, 1).otherwise(-1)
+    valence = terms.where(h % 5 < 2).select("term", (sign * (h % 40 + 1)).alias("valence"))
+    polarity = terms.where(h % 7 < 3).select("term", (sign * (h % 101)).alias("polarity"), (h % 89).alias("subjectivity"))
+    return term_table(valence, polarity, terms.where(h % 17 == 0).select("term", sign.alias("delta")), terms.where(h % 19 == 0))
+
+
+@query
+def lexicon_table(spark, d):
+    """Rule and polarity scores by word lists that are tables of some hundred thousand terms."""
+    terms = _term_lists(spark, d)
+    df = A.articles(spark, d).select("seq", "title", "content")
+    rule = M.analyze_by_terms(df, "seq", terms).select(c("seq"), c("sentiment").alias("r"))
+    both = M.analyze_by_terms(df, "seq", terms, "polarity").join(rule, "seq")
+    return both.select(
+        "seq", c("r.label"), c("r.confidence"), c("r.scores")["compound"].alias("compound"),
+        c("sentiment.label").alias("polar"), c("sentiment.scores")["polarity"].alias("polarity"),
+        c("sentiment.scores")["subjectivity"].alias("subjectivity"),
+    )
+
+
 @query
 def model_chunks(spark, d):
     """A linear scorer with fixed word weights, applied to the parts of whole documents."""

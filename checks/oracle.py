@@ -473,6 +473,17 @@ SELECT seq, CASE WHEN bad THEN 'neutral' WHEN 1 - good >= good THEN 'negative' E
 
 # --- sentiment ---------------------------------------------------------------------------------
 
+# Word lists by checksum, as the query makes them.
+_TERMS = f"""wd AS (
+  SELECT DISTINCT trim(w, '{PUNCT}') AS w FROM (SELECT unnest(string_split(lower({collapse("text")}), ' ')) AS w FROM documents)),
+tm AS (SELECT unnest([w, w || '-x', w || '-y']) AS term FROM wd WHERE w <> ''),
+th AS (SELECT term, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM tm),
+lex AS (SELECT term, CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END * (h % 40 + 1) AS v FROM th WHERE h % 5 < 2),
+pol AS (SELECT term, CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END * (h % 101) AS p, h % 89 AS s FROM th WHERE h % 7 < 3),
+boost AS (SELECT term, CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END AS b FROM th WHERE h % 17 = 0),
+neg AS (SELECT term FROM th WHERE h % 19 = 0)"""
+ORACLE["lexicon_table"] = f"""WITH {_TERMS}, {ART}, {lexical()}, {polarity()}
+SELECT seq, l.label, l.confidence, l.compound, p.label AS polar, p.polarity, p.subjectivity FROM lexd l JOIN pold p USING (seq)"""
 ORACLE["lexicon_sentiment"] = f"""WITH {_LISTS}, {ART}, {lexical()}
 SELECT seq, label, confidence, compound, pos AS positive, neg AS negative, neu AS neutral FROM lexd"""
 ORACLE["lexicon_confidence"] = f"""WITH {_LISTS}, {lexical("conversations", "conv_id, turn", "role", "text")}

@@ -1,7 +1,7 @@
 """Word lists behind the rule scorers.
 
-The lists here are a small seed written for this package. A real deployment
-passes its own: ``Lexicon.from_tables`` reads them from (bounded) tables.
+The lists here are a small seed written for this package. A ``Lexicon`` becomes constants of a
+plan; lists that are tables, of any size, are joined: see ``term_table``.
 """
 
 from __future__ import annotations
@@ -54,54 +54,52 @@ SEED_NEGATION = (
     "weren't don't doesn't didn't won't wouldn't shouldn't couldn't can't hasn't haven't hadn't"
 )
 
-MAX_TERMS = 100_000
-
-
 def _expand(groups: dict) -> dict:
     return {term: key for key, terms in groups.items() for term in terms.split()}
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Term lists as plain dictionaries, bounded by ``MAX_TERMS`` each."""
+    """Term lists as plain dictionaries."""
 
     valence: dict[str, int] = field(default_factory=lambda: _expand(SEED_VALENCE))
     polarity: dict[str, tuple[int, int]] = field(default_factory=lambda: _expand(SEED_POLARITY))
     boost: dict[str, int] = field(default_factory=lambda: _expand(SEED_BOOST))
     negation: frozenset[str] = frozenset(SEED_NEGATION.split())
 
-    @staticmethod
-    def from_tables(
-        valence: DataFrame | None = None,
-        polarity: DataFrame | None = None,
-        boost: DataFrame | None = None,
-        negation: DataFrame | None = None,
-    ) -> Lexicon:
-        """Read ``(term, valence)`` (tenths), ``(term, polarity, subjectivity)``
-        (hundredths), ``(term, delta)`` and ``(term)`` tables.
-
-        Word lists do not grow with the articles; one above ``MAX_TERMS`` is refused
-        rather than shipped inside every plan.
-        """
-
-        def bounded(df: DataFrame) -> list:
-            rows = df.limit(MAX_TERMS + 1).collect()
-            if len(rows) > MAX_TERMS:
-                raise ValueError(f"word list holds more than {MAX_TERMS} terms")
-            return rows
-
-        lists: dict = {}
-        if valence is not None:
-            lists["valence"] = {r["term"]: int(r["valence"]) for r in bounded(valence)}
-        if polarity is not None:
-            lists["polarity"] = {
-                r["term"]: (int(r["polarity"]), int(r["subjectivity"])) for r in bounded(polarity)
-            }
-        if boost is not None:
-            lists["boost"] = {r["term"]: int(r["delta"]) for r in bounded(boost)}
-        if negation is not None:
-            lists["negation"] = frozenset(r["term"] for r in bounded(negation))
-        return Lexicon(**lists)
+
+#: What a table of terms says of each: valence in tenths, polarity and subjectivity in hundredths,
+#: the step of a degree word, whether it negates. NULL where a list does not have the term.
+TERM_FIELDS = {"valence": "long", "polarity": "long", "subjectivity": "long", "delta": "long", "negation": "boolean"}
+
+
+def term_table(
+    valence: DataFrame | None = None,
+    polarity: DataFrame | None = None,
+    boost: DataFrame | None = None,
+    negation: DataFrame | None = None,
+) -> DataFrame:
+    """``(term, valence)``, ``(term, polarity, subjectivity)``, ``(term, delta)`` and ``(term)`` tables
+    of any size as one table of terms, for ``sentiment.analyze_by_terms``.
+
+    A term that a list has twice counts with its largest value; empty and NULL terms are left out.
+    """
+    lists = [(valence, ("valence",)), (polarity, ("polarity", "subjectivity")), (boost, ("delta",))]
+    parts = [t.select("term", *[F.col(f).cast(TERM_FIELDS[f]) for f in fields]) for t, fields in lists if t is not None]
+    if negation is not None:
+        parts.append(negation.select("term", F.lit(True).alias("negation")))
+    if not parts:
+        raise ValueError("no list of terms is given")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    # A polarity and its subjectivity stay together.
+    best = {f: F.max(f) for f in TERM_FIELDS if f in rows.columns and f != "subjectivity"}
+    if "subjectivity" in rows.columns:
+        both = F.when(F.col("polarity").isNotNull(), F.struct("polarity", "subjectivity"))
+        best |= {"polarity": F.max(both)["polarity"], "subjectivity": F.max(both)["subjectivity"]}
+    found = rows.where("term <> ''").groupBy("term").agg(*[v.alias(k) for k, v in best.items()])
+    return found.select("term", *[(F.col(f) if f in rows.columns else F.lit(None)).cast(t).alias(f) for f, t in TERM_FIELDS.items()])
 
 
 def by_value(mapping: dict) -> dict:

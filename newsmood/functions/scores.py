@@ -6,6 +6,8 @@ result does not depend on the order rows or tokens are visited in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,8 +152,39 @@ def _valence(text: Column, low: Column, lexicon: Lexicon) -> Column:
     )
 
 
-def rule_scores(text: Column, lexicon: Lexicon) -> Column:
-    """``struct(compound, pos, neg, neu)`` of a whitespace-collapsed text."""
+def _valence_of_hits(text: Column, hits: Column) -> Column:
+    """``_valence`` from the listed words of a text, found beforehand: ``hits`` has the place of each
+    and what the lists say of it, by place. What stands up to three words before a word is among the
+    three hits before it."""
+    cased = F.split(text, " ")
+    low = F.split(F.lower(text), " ")
+    mixed = F.exists(cased, lambda w: ~_is_shout(w))
+    but = F.array_position(F.transform(low, lambda w: F.trim(w, F.lit(PUNCTUATION))), F.lit("but")) - 1
+    context = F.struct(cased.alias("cased"), mixed.alias("mixed"), but.alias("but"))
+
+    def score(h: Column, k: Column, ctx: Column) -> Column:
+        i = h["pos"]
+        base = h["valence"] * 10_000
+        sign = F.signum(base).cast("long")
+        out = base + sign * F.when(_is_shout(F.get(ctx["cased"], i)) & ctx["mixed"], CAPS_STEP).otherwise(0)
+        negated = F.lit(False)
+        for back in range(1, len(BOOST_STEPS) + 1):
+            before = F.get(hits, k - back)
+            apart = i - before["pos"]
+            step = F.lit(0)
+            for distance, weight in enumerate(BOOST_STEPS, start=1):
+                step = F.when(apart == distance, weight).otherwise(step)
+            out = out + sign * F.coalesce(before["delta"] * step, F.lit(0))
+            negated = negated | F.coalesce(before["negation"] & (apart <= len(BOOST_STEPS)), F.lit(False))
+        out = out * F.when(negated, NEGATION_PERCENT).otherwise(100)
+        return out * F.when(ctx["but"] < 0, 10).when(i < ctx["but"], BUT_TENTHS[0]).when(i > ctx["but"], BUT_TENTHS[1]).otherwise(10)
+
+    return let(context, lambda ctx: F.array_compact(F.transform(hits, lambda h, k: F.when(h["valence"].isNotNull(), score(h, k, ctx)))))
+
+
+def rule_scores(text: Column, lexicon: Lexicon | None = None, hits: Column | None = None) -> Column:
+    """``struct(compound, pos, neg, neu)`` of a whitespace-collapsed text, by a lexicon of constants
+    or by the listed words found in it (see ``_valence_of_hits``)."""
     zero = F.lit(0).cast("long")
 
     def emphasis(t: Column) -> Column:
@@ -162,7 +195,7 @@ def rule_scores(text: Column, lexicon: Lexicon) -> Column:
 
     def sums(t: Column, low: Column) -> Column:
         return let(
-            _valence(t, low, lexicon),
+            _valence(t, low, lexicon) if hits is None else _valence_of_hits(t, hits),
             lambda v: F.struct(
                 F.aggregate(v, zero, lambda a, x: a + F.greatest(x, zero)).alias("pos"),
                 F.aggregate(v, zero, lambda a, x: a + F.least(x, zero)).alias("neg"),
@@ -203,23 +236,22 @@ def _ratios(s: Column) -> Column:
     )
 
 
-def polarity_scores(text: Column, lexicon: Lexicon) -> Column:
+def polarity_scores(text: Column, lexicon: Lexicon | None = None, hits: Column | None = None) -> Column:
     """``struct(polarity, subjectivity)``: means over the words in the list, 0 without any."""
-    p = lexicon.polarity
-    polarity = {t: v[0] for t, v in p.items()}
-    subjectivity = {t: v[1] for t, v in p.items()}
     zero = F.lit(0).cast("long")
 
-    def total(hits: Column, mapping: dict) -> Column:
-        return F.aggregate(hits, zero, lambda a, w: a + lookup(w, mapping, F.lit(0)))
+    def mean(found: Column, value: Callable[[Column], Column]) -> Column:
+        total = F.aggregate(found, zero, lambda a, w: a + value(w))
+        return F.coalesce(F.try_divide(total.cast("double"), F.size(found) * F.lit(100.0)), F.lit(0.0))
 
-    def mean(hits: Column, mapping: dict) -> Column:
-        value = F.try_divide(total(hits, mapping).cast("double"), F.size(hits) * F.lit(100.0))
-        return F.coalesce(value, F.lit(0.0))
+    def means(found: Column, polarity: Callable[[Column], Column], subjectivity: Callable[[Column], Column]) -> Column:
+        return let(found, lambda x: F.struct(mean(x, polarity).alias("polarity"), mean(x, subjectivity).alias("subjectivity")))
 
-    return let(
-        F.filter(bare_words(text), lambda w: w.isin(list(p))),
-        lambda hits: F.struct(
-            mean(hits, polarity).alias("polarity"), mean(hits, subjectivity).alias("subjectivity")
-        ),
-    )
+    if hits is not None:
+        listed = F.filter(hits, lambda h: h["polarity"].isNotNull())
+        return means(listed, lambda h: h["polarity"], lambda h: F.coalesce(h["subjectivity"], zero))
+    p = lexicon.polarity
+    polarity = {t: v[0] for t, v in p.items()}
+    subjectivity = {t: v[1] for t, v in p.items()}
+    listed = F.filter(bare_words(text), lambda w: w.isin(list(p)))
+    return means(listed, lambda w: lookup(w, polarity, F.lit(0)), lambda w: lookup(w, subjectivity, F.lit(0)))

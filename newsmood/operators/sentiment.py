@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.functions import scores as S
-from newsmood.functions.lexicon import Lexicon
+from newsmood.functions.lexicon import TERM_FIELDS, Lexicon
 from newsmood.functions.text import analysis_text, collapse, let, sentences, word_count
 from newsmood.session import built_once
 
@@ -33,8 +33,10 @@ def sentiment_struct(label: Column, confidence: Column, scores: Column, model: s
     )
 
 
-def lexicon_sentiment(text: Column, lexicon: Lexicon | None = None) -> Column:
-    """Rule-lexicon sentiment of a collapsed text; empty text is neutral with confidence 0."""
+def lexicon_sentiment(text: Column, lexicon: Lexicon | None = None, hits: Column | None = None) -> Column:
+    """Rule-lexicon sentiment of a collapsed text; empty text is neutral with confidence 0.
+
+    ``hits`` are the text's listed words, where the lists are tables (``analyze_by_terms``)."""
     lexicon = lexicon or Lexicon()
 
     def scored(s: Column) -> Column:
@@ -53,12 +55,12 @@ def lexicon_sentiment(text: Column, lexicon: Lexicon | None = None) -> Column:
             score_map(positive=zero, negative=zero, neutral=F.lit(1.0), compound=zero),
             "lexicon",
         )
-        return F.when(t == "", empty).otherwise(let(S.rule_scores(t, lexicon), scored))
+        return F.when(t == "", empty).otherwise(let(S.rule_scores(t, lexicon, hits), scored))
 
     return let(text, build)
 
 
-def polarity_sentiment(text: Column, lexicon: Lexicon | None = None) -> Column:
+def polarity_sentiment(text: Column, lexicon: Lexicon | None = None, hits: Column | None = None) -> Column:
     """Polarity sentiment of a collapsed text, always with the same five scores."""
     lexicon = lexicon or Lexicon()
 
@@ -81,7 +83,7 @@ def polarity_sentiment(text: Column, lexicon: Lexicon | None = None) -> Column:
         text,
         lambda t: let(
             let(
-                S.polarity_scores(t, lexicon),
+                S.polarity_scores(t, lexicon, hits),
                 lambda s: F.struct(
                     s["polarity"].alias("polarity"),
                     s["subjectivity"].alias("subjectivity"),
@@ -127,6 +129,36 @@ register_analyzer("lexicon", column_analyzer(lexicon_sentiment))
 register_analyzer("polarity", column_analyzer(polarity_sentiment))
 
 
+_BY_TERMS = {"lexicon": lexicon_sentiment, "polarity": polarity_sentiment}
+
+
+def term_hits(df: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """``key, hits``: the words of title and content that a table of terms lists, with their places.
+
+    Terms are first cut to the distinct words of the corpus, so what the words meet is bounded by
+    the vocabulary; Spark broadcasts it if it is small and shuffles the words if not.
+    """
+    words = df.select(key, F.posexplode(S.bare_words(analysis_text(F.col("title"), F.col("content")))).alias("pos", "term")).where("term <> ''")
+    used = terms.join(words.select("term").distinct(), "term", "left_semi")
+    hit = F.struct("pos", *TERM_FIELDS)
+    return words.join(used, "term").groupBy(key).agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+
+
+def analyze_by_terms(df: DataFrame, key: str, terms: DataFrame, method: str = "lexicon") -> DataFrame:
+    """The rows with a ``sentiment`` by word lists that are a table (``lexicon.term_table``).
+
+    ``key`` identifies a row. The rules are those of the method's analyzer; where the analyzers look
+    words up in constants, the table is joined, whatever its size.
+    """
+    if method not in _BY_TERMS:
+        raise KeyError(f"no analyzer {method!r} by terms; known: {', '.join(_BY_TERMS)}")
+    found = term_hits(df, key, terms).withColumnRenamed("hits", "_hits")
+    text = analysis_text(F.col("title"), F.col("content"))
+    empty = F.array().cast(found.schema["_hits"].dataType)
+    sentiment = let(F.coalesce("_hits", empty), lambda h: _BY_TERMS[method](text, hits=h))
+    return df.drop("sentiment").join(found, key, "left").withColumn("sentiment", sentiment).drop("_hits")
+
+
 def analyze(df: DataFrame, analyzer: str | Analyzer = "lexicon") -> DataFrame:
     """Score title and content of every row with one analyzer."""
     run = get_analyzer(analyzer) if isinstance(analyzer, str) else analyzer

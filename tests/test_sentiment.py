@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from helpers import articles, column
 from pyspark.sql import functions as F
 
 from newsmood.functions import scores as S
-from newsmood.functions.lexicon import Lexicon
+from newsmood.functions.lexicon import Lexicon, term_table
 from newsmood.operators import ensemble as E
 from newsmood.operators import model as M
 from newsmood.operators import sentiment as A
@@ -83,14 +84,50 @@ def test_a_limit_cuts_the_analysis_text(spark):
     assert len(cut.split()) == 1000 and whole.endswith("end")
 
 
-def test_own_lexicon_tables(spark):
-    valence = spark.createDataFrame([("gelb", 30), ("rot", -30)], "term string, valence int")
-    lex = Lexicon.from_tables(valence=valence)
+def test_own_lexicon(spark):
+    lex = Lexicon(valence={"gelb": 30, "rot": -30})
     A.register_analyzer("colours", A.column_analyzer(lambda t: A.lexicon_sentiment(t, lex)))
     assert [s.label for s in scored(spark, ["gelb", "rot", "good"], "colours")] == ["positive", "negative", "neutral"]
     assert "colours" in A.analyzer_names()
 
 
+def as_tables(spark, lex):
+    valence = spark.createDataFrame(list(lex.valence.items()), "term string, valence int")
+    polarity = spark.createDataFrame([(t, *v) for t, v in lex.polarity.items()], "term string, polarity int, subjectivity int")
+    boost = spark.createDataFrame(list(lex.boost.items()), "term string, delta int")
+    negation = spark.createDataFrame([(t,) for t in lex.negation], "term string")
+    return valence, polarity, boost, negation
+
+
+@pytest.mark.parametrize("method", ["lexicon", "polarity"])
+def test_tables_score_as_constants_do(spark, method):
+    """The seed lists as tables, also as two rows a term, over texts that need every rule."""
+    rng = random.Random(4)
+    lex = Lexicon()
+    pool = [*lex.valence, *lex.polarity, *lex.boost, *lex.negation, "but", "plain", "GOOD", "Bad!", "(great)", "not", "very", "!", "??", ""]
+    lines = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(120)] + ["", "ALL GOOD", "very very not so good"]
+    df = articles(spark, [{"title": rng.choice(["", "Very", "not"]), "content": x} for x in lines])
+    tables = [t.unionByName(t) for t in as_tables(spark, lex)]
+    terms = term_table(*tables)
+    got = A.analyze_by_terms(df, "seq", terms, method).orderBy("seq").collect()
+    want = A.analyze(df, method).orderBy("seq").collect()
+    assert [r.sentiment for r in got] == [r.sentiment for r in want] and len(got) == len(lines)
+
+
+def test_tables_of_many_terms(spark):
+    """More terms than a plan could hold; one list alone is enough; unknown methods raise."""
+    many = spark.range(150_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"), F.lit(25).alias("valence"))
+    bad = spark.createDataFrame([("awful", -30), ("awful", -20), ("", 9), (None, 9)], "term string, valence int")
+    df = articles(spark, [{"content": x} for x in ("w77 w149999", "awful", "w150000")])
+    found = A.analyze_by_terms(df, "seq", term_table(many.unionByName(bad))).orderBy("seq").collect()
+    assert [r.sentiment.label for r in found] == ["positive", "negative", "neutral"]
+    assert A.analyze_by_terms(df, "seq", term_table(bad).where("false")).where("sentiment.label = 'neutral'").count() == 3
+    with pytest.raises(KeyError):
+        A.analyze_by_terms(df, "seq", term_table(bad), "nope")
+    with pytest.raises(ValueError):
+        term_table()
+
+
 def test_unknown_analyzer_raises(spark):
     with pytest.raises(KeyError):
         A.analyze(articles(spark, [{}]), "nope")
