@@ -22,10 +22,10 @@ from newsmood.operators import stats
 from newsmood.operators import store as U
 from newsmood.operators import textjobs as J
 from newsmood.operators.model import batch_scorer, chunk_scores, ml_scorer, score_texts, train
-from newsmood.plans import jobs
+from newsmood.plans import jobs, runs
 from newsmood.session import spread, work_path
 from newsmood.sources import api, feeds, files, pages
-from newsmood.sources.registry import feed_responses
+from newsmood.sources.registry import feed_responses, item_responses, page_responses
 from newsmood.sources.registry import ingest_log as log_of
 from newsmood.streaming import jobs as stream
 
@@ -585,6 +585,16 @@ def ingest_log_feeds(spark, d):
     return log.drop("scraping_time")
 
 
+@query
+def ingest_log_items(spark, d):
+    """Aggregator results, one in seven broken, and web pages, which are their own sources."""
+    broken = F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("int") + c("batch"), F.lit(7)) == 3
+    items = A.feed_item_payloads(A.articles(spark, d)).withColumn("payload", F.when(broken, "{no list").otherwise(c("payload")))
+    feeds_ = log_of(item_responses(items), A.as_of(), articles=c("n_articles"))
+    web = page_responses(A.pages(spark, d)).withColumn("source", source_name(c("url")))
+    return feeds_.unionByName(log_of(web, A.as_of(), source_type=F.lit("website"), articles=c("n_articles"))).drop("scraping_time")
+
+
 @query
 def ingest_capped(spark, d):
     """The first twenty items of each feed's source, then those with a keyword."""
@@ -785,6 +795,23 @@ def report_projection(spark, d):
     )
 
 
+@query
+def report_tables(spark, d):
+    """The two tables of a report as written."""
+    path = work_path(spark, "report")
+    scored = M.analyze(A.articles(spark, d)).withColumn("sentiment", F.when(c("seq") % 5 != 4, c("sentiment")))
+    n = files.write_articles(scored, path, "report")
+    articles = spark.read.parquet(f"{path}/articles").select(
+        F.lit("articles").alias("sheet"), c("url").alias("name"), F.md5(c("content").cast("binary")).alias("text"), "sentiment_label",
+        c("sentiment_confidence").alias("value"), F.lit(n).cast("long").alias("written"),
+    )
+    summary = spark.read.parquet(f"{path}/summary").select(
+        F.lit("summary").alias("sheet"), c("metric").alias("name"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("string").alias("sentiment_label"), "value", F.lit(n).cast("long").alias("written"),
+    )
+    return articles.unionByName(summary)
+
+
 @query
 def article_json_codec(spark, d):
     df = labelled(M.analyze(A.articles(spark, d)))
@@ -852,6 +879,48 @@ def ingest_to_summary(spark, d):
     return jobs.ingest_to_summary(A.articles(spark, d), A.as_of()).summary
 
 
+def _source_log(df: DataFrame) -> DataFrame:
+    ok = F.lit(True).alias("ok")
+    return log_of(df.select("source", ok, F.lit(None).cast("string").alias("error_message")), A.as_of(), articles=F.lit(1))
+
+
+def _two_runs(spark, d) -> str:
+    """Two runs over halves of the documents; a third attempt repeats the second with more of them."""
+    df, root = A.articles(spark, d), work_path(spark, "runs")
+    for run_id, rows in (("one", c("seq") % 2 == 0), ("two", c("seq") % 4 == 1), ("two", c("seq") % 2 == 1)):
+        half = df.where(rows)
+        runs.run(half, _source_log(half), root, run_id, F.lit(f"2024-04-0{len(run_id) - 2} 00:00:00").cast("timestamp"))
+    return root
+
+
+@query
+def full_pipeline(spark, d):
+    """Store, export and log after two runs, of which the second was repeated."""
+    root = _two_runs(spark, d)
+    last = runs.history(spark, root)[-1]
+    out = lambda df, part, key, label, n: df.select(F.lit(part).alias("part"), key.alias("key"), label.alias("label"), n.cast("long").alias("n"))
+    stored = runs.current_store(spark, root)
+    export = files.read_articles(spark, last.path("export/articles"), A.as_of(), "jsonl")
+    log = runs.run_log(spark, root)
+    counts = spark.createDataFrame([(k, getattr(last, k)) for k in ("saved", "urls", "inserted", "updated", "total", "exported")], "k string, n long")
+    return (
+        out(stored, "store", c("url"), F.concat_ws(" ", c("sentiment_label"), c("created_at").cast("date")), c("seq"))
+        .unionByName(out(export, "export", c("url"), c("sentiment.label"), F.length("content")))
+        .unionByName(out(log, "log", F.concat_ws(" ", "run_id", "source"), c("success").cast("string"), c("article_count")))
+        .unionByName(out(counts, "counts", c("k"), F.lit(last.run_id), c("n")))
+    )
+
+
+@query
+def run_dump(spark, d):
+    """The dump of the second run: sources as logged, with the articles found for each."""
+    last = runs.history(spark, _two_runs(spark, d))[-1]
+    log, lines = runs.read_dump(spark, last.path("dump"))
+    found = files.articles_from_json(lines.withColumnRenamed("source", "of"), A.as_of(), "of")
+    rows = found.select(c("of").alias("source"), "url", "title", digest("content"), "sentiment.label")
+    return log.select("source", "success", "article_count").join(rows, "source", "left")
+
+
 def _landed(spark, df: DataFrame, name: str) -> str:
     path = work_path(spark, name)
     df.write.parquet(path)

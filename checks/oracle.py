@@ -650,6 +650,14 @@ _PAGES = f"""pg AS (SELECT page_id, url, {_NO_COMMENT} AS h FROM {_TAILED}), tx
 ORACLE["extract_articles_html"] = f"""WITH {_PAGES}, {top5("good", "page_id", "body", 8)}
 SELECT page_id, title, md5(body) AS content, url, {site("url")} AS source, {AS_OF} AS published_date,
   coalesce(keywords, '') AS keywords FROM good LEFT JOIN kw USING (page_id)"""
+ORACLE["ingest_log_items"] = f"""WITH {ART}, {_PAGES}, b AS (
+  SELECT source, seq // 1000 AS batch, count(*) FILTER (seq % 19 <> 0 AND {clean("title")} <> '') AS n, ({_NEWSNUM} + seq // 1000) % 7 = 3 AS failed
+  FROM art GROUP BY ALL), w AS (SELECT {site("p.url")} AS source, g.page_id IS NULL AS failed FROM pages p LEFT JOIN good g USING (page_id))
+SELECT source, 'api' AS source_type, NOT bool_or(failed) AS success,
+  CASE WHEN bool_or(failed) THEN 'Aggregator error: no list of items' END AS error_message,
+  {AS_OF} AS timestamp, sum(CASE WHEN failed THEN 0 ELSE n END)::BIGINT AS article_count FROM b GROUP BY source
+UNION ALL SELECT source, 'website', NOT bool_or(failed), CASE WHEN bool_or(failed) THEN 'Page error: no article' END, {AS_OF},
+  count(*) FILTER (NOT failed) FROM w GROUP BY source"""
 ORACLE["extract_articles_dom"] = f"WITH {_PAGES} SELECT page_id, title, md5(body) AS content FROM good"
 _KNOWN = "regexp_matches(url, '//[^/]*[.](org|net)(/|$)')"
 ORACLE["site_selectors"] = f"""WITH pg AS (SELECT page_id, url, {_NO_COMMENT} AS h FROM {_TAILED}), tx AS (
@@ -761,6 +769,35 @@ SELECT strftime(scraped_date, '%Y-%m-%dT%H:%M:%S') AS scraped_date, category,
   CASE seq % 10 WHEN 1 THEN 'no title' WHEN 2 THEN 'no url' WHEN 3 THEN 'unknown source type' ELSE 'unknown sentiment label' END AS problem
 FROM art WHERE seq % 10 BETWEEN 1 AND 4"""
 
+ORACLE["report_tables"] = f"""WITH {_LISTS}, {ART}, {lexical()}, r AS (
+  SELECT url, source, md5(content) AS text, CASE WHEN seq % 5 <> 4 THEN label END AS label, CASE WHEN seq % 5 <> 4 THEN confidence END AS confidence
+  FROM art JOIN lexd USING (seq)), n AS (SELECT count(*) AS n FROM r), s AS (
+  SELECT count(*) AS total, count(label) AS analyzed, count(DISTINCT source) AS sources, {MEAN.format("confidence")} AS conf FROM r),
+m AS (
+  SELECT 'Total Articles' AS metric, total::DOUBLE AS value FROM s UNION ALL SELECT 'Analyzed Articles', analyzed FROM s
+  UNION ALL SELECT 'Analysis Coverage', analyzed::DOUBLE / total * 100 FROM s
+  UNION ALL SELECT concat(upper(label[1]), label[2:], ' Sentiment'), count(*) FROM r WHERE label IS NOT NULL GROUP BY label
+  UNION ALL SELECT concat(upper(label[1]), label[2:], ' Sentiment Percent'), count(*)::DOUBLE / any_value(analyzed) * 100 FROM r, s WHERE label IS NOT NULL GROUP BY label
+  UNION ALL SELECT 'Average Confidence', conf FROM s UNION ALL SELECT 'Number of Sources', sources FROM s)
+SELECT 'articles' AS sheet, url AS name, text, coalesce(label, '') AS sentiment_label, confidence AS value, n AS written FROM r, n
+UNION ALL SELECT 'summary', metric, NULL, NULL, value, n FROM m, n"""
+# Two runs over halves of the documents: even numbers, then odd ones.
+_RUNS = f"""{_LISTS}, {ART}, {TIDY}, {lexical('tidy')}, runs AS (
+  SELECT t.*, label, seq % 2 AS run FROM tidy t JOIN lexd USING (seq)
+  QUALIFY row_number() OVER (PARTITION BY url, run ORDER BY seq) = 1), st AS (
+  SELECT *, min(run) OVER (PARTITION BY url) AS born FROM runs QUALIFY row_number() OVER (PARTITION BY url ORDER BY run DESC) = 1)"""
+ORACLE["full_pipeline"] = f"""WITH {_RUNS}, second AS (
+  SELECT count(*) AS saved, count(*) FILTER (born = 1) AS inserted, count(*) FILTER (born = 0) AS updated FROM st WHERE run = 1)
+SELECT 'store' AS part, url AS key, concat(label, ' 2024-04-01') AS label, seq AS n FROM st
+UNION ALL SELECT 'export', url, label, length(content) FROM st
+UNION ALL SELECT 'log', concat(CASE seq % 2 WHEN 0 THEN 'one' ELSE 'two' END, ' ', source), 'true', count(*) FROM art GROUP BY ALL
+UNION ALL SELECT 'counts', k, 'two', n FROM (
+  SELECT unnest(['saved', 'urls', 'inserted', 'updated', 'total', 'exported']) AS k,
+    unnest([saved, saved, inserted, updated, (SELECT count(*) FROM st), (SELECT count(*) FROM st)]) AS n FROM second)"""
+ORACLE["run_dump"] = f"""WITH {_RUNS}, log AS (SELECT source, count(*) AS n FROM art WHERE seq % 2 = 1 GROUP BY source)
+SELECT log.source, true AS success, n AS article_count, url, title, md5(content) AS content, label
+FROM log LEFT JOIN (SELECT * FROM runs WHERE run = 1) r USING (source)"""
+
 # --- streams -----------------------------------------------------------------------------------
 
 ORACLE["stream_dedup"] = f"""WITH {ART} SELECT url, source, seq FROM art

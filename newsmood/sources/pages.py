@@ -320,6 +320,22 @@ def _own_first(table: DataFrame | None, field: str, selectors: Sequence[str]) ->
     return given if table is None else F.concat(F.coalesce(F.try_element_at(F.col("_fields"), F.lit(field)), F.slice(given, 1, 0)), given)
 
 
+def _usable(pages: DataFrame, html: str, titles: Sequence[str], contents: Sequence[str], sites: DataFrame | None) -> Column:
+    """The fields of a page's article, in an array that is empty if title or content is missing."""
+
+    def make() -> Column:
+        own = F.struct(_own_first(sites, "title", titles).alias("t"), _own_first(sites, "content", contents).alias("c"))
+        fields = let(own, lambda r: let(page(F.col(html)), lambda d: _page_fields(d, r["t"], r["c"])))
+        return F.filter(F.array(fields), lambda x: x["title"].isNotNull() & x["content"].isNotNull())
+
+    return built_once(pages, ("page", html, titles, contents, sites is None), make)
+
+
+def usable_articles(pages: DataFrame, html: str = "html") -> Column:
+    """The number of articles (0 or 1) that ``extract_articles`` makes of a page."""
+    return F.size(_usable(pages, html, TITLE, CONTENT, None))
+
+
 def extract_articles(
     pages: DataFrame,
     as_of: Column,
@@ -337,14 +353,7 @@ def extract_articles(
     All fields come out of one struct that is unpacked as a zero- or one-row table,
     so the drop test does not compute title and content a second time.
     """
-    titles, contents = (*title, *TITLE), (*content, *CONTENT)
-
-    def make() -> Column:
-        own = F.struct(_own_first(sites, "title", titles).alias("t"), _own_first(sites, "content", contents).alias("c"))
-        fields = let(own, lambda r: let(page(F.col(html)), lambda d: _page_fields(d, r["t"], r["c"])))
-        return F.filter(F.array(fields), lambda x: x["title"].isNotNull() & x["content"].isNotNull())
-
-    usable = built_once(pages, ("page", html, titles, contents, sites is None), make)
+    usable = _usable(pages, html, (*title, *TITLE), (*content, *CONTENT), sites)
     return _with_rules(pages, sites, url).select(*keep, F.col(url).alias("url"), F.inline(usable)).select(
         "title",
         "content",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsmood.functions.text import clean_text, or_empty
 from newsmood.sources.api import FEED_ITEMS, feed_items_to_articles, parse_responses, responses_to_articles
 from newsmood.sources.feeds import explode_feeds, feed_items, items_to_articles
-from newsmood.sources.pages import extract_articles
+from newsmood.sources.pages import extract_articles, usable_articles
 
 Parser = Callable[[DataFrame, Column], DataFrame]
 _PARSERS: dict[str, Parser] = {}
@@ -60,6 +60,15 @@ def item_responses(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return _judged(items, _usable(F.col("_items"), "url"), "Aggregator error: no list of items")
 
 
+def page_responses(payloads: DataFrame, html: str = "html") -> DataFrame:
+    """Landed pages with ``ok``, ``error_message`` and ``n_articles``: a page without an article is a
+    page that could not be read."""
+    n = usable_articles(payloads, html)
+    return payloads.withColumn("n_articles", n).withColumns(
+        {"ok": F.col("n_articles") > 0, "error_message": F.when(F.col("n_articles") == 0, F.lit("Page error: no article"))}
+    )
+
+
 def _judged(rows: DataFrame, n: Column, message: str) -> DataFrame:
     ok = F.col("_items").isNotNull()
     return rows.withColumns({"ok": ok, "error_message": F.when(~ok, F.lit(message)), "n_articles": n}).drop("_items")

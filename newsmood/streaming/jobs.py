@@ -131,7 +131,7 @@ def unique_batches(
 
 def _latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
     """The newest batch's rows before a batch."""
-    if not segments._exists(spark, path):
+    if not segments.exists(spark, path):
         return None
     rows = spark.read.parquet(path).where(F.col("batch_id") < before)
     last = rows.agg(F.max("batch_id")).first()[0]

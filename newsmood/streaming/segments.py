@@ -37,7 +37,8 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in any store Spark knows."""
     fs, at = _folder(spark, path)
     return fs.exists(at)
 
@@ -48,7 +49,7 @@ def put(batch: DataFrame, path: str, batch_id: int) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> Manifest:
-    if not _exists(spark, f"{path}/manifest"):
+    if not exists(spark, f"{path}/manifest"):
         return Manifest()
     rows = spark.read.schema(_SCHEMA).option("basePath", f"{path}/manifest").json(f"{path}/manifest")
     newest = rows.orderBy(F.desc("version")).first()
@@ -57,7 +58,7 @@ def manifest(spark: SparkSession, path: str) -> Manifest:
 
 def open_segments(spark: SparkSession, path: str, after: int) -> DataFrame | None:
     """Rows of the batches behind the store, with their ``batch_id``."""
-    if not _exists(spark, f"{path}/segments"):
+    if not exists(spark, f"{path}/segments"):
         return None
     return spark.read.parquet(f"{path}/segments").where(F.col("batch_id") > after)
 

@@ -17,7 +17,7 @@ from newsmood.session import work_path
 from newsmood.sources import files
 
 PYTHON = {"model_sentiment", "model_batches"}
-WRITES = {"article_by_url", "migrate_counts", "migrated_store", "keyword_semi_join", "keyword_semi_join_items", "json_envelope_import", "import_quarantine", "json_roundtrip", "csv_roundtrip", "stream_ingest", "stream_dedup", "stream_upsert", "stream_sentiment_counts"}
+WRITES = {"article_by_url", "full_pipeline", "run_dump", "report_tables", "migrate_counts", "migrated_store", "keyword_semi_join", "keyword_semi_join_items", "json_envelope_import", "import_quarantine", "json_roundtrip", "csv_roundtrip", "stream_ingest", "stream_dedup", "stream_upsert", "stream_sentiment_counts"}
 PLANNED = sorted(set(catalog.QUERIES) - PYTHON - WRITES)
 
 
