@@ -187,11 +187,14 @@ def find_secrets(
                     step, begin = _steps(data, s, e)
                     total = np.add.reduceat(ratio[step], begin)
                     row = np.searchsorted(offsets, s, "right") - 1
+                    # Code points before each byte, counted once: places within a text are differences.
+                    points = np.concatenate([np.zeros(1, np.int32), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+                    place = points[s] - points[offsets[row]]
                     for i in range(len(s)):
                         r, score = int(row[i]), float(total[i])
                         best[r] = score if best[r] is None else max(best[r], score)
                         if score >= nats:
-                            a = int(np.count_nonzero((data[offsets[r] : s[i]] & 0xC0) != 0x80))
+                            a = int(place[i])
                             more.setdefault(r, []).append({"kind": "markov", "start": a, "end": a + int(e[i] - s[i])})
                 base = [[{"kind": k, "start": a, "end": b} for k, a, b, _ in spans.get(r, ())] for r in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(

@@ -1,8 +1,10 @@
 """Secrets against the plain patterns, and the models on strings held out from them."""
 
+import math
 import random
 import re
 import string
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +76,52 @@ def test_cases_and_clashing_columns(spark, documents):
 def test_counts_leave_out_covered_text(spark, documents):
     counts = secrets.train(documents([(1, "token=abcabc"), (2, "hello")]))
     assert counts[0].sum() == 6 and counts[1].sum() == 5
+
+
+def test_scores_equal_ratios_added_one_by_one(spark, documents):
+    """Counts and log-likelihood ratios restated from the text."""
+    rng = random.Random(6)
+    docs = corpus(rng, 40)
+    alphabet = secrets._ALPHABET.decode()
+    runs = lambda text, least: [m for m in re.finditer(f"[{re.escape(alphabet)}]{{{least},}}", text)]
+    moves = lambda s: [(a, b) for a, b in zip([None, *s], s, strict=False) if b in alphabet and (a is None or a in alphabet)]
+    counts = [{}, {}]
+    for _, text in docs:
+        spans = secrets.base_spans(text)
+        for _, _, b, v in spans:
+            for t in moves(text[v:b]):
+                counts[0][t] = counts[0].get(t, 0) + 1
+        for m in runs(text, 4):
+            if all(m.end() <= a or b <= m.start() for _, a, b, _ in spans):
+                for t in moves(m[0]):
+                    counts[1][t] = counts[1].get(t, 0) + 1
+
+    def logs(model, s):
+        c = counts[model]
+        total = sum(c.values()) + secrets.SMOOTH * len(alphabet)
+        out = 0.0
+        for a, b in moves(s):
+            alone = (sum(n for (_, y), n in c.items() if y == b) + secrets.SMOOTH) / total
+            after = sum(n for (x, _), n in c.items() if x == a)
+            out += math.log((c.get((a, b), 0) + secrets.BACK_OFF * alone) / (after + secrets.BACK_OFF))
+        return out
+
+    table = documents(docs)
+    got = {r.doc_id: r.score for r in secrets.find_secrets(table, least=8).collect()}
+    for i, text in docs:
+        spans = secrets.base_spans(text)
+        free = [m[0] for m in runs(text, 8) if all(m.end() <= a or b <= m.start() for _, a, b, _ in spans)]
+        want = max((logs(0, s) - logs(1, s) for s in free), default=None)
+        assert (got[i] is None) == (want is None) and (want is None or abs(got[i] - want) < 1e-6)
+
+
+def test_a_long_text_of_many_spans_takes_linear_time(spark):
+    rng = random.Random(8)
+    strings = randoms(rng, 80_000)
+    text = "é ".join(strings)
+    counts = secrets.train(spark.createDataFrame(corpus(rng), "doc_id long, text string"))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    (row,) = secrets.find_secrets(df, counts=counts).collect()
+    assert time.perf_counter() - start < 20
+    assert len(row.random) > 78_000 and all(s.end - s.start == 32 and s.start % 34 == 0 for s in row.random)
