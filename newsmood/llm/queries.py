@@ -111,15 +111,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = M.draw(table(spark, sf_dir, "documents"), ["doc_id"])
-    rows = pieces.groupBy("rank", "bucket", "nth").agg(
-        F.first("doc.doc_id").alias("doc_id"),
-        F.first("size").alias("size"),
-        F.first("source_size").alias("source_size"),
-        F.first("target").alias("target"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("taken"),
-    )
-    return rows.drop("rank", "bucket", "nth")
+    drawn = M.draw(table(spark, sf_dir, "documents"), ["doc_id"])
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    return drawn.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 @query

@@ -46,10 +46,7 @@ def sized(docs):
 
 def test_targets_and_takes(spark, documents):
     docs = corpus()
-    pieces = M.draw(documents(docs), ["doc_id", "source"])
-    rows = pieces.groupBy("rank", "bucket", "nth").agg(
-        F.first("doc").alias("doc"), F.first("size").alias("size"), F.first("target").alias("target"), F.coalesce(F.sum("n"), F.lit(0)).alias("taken")
-    ).collect()
+    rows = M.draw(documents(docs), ["doc_id", "source"]).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["n"])).collect()
     assert sorted((str(r.doc.doc_id), r.size) for r in rows) == sorted((str(i), len(words(t))) for i, t, _ in docs)
     target, taken = waterfill(sized(docs)), Counter()
     for r in rows:
@@ -81,8 +78,15 @@ def test_the_mix_holds_the_words_it_draws(spark, documents):
     shards = Counter()
     for r in rows:
         shards[r.mix_shard] += len(words(r.text))
-    assert len(shards) > 2 and max(shards.values()) - min(shards.values()) <= 3 * M.MIN_BLOCK_WORDS
-    again = M.mix(table.repartition(3), shard_words=20_000).collect()
+    # Documents stay whole: a shard may have the end of the longest beyond its blocks.
+    assert len(shards) > 2 and max(shards.values()) - min(shards.values()) <= 3 * M.MIN_BLOCK_WORDS + 2 * 60_000
+    texts = {(str(i), t) for i, t, _ in docs}
+    cut = [r for r in rows if (str(r.doc_id), r.text) not in texts]
+    assert len(cut) <= len(target) and all(any(str(r.doc_id) == i and t.startswith(r.text) for i, t in texts if t) for r in cut)
+    copies = Counter((str(r.doc_id), r.source, r.text) for r in rows)
+    assert copies[("3", "a", docs[3][1])] in (3, 4, 5, 6)  # equal rows, each drawn for itself
+    again = [r for r in M.mix(table.repartition(3), shard_words=20_000).collect() if r.doc_id != 3]
+    rows = [r for r in rows if r.doc_id != 3]
     key = lambda r: (str(r.doc_id), r.text, str(r.source), r.mix_shard)
     assert sorted(map(key, again)) == sorted(map(key, rows))
 
@@ -119,3 +123,26 @@ def test_leaves_are_even(spark, levels):
 def test_the_plan_has_no_python(spark, documents):
     plan = M.mix(documents(corpus()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_mix_can_be_mixed_again_and_keeps_white_space(spark, documents):
+    docs = [(i, f" a{i}\n\n  b{i}\t c{i} " * (1 + i % 5), "ab"[i % 2]) for i in range(200)]
+    table = documents(docs).withColumns({"_order": F.lit(1), "shard": F.lit("x"), "order": F.lit("y"), "rank": F.lit(0)})
+    once = M.mix(table)
+    twice = M.mix(once.withColumn("mix_shard", F.lit("old")))
+    assert once.columns == twice.columns == [*table.columns, "mix_shard"]
+    texts = {t for _, t, _ in docs}
+    assert sum(r.text not in texts for r in once.collect()) <= 2
+    assert all(any(t.startswith(r.text) for t in texts) for r in twice.collect())
+    assert {r["shard"] for r in once.select("shard").collect()} == {"x"} and {r["rank"] for r in once.select("rank").collect()} == {0}
+
+
+def test_draw_and_mix_agree(spark, documents):
+    docs = [d for d in corpus() if d[0] != 3]  # of equal rows at a border the plan and the mix may take others
+    table = documents(docs)
+    planned = Counter()
+    for r in M.draw(table, ["doc_id"], shard_words=20_000).collect():
+        for c in r.copies:
+            planned[str(r.doc.doc_id), c.shard, c.n] += 1
+    mixed = Counter((str(r.doc_id), r.mix_shard, len(words(r.text))) for r in M.mix(table, shard_words=20_000).collect())
+    assert mixed == planned
