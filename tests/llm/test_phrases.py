@@ -68,7 +68,7 @@ def test_equals_brute_force(spark, top, share):
 
 def test_a_task_sends_its_sums_in_pieces(spark, monkeypatch):
     rows = some(9, 60)
-    monkeypatch.setattr(P, "HELD", 50)
+    monkeypatch.setattr(P, "HELD", 64)
     monkeypatch.setattr(P, "MOST_BITS", 16)
     got = P.collocations(table(spark, rows).coalesce(1), least=5, top=40)
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 40)
