@@ -310,7 +310,9 @@ def fragments(scanned: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row)), pa.array(q), pa.array(a + t["start"]), pa.array(b + t["start"])], names=names)
 
     tiles = scanned.where("size(tiles) > 0").select("row", F.explode("tiles").alias("tile"))
-    return tiles.repartition("row", "tile.octave", "tile.start").mapInArrow(run, "row long, period long, start long, end long")
+    # A tile is small and takes long: their number of partitions is not to be lowered by size.
+    tasks = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(tasks, "row", "tile.octave", "tile.start").mapInArrow(run, "row long, period long, start long, end long")
 
 
 def stitched(parts: DataFrame) -> DataFrame:
