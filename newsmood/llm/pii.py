@@ -391,8 +391,10 @@ def sanitize(
     )
     schema, names = docs.schema, docs.columns
     at = names.index(text)
-    hashed = F.xxhash64(docs[text])
-    marked = docs.join(terms, docs[doc_id].eqNullSafe(terms["_pii_id"]) & (hashed == terms["_pii_key"]), "left").drop("_pii_id", "_pii_key")
+    # Columns go by place from here on, so that none of the table clashes with those added.
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    same = flat[f"c{names.index(doc_id)}"].eqNullSafe(terms["_pii_id"]) & (F.xxhash64(flat[f"c{at}"]) == terms["_pii_key"])
+    marked = flat.join(terms, same, "left").drop("_pii_id", "_pii_key")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

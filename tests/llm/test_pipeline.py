@@ -24,6 +24,42 @@ def stages(spark, sf_dir, tmp_path_factory):
     return out
 
 
+@pytest.fixture(scope="module")
+def odd(spark, sf_dir, tmp_path_factory):
+    """Nulls in every column, empty and repeated rows, equal ids, and columns that clash, all the way."""
+    from pyspark.sql import functions as F
+
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    good = [r for r in real.collect()][:12]
+    rows_ = [tuple(r) for r in good] + [tuple(good[0]), tuple(good[0]), (good[1][0], "another text of the same id " * 5, *good[1][2:])]
+    rows_ += [(None, "a text without an id, " * 6, None, None, None), (900_001, None, "en", "s", 0), (900_002, "", None, None, None), (900_003, " ", "en", "s", 1)]
+    docs = spark.createDataFrame(rows_, real.schema).withColumns({"_nth": F.lit(1), "_pii_id": F.lit("x"), "mix_shard": F.lit("old"), "n_words": F.lit(0)})
+    out = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("odd") / str(i))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def test_odd_rows_go_through(spark, sf_dir, odd):
+    assert all(s.columns == odd[0].columns for s in odd[:-1]) and set(odd[-1].columns) == set(odd[0].columns)
+    for before, after in zip(odd, odd[1:], strict=False):
+        assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+    joined = odd[2].collect()
+    assert len({(r.doc_id, r.text) for r in joined}) == len(joined)  # of repeated rows one
+    assert {r["_nth"] for r in odd[-1].collect()} <= {1} and {r["_pii_id"] for r in odd[-1].collect()} <= {"x"}
+    assert not [r for r in odd[-1].collect() if not words(r.text)]
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == [] and set(docs.columns) <= set(out.columns)
+
+
 def rows(df):
     return {r.doc_id: r for r in df.collect()}
 
