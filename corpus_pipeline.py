@@ -2,6 +2,13 @@
 
 Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``documents``;
 the last adds the output shard.
+
+A null or empty text is scored like any other by the first stage, belongs to no group, holds neither
+benchmark nor personal data, and is never drawn into the mix. Rows with a null id stay in every stage
+up to it. Of repeated rows the join keeps one, of a group the smallest id; of equal ids with different
+texts each is a document of its own. A null source is a source, and a null language is passed on. An
+empty table goes through all stages as one. Columns beyond those of ``documents`` pass, whatever
+their names; only ``mix_shard`` is replaced by the last stage.
 """
 
 from __future__ import annotations
