@@ -44,12 +44,16 @@ def _article_key() -> Column:
     return F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit("second"), *row).alias("b"))
 
 
-def _anchors(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """``_kw, _words, _gram``: each keyword with its rarest piece."""
+def _pieces_of(terms: DataFrame) -> DataFrame:
+    """``_kw, _words, _gram``: each keyword with its pieces of the largest size it has."""
     split = terms.withColumn("_words", _runs(F.col("_kw")))
     longest = F.array_max(F.transform("_words", lambda r: F.length(r)))
     grams = F.array_distinct(F.flatten(F.transform("_words", lambda r: _pieces(r, F.least(F.lit(GRAM), F.col("_size"))))))
-    pieces = split.withColumn("_size", longest).select("_kw", "_words", F.explode(grams).alias("_gram"))
+    return split.withColumn("_size", longest).select("_kw", "_words", F.explode(grams).alias("_gram"))
+
+
+def _anchors(pieces: DataFrame, index: DataFrame) -> DataFrame:
+    """``_kw, _words, _gram``: each keyword with its rarest piece."""
     mass = index.groupBy("_gram").agg(F.sum("_n").alias("_mass"))
     # A piece that no text holds rules its keyword out, so it is the rarest there is.
     counted = pieces.join(mass, "_gram", "left").select("_kw", "_words", F.struct(F.coalesce("_mass", F.lit(0)).alias("mass"), "_gram").alias("_least"))
@@ -76,7 +80,13 @@ def keyword_semi_join(df: DataFrame, keywords: DataFrame, column: str = "keyword
     runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
     vocabulary = spark.read.parquet(path)
     index = vocabulary.select("_run", "_n", F.explode(F.flatten(F.array(*[_pieces(F.col("_run"), k) for k in range(1, GRAM + 1)]))).alias("_gram"))
-    anchors = _anchors(terms, index)
+    pieces = _pieces_of(terms)
+    # Of the index only the pieces of keywords are of use.
+    index = index.join(pieces.select("_gram").distinct(), "_gram", "left_semi")
+    path = work_path(spark, "keyword-index")
+    index.write.parquet(path)
+    index = spark.read.parquet(path)
+    anchors = _anchors(pieces, index)
 
     salt = F.pmod(F.xxhash64("_run"), F.lit(SALTS)).cast("int").alias("_salt")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")

@@ -82,12 +82,35 @@ def rule(selector: Column) -> Column:
     )
 
 
+def _opening(step: str) -> tuple[list[str], str, str]:
+    """Names, tag and pattern of one step, as ``rule`` has them."""
+    tag, css, attr, op, value = (x or "" for x in re.match(_STEP, step).groups())
+    inside = rf"(?<![\w-]){css}(?![\w-])"
+    quoted = rf"\Q{value}\E"
+    tests = {"": rf"(?=[^>]*?\s{attr}\b)", "*=": rf"""(?=[^>]*?\s{attr}\s*=\s*["']?[^"'>]*?{quoted})"""}
+    equals = rf"""(?=[^>]*?\s{attr}\s*=\s*["']?{quoted}(?=["'\s>]))"""
+    pattern = rf"(?is)^<{tag or '[a-zA-Z][a-zA-Z0-9]*'}\b"
+    if css:
+        pattern += rf"""(?=[^>]*?\sclass\s*=\s*(?:"[^">]*?{inside}|'[^'>]*?{inside}|{css}[\s>]))"""
+    if attr:
+        pattern += tests.get(op, equals)
+    return [n.lower() for n in (css, attr) if n], tag.lower(), pattern
+
+
 def rules(selectors: Sequence[str]) -> Column:
-    """Selectors as data, in order; an unsupported one raises."""
+    """Selectors as data, in order: constants of the plan. An unsupported one raises."""
+    out = []
     for s in selectors:
         if not s.split() or not all(re.match(_STEP, step) for step in s.split()):
             raise ValueError(f"unsupported selector: {s}")
-    return F.array(*[rule(F.lit(s)) for s in selectors])
+        steps = [_opening(step) for step in s.split()]
+        out.append(
+            F.struct(
+                F.array(*[F.lit(n) for names, _, _ in steps for n in names]).cast("array<string>").alias("needs"),
+                F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(pattern).alias("pattern")) for _, tag, pattern in steps]).alias("steps"),
+            )
+        )
+    return F.array(*out)
 
 
 _SKIPPED = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"

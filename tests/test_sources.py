@@ -156,6 +156,14 @@ def test_time_of_a_page_is_linear_in_its_length(spark):
     assert large < 24 * small + 2, (small, large)
 
 
+def test_selectors_as_constants_and_as_rows_are_the_same(spark):
+    own = ["h1.a-b", ".x Y.z [rel=\"au.thor\"]", "a[href*=\"/p?/\"]", "time[datetime] b"]
+    every = [*pages.TITLE, *pages.CONTENT, *pages.AUTHOR, *pages.DATE, *pages.LINKS, *own]
+    (constants,) = spark.range(1).select(pages.rules(every).alias("r")).first()
+    rows = spark.createDataFrame(list(enumerate(every)), "i int, s string").select("i", pages.rule(F.col("s")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in rows] == constants
+
+
 def test_selectors_of_any_number_of_steps_by_site(spark):
     html = f"""<div class="top"><h1>The usual headline</h1></div><main><section id="s"><div class="lead"><h2 data-k="a.b">Headline of the site</h2>
       </div></section></main><h2>Another headline here</h2><article>{BODY}</article><div class="own"><p class="own">{"Own body. " * 20}</p></div>
