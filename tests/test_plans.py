@@ -152,3 +152,16 @@ def test_hot_source_and_url(spark):
     few = R.top_n_per_group(df, ["source"], [F.col("seq")], 1200, salts=2).where("source = 'hot'")
     assert few.count() == n // 3
     assert stats.articles_by_source(df).where("source = 'hot'").first().n_articles == n // 3
+
+
+def test_texts_are_split_twice_for_any_number_of_term_lists(spark, sf_dir):
+    df = catalog.QUERIES["lexicon_table"](spark, sf_dir)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    # Once for each of the two methods, as one exchange; no condition of the lists on every word.
+    assert text.count("Generate posexplode") == 2 and text.count("Generate explode") == 0 and "md5" not in text
+
+
+def test_import_scans_the_lines_once_after_the_state_pass(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[ {"title": "x"},\n {"title": "y"} ]')
+    df = files.import_records(spark, str(tmp_path), F.lit("2024-01-01").cast("timestamp"), "json")
+    assert "MapInArrow" not in plan(df) and df.count() == 2
