@@ -90,3 +90,12 @@ def test_pages_without_an_article_are_logged_as_failed(spark):
     responses = registry.page_responses(df)
     log = registry.ingest_log(responses, F.lit(WHEN), source_type=F.lit("website"), articles=F.col("n_articles"))
     assert sorted((r.source, r.success, r.error_message, r.article_count) for r in log.collect()) == [("s", False, "Page error: no article", 1), ("t", True, None, 1)]
+
+
+def test_what_every_attempt_writes_is_packed(spark, tmp_path):
+    rows = [(f"u{i}", "a", f"{GOOD} {i} " * 40) for i in range(3)]
+    first = save(spark, f"{tmp_path}/runs", "one", 1, *rows)
+    names = lambda part, end: [f.name for f in (tmp_path / first.path(part).split(str(tmp_path))[1].lstrip("/")).glob(f"part-*{end}")]
+    assert names("articles", ".zstd.parquet") and names("store", ".zstd.parquet") and names("dump/articles", ".gz")
+    log, lines = runs.read_dump(spark, first.path("dump"))
+    assert log.count() == 1 and lines.count() == 3
