@@ -20,6 +20,7 @@ from newsmood.functions.scores import map_model_label
 from newsmood.functions.text import NOT_WS, analysis_words
 from newsmood.operators.sentiment import Analyzer, sentiment_struct
 from newsmood.operators.textjobs import chunks
+from newsmood.session import work_path
 
 # A scorer maps a frame with a ``text`` column to the same rows plus ``scores``
 # (label -> probability).
@@ -33,13 +34,22 @@ def train(df: DataFrame, label: str, features: int = 1 << 16, max_iter: int = 20
 
     Trained by distributed passes; the model held on the driver is ``features`` weights.
     """
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_w", pattern=f"{NOT_WS}+", gaps=False),
-        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol=label, maxIter=max_iter),
-    ]
-    return Pipeline(stages=stages).fit(df)
+    counts = Pipeline(
+        stages=[
+            RegexTokenizer(inputCol="text", outputCol="_w", pattern=f"{NOT_WS}+", gaps=False),
+            HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
+        ]
+    ).fit(df)
+    fitted = Pipeline(
+        stages=[
+            IDF(inputCol="_tf", outputCol="_x"),
+            LogisticRegression(featuresCol="_x", labelCol=label, maxIter=max_iter),
+        ]
+    )
+    # Both passes read the words' counts; the texts are split once for the two.
+    path = work_path(df.sparkSession, "model-counts")
+    counts.transform(df).select(label, "_tf").write.parquet(path)
+    return PipelineModel([*counts.stages, *fitted.fit(df.sparkSession.read.parquet(path)).stages])
 
 
 def ml_scorer(model: PipelineModel, labels: Sequence[str]) -> Scorer:

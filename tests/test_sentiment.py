@@ -293,6 +293,19 @@ def test_trained_scorer(spark):
         "positive", "negative"]
 
 
+def test_training_reads_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [("good fine great text", 0.0), ("bad sad poor text", 1.0)] * 10
+    df = spark.createDataFrame(rows, "text string, y double").withColumn("text", F.udf(counted, "string")("text"))
+    assert len(M.train(df, "y", features=256).stages) == 4
+    assert seen.value == len(rows)
+
+
 def test_sentences(spark):
     df = articles(spark, [{"content": "Good day. Bad day! Nothing"}, {"content": ""}])
     rows = A.sentence_polarity(df).orderBy("seq", "idx").collect()
