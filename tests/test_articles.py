@@ -75,6 +75,26 @@ def test_keyword_table_equals_one_by_one(spark):
     assert K.keyword_semi_join(df.where("false"), table).count() == 0
 
 
+def test_long_keywords_meet_texts_by_neighbouring_words(spark, monkeypatch):
+    rng = random.Random(5)
+    blank = [" ", "  ", "\n", "\u2003"]
+    text = lambda n: "".join(rng.choice(["ab", "B", "abc", "ΣΑΣ", "x,", "é"]) + rng.choice(blank[: rng.randint(1, 4)]) for _ in range(n))
+    lines = [text(rng.randint(0, 30)) for _ in range(60)] + [None, ""]
+    df = articles(spark, [{"title": "T", "content": x} for x in lines])
+    cuts = [x[i : i + rng.randint(6, 24)] for x in lines if x for i in (rng.randrange(len(x)),)]
+    long = [k for k in cuts if len(k.split()) > 3] + ["ab  ab B ab ab", "none of these words is there"]
+    paths = []
+    monkeypatch.setattr(K, "work_path", lambda spark, name: paths.append(name) or work_path(spark, name))
+    for keywords in (long, cuts + long):
+        table = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+        low = df.select("seq", F.lower(F.concat(F.lit("T "), F.coalesce("content", F.lit("")))).alias("t"))
+        want = low.join(table.select(F.lower("keyword").alias("k")).where("k <> ''"), F.expr("contains(t, k)")).select("seq").distinct()
+        assert seqs(K.keyword_semi_join(df, table)) == seqs(want)
+        # Only keywords without neighbouring words inside need the runs of all texts.
+        assert ("keyword-vocabulary" in paths) == (keywords is not long)
+    assert len(seqs(want)) > 5
+
+
 def test_keywords_are_parts_of_words(spark):
     many = [f"keyword{i}" for i in range(60)]
     lines = ["x keyword7 y", "xkeyword59y", "key word7", "KEYWORD3.", "keyword keywor d7"]
