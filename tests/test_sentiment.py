@@ -226,6 +226,22 @@ def test_ensemble_vote(spark):
         assert got.scores["a_x"] == 0.0 and math.isclose(got.scores["consensus_confidence"], conf)
 
 
+def test_voters_share_the_text(spark):
+    lines = ["Not a GREAT day, but the best !!", "an awful, terrible idea?", "", None, "plain words", "  very happy\n(happy) hate-free no"]
+    df = articles(spark, [{"title": t, "content": x} for x in lines for t in ("Good", None)])
+    names = ["lexicon", "polarity"]
+    marks = A.column_analyzer(lambda t: A.sentiment_struct(F.lit("neutral"), F.lit(0.5), A.score_map(n=F.length(t).cast("double")), "m"))
+    alone = df
+    for name in names:
+        alone = A.analyze(alone, name).withColumnRenamed("sentiment", name)
+    alone = A.analyze(alone, marks).withColumnRenamed("sentiment", "marks")
+    want = alone.select("seq", E.combine({n: F.col(n) for n in (*names, "marks")}).alias("v"))
+    got = E.analyze_with(df, [*names, ("marks", marks)]).select("seq", F.col("sentiment").alias("v"))
+    assert column(got) == column(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(coalesce(title") == 1
+
+
 def test_combine_votes_agrees_with_rows(spark):
     rows = [(f"u{i}", n, label, conf) for i, v in enumerate(VOTES) for n, (label, conf) in enumerate(v)]
     df = spark.createDataFrame(rows, "url string, ord int, label string, confidence double")
