@@ -6,7 +6,7 @@ import random
 import time
 
 import pytest
-from helpers import articles, as_of
+from helpers import articles, as_of, column
 from htmlwalk import walk
 from pyspark.sql import functions as F
 
@@ -351,3 +351,12 @@ def test_report_and_csv_columns(spark):
     assert summary["Total Articles"] == 2 and summary["Analysis Coverage"] == 100.0
     bare = files.csv_projection(df.withColumn("sentiment", F.lit(None).cast(df.schema["sentiment"].dataType))).first()
     assert (bare.sentiment_label, bare.sentiment_confidence) == ("", "")
+
+
+def test_names_are_looked_for_in_tags_only(spark):
+    html = "x <b>lead</b><DIV Class='Entry-Content' data-x='a>b'>" + "long words &lt;b&gt; &amp;amp; entry-title " * 9 + "</div><!-- .author --><p rel=author>me</p>"
+    df = spark.createDataFrame([(0, html), (1, html.replace("<!--", "<i>")), (2, None)], "seq int, html string")
+    low = column(df.select("seq", pages.page(F.col("html"))["low"].alias("v")))
+    assert all("entry-content" in x and "entry-title" not in x for x in low[:2]) and low[2] == ""
+    texts = column(df.select("seq", pages.first_text(pages.page(F.col("html")), pages.rules([".entry-content"]), lambda v: v != "").alias("v")))
+    assert texts[0] == ("long words <b> &amp; entry-title " * 9).strip() and texts[1].startswith(texts[0]) and texts[2] is None
