@@ -100,6 +100,42 @@ def test_no_link_is_lost(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(plain)
 
 
+@pytest.mark.parametrize("block", [E.BLOCK, 16])
+def test_components_follow_every_link(spark, block):
+    """Chains and thin clusters: a link between two vectors that both link with smaller ones counts as well."""
+    rng = np.random.default_rng(3)
+    arc = np.radians(20 * np.arange(12))
+    rows = [(i, [*v, *[0.0] * 14]) for i, v in enumerate(np.column_stack([np.cos(arc), np.sin(arc)]).tolist())]
+    rows += [(100 + i, v) for i, v in enumerate(rng.standard_normal((60, 3)).tolist())]
+    rows += [(200 + i, v) for i, v in enumerate(rng.standard_normal((150, 4)).tolist())]
+    order = rng.permutation(len(rows)).tolist()  # ids are not in the order of the chains
+    rows = [(1000 + k, rows[at][1]) for k, at in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = E.near_duplicates(df, block=block).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows)
+    chain = {1000 + k for k, at in enumerate(order) if at < 12}
+    assert {r.component_id for r in got if r.vec_id in chain} == {min(chain)}
+
+
+def test_joined_places_by_steps():
+    """Links that come in any portions, with repeats, join the same places as a search over all of them."""
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (2, 1), (50, 30), (400, 300), (400, 2000)):
+        u, v = rng.integers(0, n, (2, m))
+        parent = np.arange(n)
+        for lo in range(0, m, 7):
+            E._join(parent, u[lo : lo + 7], v[lo : lo + 7])
+        whole = np.arange(n)
+        E._join(whole, u, v)
+        least = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                least[a] = least[b] = min(least[a], least[b])
+            if (least[u] == least[v]).all():
+                break
+        assert (E._ends(parent, np.arange(n)) == least).all() and (E._ends(whole, np.arange(n)) == least).all()
+
+
 def test_cells_lose_few_links(spark):
     rows = vectors(5)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
